@@ -31,29 +31,27 @@ def human_float(value: Column) -> Column:
     return F.when(shown.isin("-0", ""), F.lit("0")).otherwise(shown)
 
 
-def _scaled(size: Column, steps: list[tuple[float, float, str]], precision: int | None, gap: str) -> Column:
-    """Pick the first unit whose value stays below its limit. steps: (divisor, limit, unit), last one is open."""
-    result = None
-    for divisor, limit, unit in steps:
-        scaled = size / F.lit(float(divisor))
-        shown = human_float(scaled) if precision is None else _fixed(scaled, precision)
-        rendered = F.concat(shown, F.lit(gap + unit))
-        condition = scaled < F.lit(float(limit))
-        if result is None:
-            result = F.when(condition, rendered)
-        elif (divisor, limit, unit) == steps[-1]:
-            result = result.otherwise(rendered)
-        else:
-            result = result.when(condition, rendered)
-    assert result is not None
-    return result
+def _first_fit(size: Column, steps: list[tuple[float, float, str]]) -> tuple[Column, Column]:
+    """Divisor and unit of the first step whose value stays below its limit. steps: (divisor, limit, unit)."""
+    *limited, last = steps
+    divisor, unit = F.lit(last[0]), F.lit(last[2])
+    for factor, limit, name in reversed(limited):
+        fits = size < F.lit(factor * limit)
+        divisor, unit = F.when(fits, F.lit(factor)).otherwise(divisor), F.when(fits, name).otherwise(unit)
+    return divisor, unit
+
+
+def _rendered(size: Column, divisor: Column, unit: Column, precision: int | None, gap: str) -> Column:
+    scaled = size / divisor
+    return F.concat(human_float(scaled) if precision is None else _fixed(scaled, precision), F.lit(gap), unit)
 
 
 def human_bytes(value: Column, precision: int | None = None, separator: str = " ") -> Column:
     """1024-based, B to QiB."""
     value = value.cast("double")
     steps = [(1024.0**i, 1024.0, unit) for i, unit in enumerate(SIZE_UNITS)]
-    return F.concat(F.when(value < 0, "-").otherwise(""), _scaled(F.abs(value), steps, precision, separator))
+    divisor, unit = _first_fit(F.abs(value), steps)
+    return F.concat(F.when(value < 0, "-").otherwise(""), _rendered(F.abs(value), divisor, unit, precision, separator))
 
 
 def human_duration(value: Column, unit: str = "ns", precision: int | None = None, separator: str = "") -> Column:
@@ -73,13 +71,13 @@ def human_duration(value: Column, unit: str = "ns", precision: int | None = None
     nanos = 1.0
     for step in TIME_STEPS[:start]:
         nanos *= step
-    if start == len(TIME_UNITS) - 1:
-        plain = F.concat(human_float(size) if precision is None else _fixed(size, precision), F.lit(separator + unit))
-    else:
-        plain = _scaled(size, steps_from(start), precision, separator)
-    tiny = _scaled(size * F.lit(nanos), steps_from(0), precision, separator)
-    shown = F.when((size < 1) & (size != 0), tiny).otherwise(plain)
-    return F.concat(F.when(value < 0, "-").otherwise(""), shown)
+    is_tiny = (size < 1) & (size != 0) & F.lit(start > 0)
+    divisor, name = _first_fit(size, steps_from(start))
+    if start > 0:
+        tiny_divisor, tiny_name = _first_fit(size * F.lit(nanos), steps_from(0))
+        divisor = F.when(is_tiny, tiny_divisor / F.lit(nanos)).otherwise(divisor)
+        name = F.when(is_tiny, tiny_name).otherwise(name)
+    return F.concat(F.when(value < 0, "-").otherwise(""), _rendered(size, divisor, name, precision, separator))
 
 
 def percent(number: Column, total: Column, print_total: bool = False) -> Column:

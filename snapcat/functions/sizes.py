@@ -34,8 +34,8 @@ def size_to_bytes(size: Column, strict: bool = True) -> Column:
                 F.lit(str(1000**i)).cast("decimal(31,0)")
             ),
         ).otherwise(factor)
-    large = F.bround(number.cast("decimal(7,3)") * factor / bits, 0).cast("decimal(38,0)")
-    value = F.when(number == "", F.lit(0).cast("decimal(38,0)")).when(exponent < 7, small.cast("decimal(38,0)"))
+    large = F.bround(F.try_multiply(number.try_cast("decimal(20,3)"), factor) / bits, 0).try_cast("decimal(38,0)")
+    value = F.when(number == "", F.lit(0).cast("decimal(38,0)")).when(exponent < 7, small.try_cast("decimal(38,0)"))
     value = value.otherwise(large)
     is_rate = F.startswith(_part(size, 5), F.lit("/s"))
     if strict:
@@ -51,7 +51,7 @@ def _after_colon(line: Column) -> Column:
 
 def line_bytes(line: Column) -> Column:
     """Bytes of a progress line, 0 for a line without ``:`` or without a size. BIGINT."""
-    value = size_to_bytes(_after_colon(line), strict=False).cast("bigint")
+    value = size_to_bytes(_after_colon(line), strict=False).try_cast("bigint")
     return F.when(F.contains(line, F.lit(":")), value).otherwise(F.lit(0).cast("bigint"))
 
 

@@ -12,9 +12,13 @@ from snapcat.operators.labels import LABEL, minmax_by_label
 from snapcat.plans.policy import Plan, check_periods, plan_frame, plan_labels
 
 
-def next_boundary(created: Column, amount: Column, unit: Column, zone: str, anchors: Anchors) -> Column:
-    """First boundary strictly after an instant (UTC seconds), as wall-clock microseconds of the zone."""
-    return round_up_micros(micros_from_ntz(wall_from_unix(created, zone)) + 1, amount, unit, anchors)
+def with_next_boundary(df: DataFrame, created: Column, zone: str, anchors: Anchors) -> DataFrame:
+    """Adds ``__event``, the first boundary strictly after an instant (UTC seconds) as wall-clock microseconds of the
+    zone, for the period in columns n and unit. The wall clock is a column of its own because rounding reads it often.
+    """
+    timed = df.withColumn("__wall", micros_from_ntz(wall_from_unix(created, zone)) + 1)
+    event = round_up_micros(F.col("__wall"), F.col("n"), F.col("unit"), anchors)
+    return timed.withColumn("__event", event).drop("__wall")
 
 
 def due_series(
@@ -33,9 +37,8 @@ def due_series(
     check_periods(plan)
     entries = plan_frame(datasets, plan).filter(F.col("amount") > 0).select(*LABEL, "n", "unit", "period_ms")
     rows = minmax.join(datasets.select("dataset").distinct(), "dataset", "left_semi").join(entries, list(LABEL))
-    event = next_boundary(F.col("latest_creation"), F.col("n"), F.col("unit"), zone, anchors)
     wall_now = micros_from_ntz(wall_from_unix(F.lit(now), zone))
-    timed = rows.withColumn("__event", event)
+    timed = with_next_boundary(rows, F.col("latest_creation"), zone, anchors)
     due = F.lit(always) | (F.col("n") == 0) | (F.col("latest_creation") == 0) | (wall_now >= F.col("__event"))
     return timed.select(
         "dataset", *LABEL, "period_ms", "latest_creation", ntz_from_micros(F.col("__event")).alias("next_event"),
@@ -56,11 +59,12 @@ def due_from_catalog(
     return due_series(datasets, minmax, plan, now, zone, anchors, always)
 
 
-def next_event(plan: DataFrame, now: Column | int, zone: str = "UTC", anchors: Anchors = Anchors(), by: Sequence[str] = ()) -> DataFrame:
+def next_event(
+    plan: DataFrame, now: Column | int, zone: str = "UTC", anchors: Anchors = Anchors(), by: Sequence[str] = ()
+) -> DataFrame:
     """The earliest boundary after ``now`` over all plan rows (columns n, unit), per ``by``."""
     now = now if isinstance(now, Column) else F.lit(now)
-    event = next_boundary(now, F.col("n"), F.col("unit"), zone, anchors)
-    rows = plan.filter(F.col("n") > 0).withColumn("__event", event)
+    rows = with_next_boundary(plan.filter(F.col("n") > 0), now, zone, anchors)
     return rows.groupBy(*by).agg(F.min("__event").alias("__event")).select(
         *by, ntz_from_micros(F.col("__event")).alias("next_event")
     )
