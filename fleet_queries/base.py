@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.functions.hashing import compact_guid
-from snapcat.functions.periods import micros_from_ntz
 from snapcat.schema import TMP_PREFIX
 
 NOW = 1706659200  # 2024-01-31 00:00:00 UTC
@@ -43,76 +42,81 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_columns(ev: DataFrame) -> DataFrame:
-    """Events with the parts all catalogs share."""
-    ts = F.col("ts").cast("timestamp_ntz")
-    suffix = (
-        F.when(F.col("event_type") == "error", "_minutely")
-        .when(F.col("event_type") == "click", "_hourly")
-        .when(F.col("event_type") == "view", "_daily")
-        .when(F.col("event_type") == "signup", "_weekly")
-        .otherwise("_monthly")
-    )
-    k = F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("bigint")
-    infix = F.when(k < 50, "onsite_").otherwise("")
-    stamp = F.date_format(ts, "yyyy-MM-dd'_'HH:mm:ss.SSSSSS")
-    return ev.select(
+    """Events with the parts all catalogs share. ``ts`` is a wall clock without zone; its seconds are taken from the
+    date and time parts, whatever the session zone is."""
+    return ev.selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "CAST(ts AS TIMESTAMP_NTZ) AS ts",
+        """CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k""",
+    ).selectExpr(
         "event_id",
         "user_id",
         "event_type",
         "value",
-        k.alias("k"),
-        F.floor(micros_from_ntz(ts) / 1_000_000).cast("bigint").alias("creation"),
-        F.concat(F.lit("/g"), F.expr("user_id div 16"), F.lit("/u"), F.col("user_id")).alias("rel_dataset"),
-        F.concat(F.lit("prod_"), infix, stamp, suffix).alias("tag"),
-        F.col("event_id").cast("string").alias("guid"),
-        F.floor(F.col("value") * 100).cast("bigint").alias("written"),
-        ((k >= 30) & (k < 40)).alias("held"),
+        "k",
+        "unix_date(CAST(ts AS DATE)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS creation",
+        "concat('/g', user_id div 16, '/u', user_id) AS rel_dataset",
+        """concat('prod_', CASE WHEN k < 50 THEN 'onsite_' ELSE '' END, date_format(ts, "yyyy-MM-dd'_'HH:mm:ss.SSSSSS"),
+           CASE event_type WHEN 'error' THEN '_minutely' WHEN 'click' THEN '_hourly' WHEN 'view' THEN '_daily'
+           WHEN 'signup' THEN '_weekly' ELSE '_monthly' END) AS tag""",
+        "CAST(event_id AS STRING) AS guid",
+        "CAST(floor(value * 100) AS BIGINT) AS written",
+        "k >= 30 AND k < 40 AS held",
     )
 
 
+# which rows an event leaves on a side, as (condition on k, kind, separator)
+SIDES = {
+    "src": (
+        ("k < 85", "snapshot", "@"),
+        ("k >= 75 AND k < 91", "bookmark", "#"),
+        ("k >= 88 AND k < 95 OR k >= 98", "tmp_bookmark", "#"),
+    ),
+    "dst": (
+        ("k >= 20 AND k < 98", "snapshot", "@"),
+        ("k >= 10 AND k < 30 OR k >= 95 AND k < 98", "bookmark", "#"),
+    ),
+}
+
+
 def catalog(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """One side's rows. One scan: an event becomes up to three rows (snapshot, bookmark, temporary bookmark)."""
     root = SRC_ROOT if side == "src" else DST_ROOT
-    k, tag, guid = F.col("k"), F.col("tag"), F.col("guid")
-    null = F.lit(None).cast("bigint")
-    snap = F.struct(F.lit("snapshot").alias("kind"), tag.alias("tag"), F.col("written").alias("written"), F.lit("@").alias("sep"))
-    mark = F.struct(F.lit("bookmark").alias("kind"), tag.alias("tag"), null.alias("written"), F.lit("#").alias("sep"))
-    tmp_tag = F.concat(F.lit(TMP_PREFIX), tag, F.lit("."), compact_guid(guid), F.lit(POOL_SUFFIX))
-    tmp = F.struct(F.lit("tmp_bookmark").alias("kind"), tmp_tag.alias("tag"), null.alias("written"), F.lit("#").alias("sep"))
-    if side == "src":
-        rows = [F.when(k < 85, snap), F.when((k >= 75) & (k < 91), mark), F.when(((k >= 88) & (k < 95)) | (k >= 98), tmp)]
-    else:
-        rows = [F.when((k >= 20) & (k < 98), snap), F.when(((k >= 10) & (k < 30)) | ((k >= 95) & (k < 98)), mark)]
     ev = events(spark, sf_dir)
-    exploded = ev.select(
-        "event_id", "rel_dataset", "guid", "creation", "held", F.inline(F.array_compact(F.array(*rows)))
+    tmp_tag = F.concat(F.lit(TMP_PREFIX), "tag", F.lit("."), compact_guid(F.col("guid")), F.lit(POOL_SUFFIX))
+    tagged = ev.withColumn("tmp_tag", tmp_tag)
+    rows = ", ".join(
+        f"CASE WHEN {test} THEN struct('{kind}' AS kind, {'tmp_tag' if kind == 'tmp_bookmark' else 'tag'} AS tag,"
+        f" {'written' if kind == 'snapshot' else 'CAST(NULL AS BIGINT)'} AS written, '{sep}' AS sep) END"
+        for test, kind, sep in SIDES[side]
     )
-    dataset = F.concat(F.lit(root), "rel_dataset")
-    txg = F.col("event_id") if side == "src" else F.col("event_id") + 7
-    return exploded.select(
-        F.lit(side).alias("side"),
-        F.lit(root).alias("root"),
-        dataset.alias("dataset"),
+    exploded = tagged.selectExpr(
+        "event_id", "rel_dataset", "guid", "creation", "held", f"inline(array({rows}))"
+    )
+    return exploded.filter("kind IS NOT NULL").selectExpr(
+        f"'{side}' AS side",
+        f"'{root}' AS root",
+        f"concat('{root}', rel_dataset) AS dataset",
         "rel_dataset",
         "kind",
         "tag",
-        F.concat(dataset, "sep", "tag").alias("name"),
+        f"concat('{root}', rel_dataset, sep, tag) AS name",
         "guid",
         "creation",
-        txg.alias("createtxg"),
+        "event_id AS createtxg" if side == "src" else "event_id + 7 AS createtxg",
         "written",
-        (F.col("held") & (F.col("kind") == "snapshot")).alias("held"),
+        "held AND kind = 'snapshot' AS held",
     )
 
 
 def dataset_list(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Datasets of a side: users with an event of small (src) or large (dst) k."""
     root = SRC_ROOT if side == "src" else DST_ROOT
-    chosen = F.col("k") < 2 if side == "src" else F.col("k") >= 98
-    return (
-        events(spark, sf_dir).filter(chosen).select("rel_dataset").distinct()
-        .select(F.concat(F.lit(root), "rel_dataset").alias("dataset"), "rel_dataset", F.lit(root).alias("root"))
-    )
+    chosen = events(spark, sf_dir).filter("k < 2" if side == "src" else "k >= 98").select("rel_dataset").distinct()
+    return chosen.selectExpr(f"concat('{root}', rel_dataset) AS dataset", "rel_dataset", f"'{root}' AS root")
 
 
 CATALOG_SQL = f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleet_queries.base import CATALOG_SQL, NOW, SRC_ROOT, event_columns, query, table
 from snapcat.functions.periods import micros_from_ntz
-from snapcat.functions.sizes import line_bytes
+from snapcat.functions.sizes import with_line_bytes
 from snapcat.operators import logs
 from snapcat.plans.monitor import build_alerts
 from snapcat.plans.policy import PLAN_TYPES, plan_rows
@@ -139,7 +139,7 @@ def stream_rate(spark, sf_dir):
     """Hourly windows every half hour; windows still open at the watermark are not reported yet."""
 
 
-    sized = log_lines(event_stream(spark, sf_dir)).withColumn("delta", line_bytes(F.col("line")))
+    sized = with_line_bytes(log_lines(event_stream(spark, sf_dir)), "delta")
     rates = run(spark, progress.stream_rate(sized, "1 hour", "30 minutes"), "append", "stream_rate")
     return rates.select(F.unix_seconds("start").alias("start"), "bytes")
 

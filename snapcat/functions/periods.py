@@ -6,7 +6,9 @@ zone's own clock.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,6 +137,11 @@ def wall_from_unix(seconds: Column, zone: str = "UTC") -> Column:
     return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
+def wall_micros(seconds: Column, zone: str = "UTC") -> Column:
+    """:func:`wall_from_unix` in microseconds."""
+    return seconds.cast("bigint") * 1_000_000 if zone == "UTC" else micros_from_ntz(wall_from_unix(seconds, zone))
+
+
 def unix_from_wall(when: Column, zone: str = "UTC") -> Column:
     utc = when if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), when)
     return F.floor(micros_from_ntz(utc) / 1_000_000).cast("bigint")
@@ -179,40 +186,64 @@ def _round_fixed(micros: Column, amount: Column, unit: str, a: Anchors) -> Colum
     return micros + F.pmod(anchor - micros, period)
 
 
-def _at(day: Column, clock: int) -> Column:
-    return F.unix_date(day).cast("bigint") * DAY + clock
+def _last_day(month: Column) -> Column:
+    """Length of a month, given as year * 12 + month - 1."""
+    return F.dayofmonth(F.last_day(F.add_months(F.lit(date(1970, 1, 1)), (month - 1970 * 12).cast("int"))))
+
+
+def _month_start(month: Column) -> Column:
+    first = F.add_months(F.lit(date(1970, 1, 1)), (month - 1970 * 12).cast("int"))
+    return F.unix_date(first).cast("bigint") * DAY
 
 
-def _clamped_day(year: Column, month: int, monthday: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    return F.make_date(year, F.lit(month), F.least(F.lit(monthday), F.dayofmonth(F.last_day(first))))
+def _today(micros: Column) -> Column:
+    return F.date_from_unix_date(F.floor(micros / F.lit(DAY)).cast("int"))
 
 
 def _round_monthly(micros: Column, amount: Column, a: Anchors) -> Column:
-    """The clamp of the day is sticky: every add_months starts from the date reached so far."""
-    today = F.date_from_unix_date(F.floor(micros / F.lit(DAY)).cast("int"))
+    """Boundaries lie ``amount`` months apart, counted from the anchor month of the same year. The anchor day is cut to
+    the length of every month passed through - the anchor month, the month one period before it if the anchor itself
+    lies ahead, and the months stepped to - and stays cut."""
+    today, amount = _today(micros), amount.cast("int")
     clock = _clock(a.monthly_hour, a.monthly_minute, a.monthly_second)
-    amount = amount.cast("int")
-    anchor = _clamped_day(F.year(today), a.monthly_month, a.monthly_monthday)
-    anchor = F.when(_at(anchor, clock) > micros, F.add_months(anchor, -amount)).otherwise(anchor)
-    behind = (F.year(today) - F.year(anchor)) * 12 + F.month(today) - F.month(anchor)
-    reached = F.add_months(anchor, (behind - F.pmod(behind, amount)).cast("int"))
-    reached = F.when(_at(reached, clock) < micros, F.add_months(reached, amount)).otherwise(reached)
-    return _at(reached, clock)
+    year, month = F.year(today), F.month(today)
+    into_month = micros - F.unix_date(F.trunc(today, "month")).cast("bigint") * DAY
+    anchor_month = year * 12 + (a.monthly_month - 1)
+    anchor_day = F.least(F.lit(a.monthly_monthday), _last_day(anchor_month))
 
+    def into(day: Column) -> Column:
+        return (day - 1).cast("bigint") * DAY + clock
 
-def _round_yearly(micros: Column, amount: Column, a: Anchors) -> Column:
-    year = F.year(F.date_from_unix_date(F.floor(micros / F.lit(DAY)).cast("int")))
-    clock = _clock(a.yearly_hour, a.yearly_minute, a.yearly_second)
-    amount = amount.cast("int")
-    start = _clamped_day(year - F.pmod(year - a.yearly_year, amount), a.yearly_month, a.yearly_monthday)
-    return F.when(_at(start, clock) < micros, _at(F.add_months(start, amount * 12), clock)).otherwise(_at(start, clock))
+    lies_ahead = (month < a.monthly_month) | ((month == a.monthly_month) & (into(anchor_day) > into_month))
+    anchor_day = F.when(lies_ahead, F.least(anchor_day, _last_day(anchor_month - amount))).otherwise(anchor_day)
+    behind = F.pmod(month - a.monthly_month, amount)  # months since the last boundary month
+    reached = year * 12 + month - 1 - behind
+    day = F.least(anchor_day, _last_day(reached))
+    passed = (behind > 0) | (into(day) < into_month)
+    target = reached + F.when(passed, amount).otherwise(0)
+    return _month_start(target) + into(F.least(day, _last_day(target)))
 
 
-def round_up_micros(micros: Column, amount: Column, unit: Column | str, anchors: Anchors = Anchors()) -> Column:
+def _round_yearly(micros: Column, amount: Column, a: Anchors) -> Column:
+    year, amount = F.year(_today(micros)), amount.cast("int")
+    clock = _clock(a.yearly_hour, a.yearly_minute, a.yearly_second)
+    month = (year - F.pmod(year - a.yearly_year, amount)) * 12 + (a.yearly_month - 1)
+    day = F.least(F.lit(a.yearly_monthday), _last_day(month))
+    passed = _month_start(month) + (day - 1).cast("bigint") * DAY + clock < micros
+    target = month + F.when(passed, amount * 12).otherwise(0)
+    return _month_start(target) + (F.least(day, _last_day(target)) - 1).cast("bigint") * DAY + clock
+
+
+def round_up_micros(
+    micros: Column,
+    amount: Column,
+    unit: Column | str,
+    anchors: Anchors = Anchors(),
+    units: Iterable[str] = tuple(PERIOD_MILLIS),
+) -> Column:
     """Wall-clock microseconds rounded up to the next period boundary; an exact boundary, or amount 0, is unchanged.
 
-    ``unit`` may be a column (one plan row per unit); an unknown unit with a non-zero amount gives null."""
+    ``unit`` may be a column (one plan row per unit) with values out of ``units``; any other unit gives null."""
     positive = F.when(amount > 0, amount)  # keeps the modulo away from a zero period
 
     def rounded(name: str) -> Column:
@@ -227,7 +258,7 @@ def round_up_micros(micros: Column, amount: Column, unit: Column | str, anchors:
         if unit not in PERIOD_MILLIS:
             raise ValueError(f"unknown period unit: {unit}")
         return result.otherwise(rounded(unit))
-    for name in PERIOD_MILLIS:
+    for name in units:
         result = result.when(unit == name, rounded(name))
     return result
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The size syntax, its unit letters, and the ETA part of a progress line.
@@ -13,35 +15,62 @@ ETA_PATTERN = r"\A.*?ETA\s*(?:(\d+)[+:])?(\d\d?):(\d\d):(\d\d).*(?:ETA|FIN).*\z"
 BLANKS = " \t\r\n\x0b\x0c"
 
 
-def _part(size: Column, group: int) -> Column:
-    return F.regexp_extract(size, rf"(?d)\A{SIZE_PATTERN}\z", group)
+SEPARATOR = "\x01"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(value: Column, pattern: str, count: int) -> Column:
+    """All groups of a full match as an array, a one-element array without a match: one regex run per row."""
+    joined = F.regexp_replace(value, pattern, SEPARATOR.join(f"${i}" for i in range(1, count + 1)))
+    return F.split(joined, SEPARATOR, count)
+
+
+def _size_groups(size: Column) -> Column:
+    return _groups(size, rf"(?d)\A{SIZE_PATTERN}\z", 5)
+
+
+def _exponent(groups: Column) -> Column:
+    letter = F.get(groups, F.lit(1))
+    return F.when(letter == "", 0).otherwise(F.position(letter, F.lit(UNIT_LETTERS)))
+
+
+def _small_size(groups: Column) -> Column:
+    """Bytes as DOUBLE, units up to E; in binary floating point like any size below 2**53."""
+    number = F.translate(F.get(groups, F.lit(0)), ",٫", "..").try_cast("double")
+    binary, decimal = (F.array(*[F.lit(float(base**i)) for i in range(11)]) for base in (1024, 1000))
+    factor = F.get(F.when(F.get(groups, F.lit(2)) == "i", binary).otherwise(decimal), _exponent(groups))
+    return F.bround(number * factor / F.when(F.get(groups, F.lit(3)) == "b", 8).otherwise(1), 0)
+
+
+def _is_rate(groups: Column) -> Column:
+    return F.startswith(F.get(groups, F.lit(4)), F.lit("/s"))
 
 
 def size_to_bytes(size: Column, strict: bool = True) -> Column:
     """``4.12 KiB foo`` -> 4219 as DECIMAL(38,0); text that is no size gives 0. A rate (``/s`` right behind the size)
     is an error, or null without ``strict``."""
-    number = F.translate(_part(size, 1), ",٫", "..")
-    exponent = F.when(_part(size, 2) == "", 0).otherwise(F.position(_part(size, 2), F.lit(UNIT_LETTERS)))
-    base = F.when(_part(size, 3) == "i", 1024.0).otherwise(1000.0)
-    bits = F.when(_part(size, 4) == "b", 8).otherwise(1)
-    # binary floating point up to E, as the sizes of one transfer; beyond that exact decimals
-    small = F.bround(number.cast("double") * F.pow(base, exponent) / bits, 0)
-    factor = F.lit(None).cast("decimal(31,0)")
-    for i in range(7, 11):
-        factor = F.when(
-            exponent == i,
-            F.when(base == 1024.0, F.lit(str(1024**i)).cast("decimal(31,0)")).otherwise(
-                F.lit(str(1000**i)).cast("decimal(31,0)")
-            ),
-        ).otherwise(factor)
-    large = F.bround(F.try_multiply(number.try_cast("decimal(20,3)"), factor) / bits, 0).try_cast("decimal(38,0)")
-    value = F.when(number == "", F.lit(0).cast("decimal(38,0)")).when(exponent < 7, small.try_cast("decimal(38,0)"))
-    value = value.otherwise(large)
-    is_rate = F.startswith(_part(size, 5), F.lit("/s"))
+    return _let(_size_groups(size), lambda groups: _size_of(groups, size, strict))
+
+
+def _size_of(groups: Column, size: Column, strict: bool) -> Column:
+    zero = F.lit(0).cast("decimal(38,0)")
+    # Z and beyond exceed what a double holds exactly
+    exact = F.translate(F.get(groups, F.lit(0)), ",٫", "..").try_cast("decimal(20,3)")
+    big = [F.array(*[F.lit(str(base**i)).cast("decimal(31,0)") for i in range(7, 11)]) for base in (1024, 1000)]
+    factor = F.get(F.when(F.get(groups, F.lit(2)) == "i", big[0]).otherwise(big[1]), _exponent(groups) - 7)
+    bits = F.when(F.get(groups, F.lit(3)) == "b", 8).otherwise(1)
+    large = F.bround(F.try_multiply(exact, factor) / bits, 0).try_cast("decimal(38,0)")
+    value = F.when(_exponent(groups) < 7, _small_size(groups).try_cast("decimal(38,0)")).otherwise(large)
     if strict:
         problem = F.raise_error(F.concat(F.lit("Invalid size: "), size)).cast("decimal(38,0)")
-        return F.when(is_rate, problem).otherwise(value)
-    return F.when(~is_rate, value)
+        value = F.when(_is_rate(groups), problem).otherwise(value)
+    else:
+        value = F.when(~_is_rate(groups), value)
+    return F.when(F.size(groups) == 5, value).otherwise(zero)
 
 
 def _after_colon(line: Column) -> Column:
@@ -49,25 +78,61 @@ def _after_colon(line: Column) -> Column:
     return F.btrim(rest, F.lit(BLANKS))
 
 
+def _bytes(groups: Column) -> Column:
+    value = F.when(~_is_rate(groups), _small_size(groups).try_cast("bigint"))
+    return F.when(F.size(groups) == 5, value).otherwise(F.lit(0).cast("bigint"))
+
+
 def line_bytes(line: Column) -> Column:
     """Bytes of a progress line, 0 for a line without ``:`` or without a size. BIGINT."""
-    value = size_to_bytes(_after_colon(line), strict=False).try_cast("bigint")
-    return F.when(F.contains(line, F.lit(":")), value).otherwise(F.lit(0).cast("bigint"))
+    # without a colon nothing is left behind it, and that is no size
+    return _let(_size_groups(_after_colon(line)), _bytes)
+
+
+def with_line_bytes(df: DataFrame, output: str = "bytes", line: str = "line") -> DataFrame:
+    """:func:`line_bytes` as a column of a table. The parsed parts are a column of their own in between, which keeps
+    the whole step in generated code and runs the regex once per row."""
+    parsed = df.withColumn("__size", _size_groups(_after_colon(F.col(line))))
+    return parsed.withColumn(output, _bytes(F.col("__size"))).drop("__size")
 
 
 def parse_progress(line: Column) -> Column:
     """struct<bytes BIGINT, remaining_seconds BIGINT, tail STRING>: what is sent, how long the transfer still takes,
     and the rest of the line behind the last rate."""
-    rest = _after_colon(line)
-    tail = F.regexp_replace(F.ltrim(_part(rest, 5)), RATES_PATTERN, "")
-
-    def eta(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(tail, ETA_PATTERN, group).try_cast("bigint"), F.lit(0).cast("bigint"))
-
-    has_colon = F.contains(line, F.lit(":"))
-    remaining = eta(1) * 86400 + eta(2) * 3600 + eta(3) * 60 + eta(4)
-    return F.struct(
-        line_bytes(line).alias("bytes"),
-        F.when(has_colon, remaining).otherwise(F.lit(0).cast("bigint")).alias("remaining_seconds"),
-        F.when(has_colon, tail).otherwise("").alias("tail"),
+    return _let(_size_groups(_after_colon(line)), _progress)
+
+
+def with_progress(df: DataFrame, line: str = "line") -> DataFrame:
+    """The parts of :func:`parse_progress` as columns bytes, remaining_seconds and tail, parsed step by step in
+    generated code."""
+    parsed = df.withColumn("__size", _size_groups(_after_colon(F.col(line))))
+    trimmed = parsed.withColumn("tail", _tail(F.col("__size")))
+    timed = trimmed.withColumn("__eta", _groups(F.col("tail"), ETA_PATTERN, 4))
+    sized = timed.withColumns({"bytes": _bytes(F.col("__size")), "remaining_seconds": _remaining(F.col("__eta"))})
+    return sized.drop("__size", "__eta")
+
+
+def _tail(groups: Column) -> Column:
+    return F.regexp_replace(F.ltrim(F.coalesce(F.get(groups, F.lit(4)), F.lit(""))), RATES_PATTERN, "")
+
+
+def _remaining(times: Column) -> Column:
+    """Seconds from the ETA parts; a line without ETA has no four parts."""
+    zero = F.lit(0).cast("bigint")
+    total = zero
+    for i, seconds in enumerate((86400, 3600, 60, 1)):
+        digits = F.get(times, F.lit(i))
+        # a missing part is empty text; a failing try_cast would cost an exception per row
+        total = total + F.when(F.length(digits).between(1, 12), digits.cast("bigint")).otherwise(zero) * seconds
+    return F.when(F.size(times) == 4, total).otherwise(zero)
+
+
+def _progress(groups: Column) -> Column:
+    return _let(
+        _tail(groups),
+        lambda tail: F.struct(
+            _bytes(groups).alias("bytes"),
+            _let(_groups(tail, ETA_PATTERN, 4), _remaining).alias("remaining_seconds"),
+            tail.alias("tail"),
+        ),
     )

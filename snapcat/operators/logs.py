@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapcat.functions.sizes import line_bytes
+from snapcat.functions.sizes import line_bytes, with_line_bytes
 from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
 
 
@@ -22,7 +22,7 @@ def _intermediate() -> Column:
 
 def bytes_delta(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``bytes`` and ``delta``: bytes sent since the previous line of the file; a final line resets the base."""
-    sized = log.withColumn("bytes", line_bytes(F.col("line")))
+    sized = with_line_bytes(log)
     in_flight = F.when(_intermediate(), F.col("bytes")).otherwise(F.lit(0).cast("bigint"))
     scanned = ordered_scan(sized, ["file"], ["seq"], lasts={"__base": in_flight}, bits=bits)
     zero = F.lit(0).cast("bigint")
@@ -32,8 +32,9 @@ def bytes_delta(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
 def bytes_transferred(log: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """Bytes per file (or other grouping that keeps files whole): all final lines, plus the last line of the file if it
     is an intermediate one. One map-side combined aggregation, no sort of a file."""
-    sized = log.select("file", *[c for c in by if c != "file"], "seq", "terminator", line_bytes(F.col("line")).alias("b"))
-    per_file = sized.groupBy("file", *[c for c in by if c != "file"]).agg(
+    keys = ["file", *[c for c in by if c != "file"]]
+    sized = with_line_bytes(log.select(*keys, "seq", "terminator", "line"), "b")
+    per_file = sized.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(~_intermediate(), F.col("b"))), F.lit(0)).alias("final"),
         F.max(F.struct("seq", F.when(_intermediate(), F.col("b")).otherwise(0).alias("open")))["open"].alias("open"),
     )

@@ -66,6 +66,12 @@ def plan_labels(plan: Plan, positive: bool = True) -> list[Label]:
     return [Label.of(r["org"], r["target"], r["period"]) for r in plan_rows(plan) if r["amount"] or not positive]
 
 
+def plan_units(plan: Plan) -> list[str]:
+    """Period units that occur in a plan."""
+    found = (re.fullmatch(PERIOD_PATTERN, str(row["period"])) for row in plan_rows(plan))
+    return list(dict.fromkeys(match.group(2) for match in found if match))
+
+
 def check_periods(plan: Plan) -> None:
     """Sub-daily periods must divide a day and monthly ones a year, so that events repeat at the same time."""
     for row in plan_rows(plan):

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapcat.functions.periods import Anchors, micros_from_ntz, ntz_from_micros, round_up_micros, wall_from_unix
+from snapcat.functions.periods import PERIOD_MILLIS, Anchors, ntz_from_micros, round_up_micros, wall_micros
 from snapcat.operators.labels import LABEL, minmax_by_label
-from snapcat.plans.policy import Plan, check_periods, plan_frame, plan_labels
+from snapcat.plans.policy import Plan, check_periods, plan_frame, plan_labels, plan_units
 
 
-def with_next_boundary(df: DataFrame, created: Column, zone: str, anchors: Anchors) -> DataFrame:
+def with_next_boundary(
+    df: DataFrame, created: Column, zone: str, anchors: Anchors, units: Iterable[str] = tuple(PERIOD_MILLIS)
+) -> DataFrame:
     """Adds ``__event``, the first boundary strictly after an instant (UTC seconds) as wall-clock microseconds of the
     zone, for the period in columns n and unit. The wall clock is a column of its own because rounding reads it often.
     """
-    timed = df.withColumn("__wall", micros_from_ntz(wall_from_unix(created, zone)) + 1)
-    event = round_up_micros(F.col("__wall"), F.col("n"), F.col("unit"), anchors)
+    timed = df.withColumn("__wall", wall_micros(created, zone) + 1)
+    event = round_up_micros(F.col("__wall"), F.col("n"), F.col("unit"), anchors, units)
     return timed.withColumn("__event", event).drop("__wall")
 
 
@@ -37,8 +39,8 @@ def due_series(
     check_periods(plan)
     entries = plan_frame(datasets, plan).filter(F.col("amount") > 0).select(*LABEL, "n", "unit", "period_ms")
     rows = minmax.join(datasets.select("dataset").distinct(), "dataset", "left_semi").join(entries, list(LABEL))
-    wall_now = micros_from_ntz(wall_from_unix(F.lit(now), zone))
-    timed = with_next_boundary(rows, F.col("latest_creation"), zone, anchors)
+    wall_now = wall_micros(F.lit(now), zone)
+    timed = with_next_boundary(rows, F.col("latest_creation"), zone, anchors, plan_units(plan))
     due = F.lit(always) | (F.col("n") == 0) | (F.col("latest_creation") == 0) | (wall_now >= F.col("__event"))
     return timed.select(
         "dataset", *LABEL, "period_ms", "latest_creation", ntz_from_micros(F.col("__event")).alias("next_event"),

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per Column expression: it triples the round trips while a plan is built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

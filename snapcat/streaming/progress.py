@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from snapcat.functions.sizes import line_bytes, parse_progress
+from snapcat.functions.sizes import with_line_bytes, with_progress
 
 DELTA_SCHEMA = "file STRING, seq BIGINT, ts TIMESTAMP, delta BIGINT"
 
@@ -23,7 +23,7 @@ def stream_progress(lines: DataFrame) -> DataFrame:
 
     The deltas of a file telescope to exactly this sum, so no per-line state is needed."""
     intermediate = F.col("terminator") == "\r"
-    sized = lines.withColumn("b", line_bytes(F.col("line")))
+    sized = with_line_bytes(lines, "b")
     return sized.groupBy("file").agg(
         (
             F.coalesce(F.sum(F.when(~intermediate, F.col("b"))), F.lit(0))
@@ -35,11 +35,10 @@ def stream_progress(lines: DataFrame) -> DataFrame:
 def stream_eta(lines: DataFrame) -> DataFrame:
     """Newest line per file with its expected end (null-free: a line without ETA ends now). Update or complete mode;
     :func:`latest_eta` picks the last one to finish."""
-    parsed = parse_progress(F.col("line"))
-    rows = lines.select("file", "seq", "ts", parsed.alias("p"))
-    eta = F.timestamp_seconds(F.unix_seconds("ts") + F.col("p.remaining_seconds"))
+    rows = with_progress(lines.select("file", "seq", "ts", "line"))
+    eta = F.timestamp_seconds(F.unix_seconds("ts") + F.col("remaining_seconds"))
     return rows.groupBy("file").agg(
-        F.max(F.struct("seq", eta.alias("eta"), F.col("p.tail").alias("tail"))).alias("last")
+        F.max(F.struct("seq", eta.alias("eta"), "tail")).alias("last")
     ).select("file", "last.eta", "last.seq", "last.tail")
 
 
@@ -60,7 +59,7 @@ def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def stream_deltas(lines: DataFrame) -> DataFrame:
     """``file, seq, ts, delta`` per line. Append mode. Holds the new lines of one file and trigger in a task."""
-    sized = lines.select("file", "seq", "ts", "terminator", line_bytes(F.col("line")).alias("bytes"))
+    sized = with_line_bytes(lines.select("file", "seq", "ts", "terminator", "line")).drop("line")
     return sized.groupBy("file").applyInPandasWithState(
         _deltas, DELTA_SCHEMA, "in_flight BIGINT", "append", GroupStateTimeout.NoTimeout
     )
