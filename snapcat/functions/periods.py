@@ -154,7 +154,8 @@ def iso_from_unix(seconds: Column) -> Column:
 
 def unix_from_iso(value: Column) -> Column:
     """ISO 8601 text, ``T``, blank or ``_`` between date and time. Text without an offset is taken as UTC."""
-    normal = F.regexp_replace(value, r"\A(\d{4}-\d\d-\d\d)_", "$1T")
+    normal = F.regexp_replace(value, r"\A(\d{4}-\d\d-\d\d)(?:_|\z)", "$1T")
+    normal = F.when(F.endswith(normal, F.lit("T")), F.concat(normal, F.lit("00:00:00"))).otherwise(normal)
     zoned = F.when(normal.rlike(r"(?:Z|[+-]\d\d:?\d\d)\z"), normal).otherwise(F.concat(normal, F.lit("Z")))
     return F.floor(F.unix_micros(zoned.cast("timestamp")) / 1_000_000).cast("bigint")
 

@@ -58,13 +58,14 @@ def size_to_bytes(size: Column, strict: bool = True) -> Column:
 
 def _size_of(groups: Column, size: Column, strict: bool) -> Column:
     zero = F.lit(0).cast("decimal(38,0)")
-    # Z and beyond exceed what a double holds exactly
+    # E and beyond may exceed BIGINT
     exact = F.translate(F.get(groups, F.lit(0)), ",٫", "..").try_cast("decimal(20,3)")
-    big = [F.array(*[F.lit(str(base**i)).cast("decimal(31,0)") for i in range(7, 11)]) for base in (1024, 1000)]
-    factor = F.get(F.when(F.get(groups, F.lit(2)) == "i", big[0]).otherwise(big[1]), _exponent(groups) - 7)
+    big = [F.array(*[F.lit(str(base**i)).cast("decimal(31,0)") for i in range(6, 11)]) for base in (1024, 1000)]
+    factor = F.get(F.when(F.get(groups, F.lit(2)) == "i", big[0]).otherwise(big[1]), _exponent(groups) - 6)
     bits = F.when(F.get(groups, F.lit(3)) == "b", 8).otherwise(1)
     large = F.bround(F.try_multiply(exact, factor) / bits, 0).try_cast("decimal(38,0)")
-    value = F.when(_exponent(groups) < 7, _small_size(groups).try_cast("decimal(38,0)")).otherwise(large)
+    small = _small_size(groups).try_cast("bigint").cast("decimal(38,0)")
+    value = F.when(_exponent(groups) < 6, small).otherwise(large)
     if strict:
         problem = F.raise_error(F.concat(F.lit("Invalid size: "), size)).cast("decimal(38,0)")
         value = F.when(_is_rate(groups), problem).otherwise(value)

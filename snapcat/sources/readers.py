@@ -81,7 +81,7 @@ def read_transfer_logs(spark: SparkSession, path: str) -> DataFrame:
     A final status line ends in a newline, intermediate ones in a carriage return. Lines are split at newlines, which
     keeps large files splittable; the last update of a row is the final line, or the newest intermediate one if the
     transfer is still running."""
-    rows = spark.read.option("lineSep", "\n").text([path, path + "_[0-9]*"])
+    rows = spark.read.option("lineSep", "\n").text(path + "{,_[0-9]*}")
     updates = F.filter(F.split("value", "\r"), lambda u: u != "")
     return (
         rows.select(F.col("_metadata.file_path").alias("file"), updates.alias("updates"))
