@@ -113,8 +113,14 @@ def stream_bytes(spark, sf_dir):
 
 @query(LINES_SQL + "SELECT file, seq, delta FROM deltas")
 def stream_deltas(spark, sf_dir):
-    deltas = progress.stream_deltas(log_lines(event_stream(spark, sf_dir)))
-    return run(spark, deltas, "append", "stream_deltas").select("file", "seq", "delta")
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream_deltas-{uuid.uuid4().hex}")
+
+    def sink(deltas, batch_id):
+        deltas.write.mode("overwrite").parquet(f"{base}/result/batch={batch_id}")
+
+    writer = progress.stream_deltas(log_lines(event_stream(spark, sf_dir)), f"{base}/open", sink)
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/result").select("file", "seq", "delta")
 
 
 @query(

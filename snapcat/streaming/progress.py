@@ -1,21 +1,22 @@
 """Progress of running transfers as Structured Streaming queries.
 
 Input: a stream of log lines ``file, seq, line, terminator, ts``. The aggregations are built-in and keep one row of
-state per file. Only the per-line byte deltas need the previous line of a file, and so a state function.
+state per file. Only the per-line byte deltas need the previous line of a file; they carry it from batch to batch in a
+table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
 from snapcat.functions.sizes import with_line_bytes, with_progress
+from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
 
-DELTA_SCHEMA = "file STRING, seq BIGINT, ts TIMESTAMP, delta BIGINT"
+OPEN_SCHEMA = "file STRING, seq BIGINT, open BIGINT"
 
 
 def stream_progress(lines: DataFrame) -> DataFrame:
@@ -47,22 +48,32 @@ def latest_eta(etas: DataFrame) -> DataFrame:
     return etas.agg(F.max(F.struct("eta", "file", "tail")).alias("m")).select("m.eta", "m.file", "m.tail")
 
 
-def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one file in one micro-batch, sorted here; the state is the bytes of the open transfer."""
-    in_flight = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches)).sort_values("seq")
-    base = rows["bytes"].where(rows["terminator"] == "\r", 0)
-    rows["delta"] = rows["bytes"] - base.shift(1, fill_value=in_flight)
-    state.update((int(base.iloc[-1]),))
-    yield rows[["file", "seq", "ts", "delta"]]
-
-
-def stream_deltas(lines: DataFrame) -> DataFrame:
-    """``file, seq, ts, delta`` per line. Append mode. Holds the new lines of one file and trigger in a task."""
-    sized = with_line_bytes(lines.select("file", "seq", "ts", "terminator", "line")).drop("line")
-    return sized.groupBy("file").applyInPandasWithState(
-        _deltas, DELTA_SCHEMA, "in_flight BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
+def stream_deltas(
+    lines: DataFrame, state_path: str, sink: Callable[[DataFrame, int], None], bits: int = CHUNK_BITS
+) -> DataStreamWriter:
+    """A writer that hands ``file, seq, ts, delta`` of each micro-batch to ``sink(rows, batch_id)``. Set trigger and
+    checkpoint, then start.
+
+    What a transfer had sent when the last batch ended is a small table under ``state_path`` (a folder all executors
+    share), one version per batch: a batch reads the version before its own, so repeating it after a failure gives
+    the same rows. A busy log is split into chunks as in batch, never handled as one group."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        sized = with_line_bytes(batch.select("file", "seq", "ts", "terminator", "line")).drop("line")
+        open_bytes = F.when(F.col("terminator") == "\r", F.col("bytes")).otherwise(F.lit(0).cast("bigint"))
+        rows = sized.withColumn("open", open_bytes).drop("terminator").withColumn("is_new", F.lit(True))
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(OPEN_SCHEMA).parquet(f"{state_path}/{batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
+        last = F.max(F.struct("seq", "open")).alias("last")
+        rows.groupBy("file").agg(last).select("file", "last.seq", "last.open").write.mode("overwrite").parquet(
+            f"{state_path}/{batch_id}"
+        )
+        scanned = ordered_scan(rows, ["file"], ["seq"], lasts={"base": F.col("open")}, bits=bits)
+        delta = F.col("bytes") - F.coalesce("base", F.lit(0).cast("bigint"))
+        sink(scanned.filter("is_new").select("file", "seq", "ts", delta.alias("delta")), batch_id)
+
+    return lines.writeStream.foreachBatch(step)
 
 
 def stream_rate(deltas: DataFrame, window: str = "30 seconds", slide: str = "1 second", late: str = "1 minute") -> DataFrame:
