@@ -8,7 +8,7 @@ from fleet_queries.base import CATALOG_SQL, NOW, catalog, query, table
 from snapcat.operators import filters
 from snapcat.operators.filters import Rank, RegexFilter, TimeOrRankFilter, times_and_ranks
 from snapcat.operators.labels import match_labels
-from snapcat.operators.ordered import duplicates, latest_k, oldest_k, semi
+from snapcat.operators.ordered import difference, duplicates, intersection, latest_k, oldest_k, semi
 from snapcat.plans import policy, retention
 
 ROW = ["dataset", "kind", "name", "creation", "createtxg"]
@@ -262,8 +262,6 @@ UNION ALL SELECT 'gone', rel_dataset, guid FROM (SELECT rel_dataset, guid FROM d
 )
 def guid_sets(spark, sf_dir):
     """Intersection and difference of the guids of both sides."""
-    from snapcat.operators.ordered import difference, intersection
-
     src, dst, key = catalog(spark, sf_dir, "src"), catalog(spark, sf_dir, "dst"), ["rel_dataset", "guid"]
     common = intersection(dst, src, key).select(F.lit("common").alias("part"), *key)
     return common.unionByName(difference(dst, src, key).select(F.lit("gone").alias("part"), *key))

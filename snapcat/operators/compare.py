@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions.human import human_bytes, human_duration
-from snapcat.functions.names import relativize
 from snapcat.functions.periods import iso_from_unix
 from snapcat.operators.filters import Filter, flag_snapshots
 from snapcat.operators.ordered import salted_join
@@ -19,10 +18,11 @@ LOCATIONS = ("all", "src", "dst")
 
 def dedupe_bookmarks(df: DataFrame, selected: Column | None = None) -> DataFrame:
     """One row per (rel_dataset, guid): the snapshot before its bookmark. A temporary bookmark only counts where no
-    other row has its guid; that is decided before ``selected`` filters the other rows. One aggregation."""
+    other row has its guid; that is decided before ``selected`` filters the other rows. One aggregation, over the
+    columns a name is made of instead of the name."""
     is_tmp = F.col("kind") == TMP_BOOKMARK
     chosen = F.lit(True) if selected is None else selected
-    rest = [c for c in ("root", "kind", "creation", "written", "name", "held") if c in df.columns]
+    rest = ["root", "kind", "creation", "written"]
     row = F.struct((F.col("kind") != SNAPSHOT).alias("second"), "createtxg", "tag", *rest)
     best = df.groupBy("rel_dataset", "guid").agg(
         F.min(F.when(~is_tmp & chosen, row)).alias("best"),
@@ -34,6 +34,7 @@ def dedupe_bookmarks(df: DataFrame, selected: Column | None = None) -> DataFrame
         best.select("rel_dataset", "guid", winner.alias("row"))
         .filter(F.col("row").isNotNull())
         .select("rel_dataset", "guid", "row.createtxg", "row.tag", *[f"row.{c}" for c in rest])
+        .withColumn("name", F.concat("root", "rel_dataset", F.when(F.col("kind") == SNAPSHOT, "@").otherwise("#"), "tag"))
     )
 
 
@@ -57,7 +58,7 @@ def compare_catalogs(
         return dedupe_bookmarks(others.unionByName(tmp), F.col("selected"))
 
     keys = ["rel_dataset", "guid"]
-    columns = ["root", "kind", "creation", "createtxg", "written", "tag", "name"]
+    columns = ["root", "kind", "creation", "createtxg", "written", "tag"]
     s = side(src).select(*keys, F.struct(*columns).alias("s"))
     d = side(dst).select(*keys, F.struct(*columns).alias("d"))
     location = F.when(F.col("d").isNull(), "src").when(F.col("s").isNull(), "dst").otherwise("all")
@@ -65,15 +66,16 @@ def compare_catalogs(
     rows = joined.filter(
         F.col("location").isin(*locations) & ~((F.col("location") == "src") & (F.col("row.kind") == TMP_BOOKMARK))
     )
+    separator = F.when(F.col("row.kind") == SNAPSHOT, "@").otherwise("#")
     return rows.select(
         "location",
         iso_from_unix(F.col("row.creation")).alias("creation_iso"),
         "row.createtxg",
-        relativize(F.col("row.name"), F.col("row.root")).alias("rel_name"),
+        F.concat("rel_dataset", separator, "row.tag").alias("rel_name"),
         "guid",
         F.col("row.root").alias("root_dataset"),
         "rel_dataset",
-        "row.name",
+        F.concat("row.root", "rel_dataset", separator, "row.tag").alias("name"),
         "row.creation",
         "row.written",
         "row.tag",
@@ -101,6 +103,13 @@ def compare_datasets(src: DataFrame, dst: DataFrame) -> DataFrame:
     )
 
 
+def pair_datasets(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Datasets of both sides that belong together: ``rel_dataset, src_dataset, dst_dataset``."""
+    return src.select("rel_dataset", F.col("dataset").alias("src_dataset")).join(
+        dst.select("rel_dataset", F.col("dataset").alias("dst_dataset")), "rel_dataset"
+    )
+
+
 def _latest_common(cmp: DataFrame) -> DataFrame:
     common = F.when(F.col("location") == "all", F.struct(*COMPARISON_ORDER))
     return cmp.groupBy("rel_dataset").agg(F.max(common).alias("latest_common"))

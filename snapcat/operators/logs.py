@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.functions.sizes import line_bytes, with_line_bytes
-from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
+from snapcat.operators.ordered import CHUNK_BITS, ordered_scan, salted_join
 
 
 def _intermediate() -> Column:
@@ -72,7 +72,8 @@ def sliding_rate(
         *by, F.explode(F.sequence(F.col(second), F.col(second) + window - 1)).alias(second), "delta"
     )
     summed = spread.groupBy(*by, second).agg(F.sum("delta").alias("bytes"))
-    rows = summed.join(per_second.select(*by, second), [*by, second], "left_semi").join(start, list(by))
+    sampled = summed.join(per_second.select(*by, second), [*by, second], "left_semi")
+    rows = salted_join(sampled, start, list(by), "inner", [second])
     elapsed = F.least(F.lit(window), F.col(second) - F.col("__start") + 1)
     return rows.select(
         *by, second, "bytes", elapsed.cast("bigint").alias("elapsed"),

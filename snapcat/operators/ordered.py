@@ -14,11 +14,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A chunk spans 2**18 values of the order key, so it holds at most 262,144 rows per tie of that key.
+# A chunk spans 2**18 values of the order key, so it holds at most 262,144 rows per tie of that key, and a series has
+# at most (range of the key) / 2**18 summary rows. The key should be a counter (transaction group, line number); for a
+# sparse one, such as a clock in microseconds, pass more bits.
 CHUNK_BITS = 18
 SALTS = 16
 
-_CHUNK, _SALT = "__chunk", "__salt"
+CHUNK, _SALT = "__chunk", "__salt"
+
+
+def with_chunk(df: DataFrame, key: str, bits: int = CHUNK_BITS) -> DataFrame:
+    """Adds the chunk column. Added once before several scans of the same rows in the same order, it lets the later
+    scans find their rows already partitioned."""
+    return df.withColumn(CHUNK, F.shiftright(F.col(key), bits))
 
 
 def ordered_scan(
@@ -35,13 +43,16 @@ def ordered_scan(
     * ``sums``: sum of an integer expression over all earlier rows of the group;
     * ``totals``: its sum over the whole group;
     * ``lasts``: the latest non-null value of an expression among all earlier rows.
+
+    Whole rows are shuffled once, by (group, chunk). The summary reads the input a second time, but only its keys and
+    the summed columns, and is combined before its shuffle. An expensive input is better written to a table first.
     """
     sums, totals, lasts = dict(sums or {}), dict(totals or {}), dict(lasts or {})
     counted = {**sums, **totals}
     values = {f"__v_{name}": F.coalesce(c, F.lit(0)).cast("bigint") for name, c in counted.items()}
     values |= {f"__v_{name}": c for name, c in lasts.items()}
-    keys = [*group, _CHUNK]
-    rows = df.withColumns({**values, _CHUNK: F.shiftright(F.col(order[0]), bits)}).repartition(*keys)
+    keys = [*group, CHUNK]
+    rows = (df if CHUNK in df.columns else with_chunk(df, order[0], bits)).withColumns(values)
 
     position = F.struct(*order)
     summary = rows.groupBy(*keys).agg(
@@ -52,9 +63,8 @@ def ordered_scan(
             .alias(f"__l_{name}")
             for name in lasts
         ],
-        *([F.count(F.lit(1)).alias("__rows")] if not counted and not lasts else []),
     )
-    by_chunk = Window.partitionBy(*group).orderBy(_CHUNK)
+    by_chunk = Window.partitionBy(*group).orderBy(CHUNK)
     earlier_chunks = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     carried = summary.select(
