@@ -1,7 +1,5 @@
 """Catalog comparison on worked cases."""
 
-from pyspark.sql import functions as F
-
 from snapcat.operators import compare
 from snapcat.operators.filters import RegexFilter
 from tests.conftest import snapshots, values
@@ -101,4 +99,3 @@ def test_a_hot_guid_is_combined_before_the_shuffle(spark):
     assert one.filter("guid = 'hot'").first()["name"] == "tank/src/a#copy0"
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan
-    assert F is not None

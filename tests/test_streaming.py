@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from snapcat.operators import logs
 from snapcat.operators.labels import Label
-from snapcat.plans import monitor
 from snapcat.schema import PROGRESS
 from snapcat.streaming import progress, staleness
 from tests.conftest import snapshots, values
@@ -89,4 +88,3 @@ def test_monitor(spark, tmp_path):
     writer = staleness.stream_monitor(feed, labels, alerts, lambda: 1000, lambda rows, i: seen.update({i: values(rows, "dataset", "level")}))
     finish(writer, tmp_path)
     assert seen == {0: [("tank/a", 1)], 1: [("tank/a", 1), ("tank/b", 1)], 2: [("tank/a", 0), ("tank/b", 1)]}
-    assert monitor.WARNING == 1
