@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import quality
-from snapcat.llm.shared import table
+from snapcat.llm import packing, quality, token_files
+from snapcat.llm.shared import ship, table
 
 QUERIES = {}
 SQL = {}
@@ -14,7 +15,11 @@ SQL = {}
 
 def query(name: str, sql: str | None = None):
     def register(function):
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return function
@@ -28,3 +33,16 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op9_packing")
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+@query("op7_token_shards")
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_shards(manifest, with_ids=False).drop("ids")

@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 import gc
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from snapcat.session import ensure_checkpoint_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once per application, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "snapcat.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,7 +125,3 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
-
-
-def doc_schema(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
