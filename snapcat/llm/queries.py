@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import packing, quality, token_files
+from snapcat.llm import bpe, packing, quality, token_files
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -46,3 +46,10 @@ def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_shards(manifest, with_ids=False).drop("ids")
+
+
+@query("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=False).drop("ids")

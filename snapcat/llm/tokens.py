@@ -19,14 +19,51 @@ MARKS = ",."
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
-class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), equal to the library's on the whole text.
+class Pieces:
+    """Ids of texts as bytes (little-endian unsigned 32-bit), from the ids of their distinct pieces.
 
-    The pattern that splits a text before merging always splits in front of a single space, so a text is cut there, and the
-    library encodes each distinct piece once. Texts with runs of white space after a space are encoded whole.
+    The pattern that splits a text before merging always splits in front of a single space, so a text is cut there, and each
+    distinct piece is encoded once. Texts with runs of white space behind a space are encoded whole.
     """
 
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        raise NotImplementedError
+
+    def learn(self, pieces: set[str]) -> None:
+        """Adds the ids of new pieces, each with the space in front of it, to ``known``."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        heads: list[str] = []
+        rests: list[list[str]] = []
+        new: set[str] = set()
+        if len(self.known) > MEMORY:
+            self.known = {}
+        for text in texts:
+            if not text or RUN.search(text):
+                heads.append(text or "")
+                rests.append([])
+            else:
+                pieces = text.split(" ")
+                heads.append(pieces.pop(0))
+                rests.append(pieces)
+                new.update(pieces)
+        self.learn(new.difference(self.known))
+        get = self.known.__getitem__
+        fronts = dict(zip(asked := [h for h in heads if h], self.wholes(asked), strict=True))
+        fronts[""] = b""
+        return [fronts[head] + b"".join(map(get, pieces)) for head, pieces in zip(heads, rests, strict=True)]
+
+
+class Encoder(Pieces):
+    """By the tokenizers library; equal to its ids of the whole text."""
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,14 +74,30 @@ class Encoder:
         self.lengths = np.ones(self.vocab_size, dtype=np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self.whole(m) for m in MARKS}
+        self.marks = dict(zip(MARKS, self.wholes(list(MARKS)), strict=True))
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, each with the space in front of it, many in one call."""
+    def learn(self, pieces: set[str]) -> None:
+        """A word and the mark behind it are separate tokens, so such a piece comes from the ids of both."""
+        known, marked = self.known, []
+        words = set()
+        for p in pieces:
+            word = p[:-1]
+            if p[-1] in MARKS and LETTERS.fullmatch(word):
+                marked.append(p)
+                if word not in known:
+                    words.add(word)
+            else:
+                words.add(p)
+        self.learn_words(list(words))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def learn_words(self, pieces: list[str]) -> None:
+        """Many in one call of the library; token lengths tell where one ends."""
         at, texts, parts = 0, [], []
         while at < len(pieces):
             size, end = 0, at
@@ -67,45 +120,6 @@ class Encoder:
                     known[p] = raw[start:cut]
                     start = cut
 
-    def learn_all(self, new: set[str]) -> None:
-        """A word and the mark behind it are separate tokens, so such a piece comes from the ids of both."""
-        known, marked = self.known, []
-        words = set()
-        for p in new:
-            word = p[:-1]
-            if p[-1] in MARKS and LETTERS.fullmatch(word):
-                marked.append(p)
-                if word not in known:
-                    words.add(word)
-            elif p not in known:
-                words.add(p)
-        self.learn(list(words))
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, str, list[str]]] = []
-        new: set[str] = set()
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = b""
-            elif RUN.search(text):
-                out[k] = self.whole(text)
-            else:
-                pieces = text.split(" ")
-                head = pieces.pop(0)
-                split.append((k, head, pieces))
-                new.update(pieces)
-        self.learn_all(new.difference(known))
-        get = known.__getitem__
-        for k, head, pieces in split:
-            out[k] = (self.whole(head) if head else b"") + b"".join(map(get, pieces))
-        return out  # type: ignore[return-value]
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
