@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import bpe, packing, quality, token_files
+from snapcat.llm import bpe, packing, quality, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -53,3 +53,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+@query("op2_warc", warc.oracle_sql())
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    read = warc.read_archives(manifest, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")

@@ -125,3 +125,27 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
+
+
+def hot_limit(spark: SparkSession, total: int) -> tuple[int, int]:
+    """(least, most): keys with ``least`` rows or more count as hot; there cannot be more than ``most`` of them."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    least = max(1000, total // (4 * parts))
+    return least, total // least
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, spread, least: int) -> DataFrame:
+    """Left join of rows with ``found`` (one row per string ``key``, with the number of its rows in ``_count``).
+
+    Hot keys are few by proof (see :func:`hot_limit`), so their entries are broadcast; their rows then take a key of their
+    own (``spread`` tells them apart) and pass through the shuffle of the others evenly. ``found`` must be stored.
+    """
+    hot = F.broadcast(found.where(F.col("_count") >= least).select(F.col(key), F.struct(*found.columns).alias("_hot")))
+    cold = found.where(F.col("_count") < least).select(F.col(key).alias("_key"), F.struct(*found.columns).alias("_cold"))
+    marked = rows.join(hot, key, "left").withColumn(
+        "_key",
+        F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.lit("#"), spread.cast("string"))),
+    )
+    joined = marked.join(cold, "_key", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    others = [c for c in found.columns if c != key]
+    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in others])
