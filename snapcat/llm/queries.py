@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import bpe, packing, quality, token_files, warc
+from snapcat.llm import ann, bpe, packing, quality, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -60,3 +60,8 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     read = warc.read_archives(manifest, with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op8_posting_lists")
+def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
