@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, packing, quality, token_files, warc
+from snapcat.llm import ann, bpe, packing, quality, sharding, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -65,3 +65,8 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_posting_lists")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_label_shards")
+def label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
