@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, packing, quality, sharding, token_files, warc
+from snapcat.llm import ann, bpe, packing, quality, sharding, suffix_dedup, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -70,3 +70,8 @@ def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_label_shards")
 def label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
