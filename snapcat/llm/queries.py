@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, packing, quality, sharding, suffix_dedup, token_files, warc
+from snapcat.llm import ann, bpe, packing, quality, sharding, substring, suffix_dedup, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -75,3 +75,8 @@ def label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query("op5_substring_dedup", substring.oracle_sql())
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("rid", "kept")
