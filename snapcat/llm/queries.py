@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, packing, quality, sharding, substring, suffix_dedup, token_files, warc
+from snapcat.llm import ann, bpe, ngram_join, packing, quality, sharding, substring, suffix_dedup, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -80,3 +80,8 @@ def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup", substring.oracle_sql())
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).drop("rid", "kept")
+
+
+@query("op3_ngram_join", ngram_join.oracle_sql())
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
