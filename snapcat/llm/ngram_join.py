@@ -261,7 +261,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) that link, by their whole texts (rid, text). Texts that many pairs need are repeated for parts."""
     # a's text meets its pairs in parts of about 256
     often = stored(
-        pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_count")).where("_count > 256").withColumn("name", F.col("a").cast("string")),
+        pairs.groupBy("a")
+        .agg(F.count(F.lit(1)).alias("_count"))
+        .where("_count > 256")
+        .withColumn("name", F.col("a").cast("string")),
         "pair-pivots",
     )
     parts = F.coalesce(F.ceil(F.col("_count") / 256), F.lit(1)).cast("int")
@@ -307,8 +310,8 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     star = stored(star.select(col("pivot").alias("a"), col("rid").alias("b")).distinct(), "join-star")
     first = stored(verified(star, texts, k, percent), "join-links")
-    joined = components(spark, first)
-    rows = buckets.drop("pivot", "pn", "pr").join(joined.withColumnRenamed("doc_id", "rid"), "rid", "left")
+    found = components(spark, first)
+    rows = buckets.drop("pivot", "pn", "pr").join(found.withColumnRenamed("doc_id", "rid"), "rid", "left")
     rows = rows.withColumn("c", F.coalesce("component_id", "rid")).drop("component_id")
     mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     rows = stored(rows.join(mixed, "key", "left_semi"), "join-open")
@@ -332,7 +335,9 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         & ((col("na") > col("n")) | ((col("na") == col("n")) & (col("a") > col("b"))))
         & possible(col("na"), col("ra"), col("n"), col("r"), col("pairs"), percent)
     )
-    second = stored(second.select("a", "b").distinct().join(star.select(col("b").alias("a"), col("a").alias("b")), ["a", "b"], "left_anti"), "join-rest")
+    tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    second = stored(second.join(tried, ["a", "b"], "left_anti"), "join-rest")
     return first.unionByName(stored(verified(second, texts, k, percent), "join-links"))
 
 
@@ -343,13 +348,24 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100")
+    return joined(repeats.identified(docs), k, percent)
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents of ``docs``, one of each component of links: that with the smallest doc_id. All columns stay."""
     docs = repeats.identified(docs)
+    first = joined(docs, k, percent).where("rid = component").select("rid")
+    return docs.join(first, "rid", "left_semi").select("row.*")
+
+
+def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """:func:`join` of identified documents."""
     sets = stored(prefixes(docs, k, percent), "join-sets")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("_count"))
     classes = stored(classes, "join-classes")
     alone = sets.join(classes.select(F.col("first").alias("rid")), "rid", "left_semi")
-    joined = components(docs.sparkSession, links(alone, docs, k, percent))
-    owners = classes.join(joined.withColumnRenamed("doc_id", "first"), "first", "left").select(
+    linked = components(docs.sparkSession, links(alone, docs, k, percent))
+    owners = classes.join(linked.withColumnRenamed("doc_id", "first"), "first", "left").select(
         F.concat_ws("-", "s1", "s2", "n").alias("name"), "_count", F.coalesce("component_id", "first").alias("component")
     )
     owners = stored(owners, "join-owners")

@@ -79,7 +79,7 @@ def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_substring_dedup", substring.oracle_sql())
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents")).drop("rid", "kept")
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("cut")
 
 
 @query("op3_ngram_join", ngram_join.oracle_sql())

@@ -51,12 +51,13 @@ Unit = Bytes | Words
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text): rid is unique and grows with doc_id.
+    """(rid, doc_id, text, row): rid is unique and grows with doc_id; row is the whole input row.
 
     It is doc_id itself where that is unique; only rows with null or repeated doc_ids are numbered, nulls first, then by a
     hash of the text.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row)
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if twice.isEmpty():
         return docs.withColumn("rid", F.col("doc_id"))

@@ -13,6 +13,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from snapcat.llm.shared import stored
 
 WINDOW = 35
 GRAM = 12
+BLANK = r"[\x09-\x0D\x20]"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Cuts of one key that a shard holds.
 MOST = 100_000
 
@@ -81,42 +84,96 @@ def marked(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = M
     return texts, spans
 
 
-def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """rid, doc_id, n_words, n_removed, kept_sha256 and kept: the words left, with one space between."""
-    docs = repeats.identified(docs)
+def removed(docs: DataFrame, width: int, gram: int, most: int) -> DataFrame:
+    """Stored (rid, n_removed, kept_sha256, cut) of the identified documents that lose words.
+
+    ``cut`` is the text without them: what stands between the words that stay is as it was, and where words are taken out a
+    line break stays if one bordered on them, else a space.
+    """
     texts, spans = marked(docs, width, gram, most)
     per_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = docs.select("rid", "doc_id", "text").join(stored(per_doc, "window-spans"), "rid", "left")
 
     def remove(batches):
         import pyarrow as pa
 
-        names = ["rid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["rid", "n_removed", "kept_sha256", "cut"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                for rid, doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
-                    words = (text or "").encode().split()
-                    total = len(words)
-                    if found:
-                        starts = np.array([s["start"] for s in found])
-                        gone = repeats.covered(starts, np.array([s["stop"] for s in found]), total)
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    kept = b" ".join(words)
-                    rows.append((rid, doc_id, total, total - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    schema = "rid BIGINT, doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept STRING"
-    return joined.mapInArrow(remove, schema)
+            rows = []
+            for rid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = text.encode()
+                words = list(WORD.finditer(raw))
+                starts = np.array([s["start"] for s in found])
+                gone = repeats.covered(starts, np.array([s["stop"] for s in found]), len(words)).tolist()
+                left = [w.group() for w, g in zip(words, gone, strict=True) if not g]
+                cut = without(raw, words, gone)
+                rows.append((rid, len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), cut.decode()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    rows = texts.select("rid", "text").join(per_doc, "rid")
+    schema = "rid BIGINT, n_removed BIGINT, kept_sha256 STRING, cut STRING"
+    return stored(rows.mapInArrow(remove, schema), "window-removed")
+
+
+def without(raw: bytes, words: list, gone: list[bool]) -> bytes:
+    """raw without the words that are gone."""
+    out, at, k = [], 0, 0
+    while k < len(words):
+        if not gone[k]:
+            k += 1
+            continue
+        end = k
+        while end < len(words) and gone[end]:
+            end += 1
+        before = raw[at : words[k].start()]
+        kept = before.rstrip(b" \t\n\r\v\f")
+        out.append(kept)
+        at = words[end].start() if end < len(words) else len(raw)
+        borders = before[len(kept) :] + raw[words[end - 1].end() : at]
+        if (kept or len(out) > 1) and end < len(words):
+            out.append(b"\n" if b"\n" in borders else b" ")
+        k = end
+    return b"".join([*out, raw[at:]])
+
+
+def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the words left, one space between) and cut, the text without the others."""
+    docs = repeats.identified(docs).drop("row")
+    gone = removed(docs, width, gram, most)
+    plain = F.coalesce("text", F.lit(""))
+    words = F.array_remove(F.split(plain, BLANK + "+"), "")
+    base = docs.select("rid", "doc_id", F.size(words).cast("long").alias("n_words"), "text")
+    base = base.withColumn("_sha", F.sha2(F.array_join(words, " "), 256))
+    return base.join(gone, "rid", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+        F.coalesce("cut", "text").alias("cut"),
+    )
+
+
+def cut_documents(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """docs with the words of repeated windows taken out of ``text``; n_chars, where there is one, follows."""
+    found = repeats.identified(docs)
+    gone = removed(found.drop("row"), width, gram, most).select("rid", "cut")
+    columns = []
+    for c in docs.columns:
+        whole = F.col("row").getField(c)
+        if c == "text":
+            whole = F.coalesce("cut", whole)
+        elif c == "n_chars":
+            kind = docs.schema[c].dataType
+            whole = F.when(F.col("cut").isNotNull(), F.length("cut").cast(kind)).otherwise(whole)
+        columns.append(whole.alias(c))
+    return found.select("rid", "row").join(gone, "rid", "left").select(*columns)
 
 
 def oracle_sql(width: int = WINDOW) -> str:
-    blank = r"[\x09-\x0D\x20]"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id,
-        list_filter(string_split_regex(coalesce(text, ''), '{blank}+'), lambda x: x <> '') AS ws FROM documents),
+        list_filter(string_split_regex(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS ws FROM documents),
     p AS (SELECT r, ws, unnest(range(1, len(ws) - {width} + 2)) AS p FROM d),
     h AS (SELECT r, p, sha256(array_to_string(ws[p : p + {width - 1}], ' ')) AS h FROM p),
     t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
