@@ -233,9 +233,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
         .cogroup(right.select("list", "p", "q", "vid", "embedding").groupBy("list", "p", "q"))
         .applyInPandas(answer, "vid BIGINT, best ARRAY<STRUCT<score: DOUBLE, vid: BIGINT>>")
     )
-    # per query vector its best entries: as many as one answer and the query itself can hold
-    merged = parts.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("best"))).alias("best"))
-    best = F.slice(F.sort_array("best", asc=False), 1, k + 1)
+    # per query vector its best entries: as many as one answer and the query itself can hold, each in REPLICAS lists at most
+    merged = parts.groupBy("vid").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
+    best = F.slice(F.array_distinct(F.slice("best", 1, (k + 1) * REPLICAS)), 1, k + 1)
     hits = merged.select(F.col("vid").alias("asker"), F.explode(best).alias("hit")).select("asker", "hit.*")
     with_ids = hits.join(entries.select("vid", "ids"), "vid").select(
         "asker", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id"))).alias("found")
