@@ -37,16 +37,16 @@ def propagate(links: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -
         counts = stored(counts, "shard-counts")
         total = int(counts.agg(F.sum("_count")).first()[0] or 0)
         met = look_up(placed, counts, "key", F.col("rid"), max(1000, total // 1000))
-        sums = met.groupBy("rid").agg(F.first("shard").alias("shard"), *[F.sum(f"n{t}").alias(f"n{t}") for t in every])
+        sums = met.groupBy("rid").agg(F.first("shard").alias("shard"), F.min("key").alias("key"), *[F.sum(f"n{t}").alias(f"n{t}") for t in every])
         own = F.element_at(F.array(*[F.col(f"n{t}") for t in every]), F.col("shard") + 1)
         best = F.greatest(own, *[F.col(f"n{t}") if rooms[t] else F.lit(0).cast("long") for t in every])
         choice = F.coalesce(
             *[F.when((F.col(f"n{t}") == best) & (F.lit(rooms[t] > 0) | (F.col("shard") == t)), t) for t in every]
         )
-        wants = sums.select("rid", "shard", choice.cast("int").alias("wanted"), (own - best).alias("loss")).where(
-            "wanted <> shard"
-        )
-        ranked = numbered(wants, "wanted", "loss", "rid", into="place", name="shard-requests")
+        wants = sums.select("rid", "key", "shard", choice.cast("int").alias("wanted"), (own - best).alias("loss"))
+        wants = wants.where("wanted <> shard")
+        # rows of one key side by side, so that a quota's edge parts one group and not many
+        ranked = numbered(wants, "wanted", "loss", "key", "rid", into="place", name="shard-requests")
         room = F.element_at(F.array(*[F.lit(r) for r in rooms]), F.col("wanted") + 1)
         granted = stored(ranked.where(F.col("place") < room).select("rid", "wanted"), "shard-moves")
         if granted.isEmpty():
@@ -70,9 +70,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame
     shared = stored(shared, "shard-keys")
     met = look_up(links, shared, "key", F.col("rid"), max(1000, total // 1000)).where(F.col("_count").isNotNull())
     labels = propagate(stored(met.select("rid", "key"), "shard-links"), shards, total // shards)
-    held = labels.withColumn(
-        "over", F.lit(0)
-    )
+    held = labels.withColumn("over", F.lit(0))
     sizes = dict(labels.groupBy("shard").count().collect())
     targets = [total // shards + (t < total % shards) for t in range(shards)]
     if any(sizes.get(t, 0) > targets[t] for t in range(shards)):  # more linked rows than fit: the last of a shard go on
