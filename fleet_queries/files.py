@@ -84,12 +84,14 @@ def source_properties(spark, sf_dir):
 def source_transfer_logs(spark, sf_dir):
     """A log whose transfers have two updates each, separated by a carriage return: bytes of the last ones, and the sum
     of all byte deltas."""
-    start = F.lit("98 GiB: 12 B 0:00:01 [ 12 B/s] ETA 0:00:09 ETA 17:55:48\r")
+    start = F.lit("pool 40 GiB: 12 B 0:00:01 [ 12 B/s] ETA 0:00:09 ETA 09:14:20\r")
     lines = log_lines(table(spark, sf_dir, "events")).select(F.concat(start, "line").alias("value"))
     transfers = readers.read_transfer_logs(spark, written(spark, "logs", lines))
     total = logs.transfer_bytes(transfers).select("bytes", F.lit(0).cast("bigint").alias("delta"))
     deltas = logs.transfer_deltas(transfers).select(F.lit(0).cast("bigint").alias("bytes"), "delta")
-    return total.unionByName(deltas).agg(F.sum("bytes").alias("bytes"), F.sum("delta").alias("delta"))
+    return total.unionByName(deltas).agg(
+        F.sum("bytes").cast("bigint").alias("bytes"), F.sum("delta").cast("bigint").alias("delta")
+    )
 
 
 @query(COMPARE_SQL + "SELECT location, name, guid, CAST(creation AS VARCHAR) AS creation, coalesce(CAST(written AS VARCHAR), '-') AS written FROM cmp")

@@ -38,8 +38,8 @@ def log_lines(df):
     hours, minutes = F.floor(k / 60).cast("string"), F.lpad((k % 60).cast("string"), 2, "0")
     eta = F.when(k >= 90, "2+0:00:39").otherwise(F.concat(hours, F.lit(":"), minutes, F.lit(":03")))
     line = F.concat(
-        F.lit("98 GiB/ 0 B/ 98 GiB: "), written, unit, F.lit(" 0:12:12 [ 185MiB/s] [ 130MiB/s] [==>  ] 94% ETA "), eta,
-        F.lit(" ETA 17:55:48"),
+        F.lit("pool 40 GiB/ 3 B: "), written, unit, F.lit(" 0:07:31 [ 77MiB/s] [ 64MiB/s] [####....] 51% ETA "), eta,
+        F.lit(" ETA 09:14:20"),
     )
     ts = F.col("ts").cast("timestamp_ntz")
     return df.withColumn("k", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("bigint")).select(
@@ -59,12 +59,14 @@ def log_lines(df):
 SELECT file, CAST(coalesce(sum(bytes) FILTER (WHERE final), 0) + any_value(open) AS BIGINT) AS bytes FROM lines JOIN last USING (file) GROUP BY file"""
 )
 def log_bytes(spark, sf_dir):
-    return logs.bytes_transferred(log_lines(table(spark, sf_dir, "events")))
+    rows = logs.bytes_transferred(log_lines(table(spark, sf_dir, "events")))
+    return rows.withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
 @query(LINES_SQL + "SELECT file, seq, bytes, delta FROM deltas")
 def log_deltas(spark, sf_dir):
-    return logs.bytes_delta(log_lines(table(spark, sf_dir, "events"))).select("file", "seq", "bytes", "delta")
+    rows = logs.bytes_delta(log_lines(table(spark, sf_dir, "events")))
+    return rows.select("file", "seq", F.col("bytes").cast("bigint"), F.col("delta").cast("bigint"))
 
 
 @query(
@@ -77,7 +79,8 @@ def log_deltas(spark, sf_dir):
 SELECT job, second, CAST(bytes AS BIGINT) AS bytes, elapsed, CAST(round_even(bytes / elapsed, 0) AS BIGINT) AS rate FROM r"""
 )
 def log_rate(spark, sf_dir):
-    return logs.sliding_rate(logs.bytes_delta(log_lines(table(spark, sf_dir, "events"))))
+    rows = logs.sliding_rate(logs.bytes_delta(log_lines(table(spark, sf_dir, "events"))))
+    return rows.withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
 # --- streams: the events arrive as a file stream and are processed to the end ------------------------------------
@@ -108,7 +111,8 @@ def run(spark, stream, mode, name):
 , last AS (SELECT file, arg_max(CASE WHEN final THEN 0 ELSE bytes END, seq) AS open FROM lines GROUP BY file)
 SELECT file, CAST(coalesce(sum(bytes) FILTER (WHERE final), 0) + any_value(open) AS BIGINT) AS bytes FROM lines JOIN last USING (file) GROUP BY file""")
 def stream_bytes(spark, sf_dir):
-    return run(spark, progress.stream_progress(log_lines(event_stream(spark, sf_dir))), "complete", "stream_bytes")
+    rows = run(spark, progress.stream_progress(log_lines(event_stream(spark, sf_dir))), "complete", "stream_bytes")
+    return rows.withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
 @query(LINES_SQL + "SELECT file, seq, delta FROM deltas")
@@ -120,7 +124,7 @@ def stream_deltas(spark, sf_dir):
 
     writer = progress.stream_deltas(log_lines(event_stream(spark, sf_dir)), f"{base}/open", sink)
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/result").select("file", "seq", "delta")
+    return spark.read.parquet(f"{base}/result").select("file", "seq", F.col("delta").cast("bigint"))
 
 
 @query(
@@ -147,7 +151,7 @@ def stream_rate(spark, sf_dir):
 
     sized = with_line_bytes(log_lines(event_stream(spark, sf_dir)), "delta")
     rates = run(spark, progress.stream_rate(sized, "1 hour", "30 minutes"), "append", "stream_rate")
-    return rates.select(F.unix_seconds("start").alias("start"), "bytes")
+    return rates.select(F.unix_seconds("start").alias("start"), F.col("bytes").cast("bigint"))
 
 
 STREAM_LABELS = [Label("prod_", "onsite_", "_hourly"), Label("prod_", "", "_weekly")]

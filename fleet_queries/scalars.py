@@ -104,6 +104,10 @@ def sql_scaled(x: str, steps: list[tuple[float, float, str]]) -> str:
 
 
 SIZE_STEPS = [(1024.0**i, 1024, " " + u) for i, u in enumerate(("B", "KiB", "MiB", "GiB", "TiB"))]
+SQL_TWO_DIGITS = "CASE " + " ".join(
+    f"WHEN b < {1024.0 ** (i + 1)} THEN printf('%.2f', round_even(b / {1024.0**i}, 2)) || ' {u}'"
+    for i, u in enumerate(("B", "KiB", "MiB", "GiB", "TiB"))
+) + " END"
 TIME_STEPS = [(1.0, 1000, "ns"), (1e3, 1000, "μs"), (1e6, 1000, "ms"), (1e9, 60, "s"), (6e10, 60, "m"), (3.6e12, 24, "h"), (8.64e13, 1, "d")]
 
 
@@ -113,22 +117,22 @@ TIME_STEPS = [(1.0, 1000, "ns"), (1e3, 1000, "μs"), (1e6, 1000, "ms"), (1e9, 60
 SELECT event_id, {sql_scaled('b', SIZE_STEPS)} AS size, {sql_scaled('t', TIME_STEPS)} AS span,
   '-' || {sql_scaled('t', TIME_STEPS)} AS negative_span, k || '/997=' || {sql_float('(k * 100.0 / 997)')} || '%' AS share,
   printf('%.2f', round_even(b / 1048576.0, 2)) || ' MiB' AS mib
-FROM n WHERE b >= 1048576 AND b < 1073741824 OR k < 10"""
-    .replace("printf('%.2f', round_even(b / 1048576.0, 2)) || ' MiB' AS mib", "CASE WHEN k < 10 THEN '-' ELSE printf('%.2f', round_even(b / 1048576.0, 2)) || ' MiB' END AS mib")
+FROM n"""
+    .replace("printf('%.2f', round_even(b / 1048576.0, 2)) || ' MiB' AS mib", SQL_TWO_DIGITS + " AS mib")
 )
 def scalar_human(spark, sf_dir):
     k, w = F.col("k"), F.col("written")
     rows = events(spark, sf_dir).select(
         "event_id", "k",
         (F.pow(k, F.lit(6)).cast("bigint") * 5 + w % 7 * 5 + 1).alias("t"), (w * k * k * k).alias("b"),
-    ).filter(((F.col("b") >= 1048576) & (F.col("b") < 1073741824)) | (F.col("k") < 10))
+    )
     return rows.select(
         "event_id",
         human.human_bytes(F.col("b")).alias("size"),
         human.human_duration(F.col("t")).alias("span"),
         human.human_duration(-F.col("t")).alias("negative_span"),
         human.percent(k, F.lit(997), print_total=True).alias("share"),
-        F.when(k < 10, "-").otherwise(human.human_bytes(F.col("b"), precision=2)).alias("mib"),
+        human.human_bytes(F.col("b"), precision=2).alias("mib"),
     )
 
 
@@ -183,24 +187,25 @@ def scalar_sizes(spark, sf_dir):
 WITH l AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS w, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events)
 SELECT event_id, CASE WHEN k < 5 THEN 0 ELSE w * 1024 END AS bytes,
   CASE WHEN k < 5 THEN 0 WHEN k >= 90 THEN 172839 ELSE k * 60 + 3 END AS remaining,
-  CASE WHEN k < 5 THEN '' ELSE '[==>  ] 94% ETA ' || CASE WHEN k >= 90 THEN '2+0:00:39' ELSE k // 60 || ':' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':03' END
-    || ' ETA 17:55:48' END AS tail,
-  printf('%.2f', round_even(w / 1024.0, 2)) || ' KiB' AS size, '[' || printf('%.2f', round_even(w / 1024.0, 2)) || ' KiB/s]' AS rate
-FROM l WHERE w >= 1024"""
+  CASE WHEN k < 5 THEN '' ELSE '[####....] 51% ETA ' || CASE WHEN k >= 90 THEN '2+0:00:39' ELSE k // 60 || ':' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':03' END
+    || ' ETA 09:14:20' END AS tail,
+  CASE WHEN w < 1024 THEN printf('%.2f', w * 1.0) || ' B' ELSE printf('%.2f', round_even(w / 1024.0, 2)) || ' KiB' END AS size,
+  '[' || CASE WHEN w < 1024 THEN printf('%.2f', w * 1.0) || ' B' ELSE printf('%.2f', round_even(w / 1024.0, 2)) || ' KiB' END || '/s]' AS rate
+FROM l"""
 )
 def scalar_progress(spark, sf_dir):
     k, w = F.col("k"), F.col("w")
     eta = F.when(k >= 90, "2+0:00:39").otherwise(
         F.concat(F.floor(k / 60).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":03"))
     )
-    line = F.concat(F.lit("98 GiB: "), w.cast("string"), F.lit("KiB 0:12:12 [ 185MiB/s] [ 130MiB/s] [==>  ] 94% ETA "), eta, F.lit(" ETA 17:55:48\r"))
+    line = F.concat(F.lit("pool 40 GiB: "), w.cast("string"), F.lit("KiB 0:07:31 [ 77MiB/s] [ 64MiB/s] [####....] 51% ETA "), eta, F.lit(" ETA 09:14:20\r"))
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("w"), F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("bigint").alias("k")
-    ).filter("w >= 1024")
+    )
     parsed = rows.select("event_id", "w", sizes.parse_progress(F.when(k < 5, "no size here").otherwise(line)).alias("p"))
     shown = human.bytes_and_rate(w, F.lit(1_000_000_000))
     return parsed.select(
-        "event_id", "p.bytes", F.col("p.remaining_seconds").alias("remaining"), "p.tail", shown["size"].alias("size"), shown["rate"].alias("rate")
+        "event_id", F.col("p.bytes").cast("bigint").alias("bytes"), F.col("p.remaining_seconds").cast("bigint").alias("remaining"), "p.tail", shown["size"].alias("size"), shown["rate"].alias("rate")
     )
 
 

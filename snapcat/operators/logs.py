@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions.sizes import line_bytes, with_line_bytes
 from snapcat.operators.ordered import CHUNK_BITS, ordered_scan, salted_join
 
+# Seconds of a job that are windowed together.
+RATE_SPAN = 4096
+
 
 def _intermediate() -> Column:
     return F.col("terminator") == "\r"
@@ -23,9 +26,9 @@ def _intermediate() -> Column:
 def bytes_delta(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``bytes`` and ``delta``: bytes sent since the previous line of the file; a final line resets the base."""
     sized = with_line_bytes(log)
-    in_flight = F.when(_intermediate(), F.col("bytes")).otherwise(F.lit(0).cast("bigint"))
+    in_flight = F.when(_intermediate(), F.col("bytes")).otherwise(F.lit(0).cast("decimal(38,0)"))
     scanned = ordered_scan(sized, ["file"], ["seq"], lasts={"__base": in_flight}, bits=bits)
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("decimal(38,0)")
     return scanned.withColumn("delta", F.col("bytes") - F.coalesce("__base", zero)).drop("__base")
 
 
@@ -52,10 +55,14 @@ def transfer_bytes(transfers: DataFrame) -> DataFrame:
 
 def transfer_deltas(transfers: DataFrame) -> DataFrame:
     """``file, pos, line, bytes, delta`` per update, computed within the row."""
-    lines = transfers.select("file", F.posexplode("updates").alias("pos", "line"), "updates")
-    sent = line_bytes(F.col("line"))
-    before = F.when(F.col("pos") > 0, line_bytes(F.get("updates", F.col("pos") - 1))).otherwise(0)
-    return lines.select("file", "pos", "line", sent.alias("bytes"), (sent - before).alias("delta"))
+    # each update beside the one before it, so that no output row carries the array
+    steps = F.arrays_zip(
+        F.col("updates").alias("line"), F.concat(F.array(F.lit(None).cast("string")), F.col("updates")).alias("before")
+    )
+    lines = transfers.select("file", F.posexplode(F.slice(steps, 1, F.size("updates"))).alias("pos", "step"))
+    sent = line_bytes(F.col("step.line"))
+    before = F.when(F.col("step.before").isNull(), F.lit(0).cast("decimal(38,0)")).otherwise(line_bytes(F.col("step.before")))
+    return lines.select("file", "pos", "step.line", sent.alias("bytes"), (sent - before).alias("delta"))
 
 
 def sliding_rate(
@@ -64,18 +71,18 @@ def sliding_rate(
     """Bytes per second over the last ``window`` seconds, for every second with a sample. At the start of a job the
     window only reaches back to its first sample.
 
-    Samples are first summed per second; each second then adds to the windows it is part of, so no job is ever sorted
-    or windowed as a whole."""
+    Samples are first summed per second. A job is cut into spans of time, each with the seconds before it that its
+    windows reach back to, so a row is copied at most once and no job is ever windowed as a whole."""
     per_second = deltas.groupBy(*by, second).agg(F.sum("delta").alias("delta"))
     start = per_second.groupBy(*by).agg(F.min(second).alias("__start"))
-    spread = per_second.select(
-        *by, F.explode(F.sequence(F.col(second), F.col(second) + window - 1)).alias(second), "delta"
-    )
-    summed = spread.groupBy(*by, second).agg(F.sum("delta").alias("bytes"))
-    sampled = summed.join(per_second.select(*by, second), [*by, second], "left_semi")
-    rows = salted_join(sampled, start, list(by), "inner", [second])
+    span = max(RATE_SPAN, window)
+    own = F.floor(F.col(second) / span)
+    reaches_on = F.pmod(F.col(second), F.lit(span)) >= span - (window - 1)
+    spans = F.when(reaches_on, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = per_second.select("*", own.alias("__own"), F.explode(spans).alias("__span"))
+    reach = Window.partitionBy(*by, "__span").orderBy(second).rangeBetween(-(window - 1), 0)
+    summed = spread.withColumn("bytes", F.sum("delta").over(reach)).filter("__own = __span").select(*by, second, "bytes")
+    rows = salted_join(summed, start, list(by), "inner", [second])
     elapsed = F.least(F.lit(window), F.col(second) - F.col("__start") + 1)
-    return rows.select(
-        *by, second, "bytes", elapsed.cast("bigint").alias("elapsed"),
-        F.bround(F.col("bytes") / elapsed, 0).cast("bigint").alias("rate"),
-    )
+    rate = F.bround(F.col("bytes").cast("double") / elapsed, 0).cast("bigint")
+    return rows.select(*by, second, "bytes", elapsed.cast("bigint").alias("elapsed"), rate.alias("rate"))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 # at most (range of the key) / 2**18 summary rows. The key should be a counter (transaction group, line number); for a
 # sparse one, such as a clock in microseconds, pass more bits.
 CHUNK_BITS = 18
-SALTS = 16
+# Parts of a salted join at most; there are no more than shuffle partitions.
+MOST_SALTS = 256
 
 CHUNK, _SALT = "__chunk", "__salt"
 
@@ -26,7 +27,8 @@ CHUNK, _SALT = "__chunk", "__salt"
 def with_chunk(df: DataFrame, key: str, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds the chunk column. Added once before several scans of the same rows in the same order, it lets the later
     scans find their rows already partitioned."""
-    return df.withColumn(CHUNK, F.shiftright(F.col(key), bits))
+    # rows without an order key come first, in a chunk before all others
+    return df.withColumn(CHUNK, F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(-(1 << 63))))
 
 
 def ordered_scan(
@@ -38,7 +40,7 @@ def ordered_scan(
     lasts: Mapping[str, Column] | None = None,
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """Adds columns to every row of ``df``, by group in the given order (first order column: non-null BIGINT):
+    """Adds columns to every row of ``df``, by group in the given order (first order column: BIGINT, nulls first):
 
     * ``sums``: sum of an integer expression over all earlier rows of the group;
     * ``totals``: its sum over the whole group;
@@ -78,7 +80,10 @@ def ordered_scan(
         {f"__p_{n}": F.coalesce(F.sum(f"__v_{n}").over(earlier_rows), F.lit(0)) for n in sums}
         | {f"__p_{n}": F.last(f"__v_{n}", ignorenulls=True).over(earlier_rows) for n in lasts}
     )
-    return local.join(carried, keys).select(
+    same = {k: f"__k_{i}" for i, k in enumerate(keys)}
+    renamed = carried.withColumnsRenamed(same)
+    matching = [F.col(k).eqNullSafe(F.col(v)) for k, v in same.items()]  # a null group is a group
+    return local.join(renamed, matching).select(
         *df.columns,
         *[(F.col(f"__p_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums],
         *[F.col(f"__t_{n}").alias(n) for n in totals],
@@ -87,11 +92,14 @@ def ordered_scan(
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str], salts: int = SALTS
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """``big`` join ``small`` where a key may be hot in ``big``. ``small`` should hold each key few times: it is
     repeated per salt. ``spread`` are columns of ``big`` that differ between rows of one key. ``how``: inner, left,
-    left_semi or left_anti."""
+    left_semi or left_anti. ``salts``: the number of shuffle partitions, so that a key with a third of all rows is spread
+    over all of them."""
+    if salts is None:
+        salts = max(1, min(MOST_SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions.human import human_duration, percent
@@ -39,19 +39,60 @@ def job_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+BINS = 1 << 16
+
+
+def _same(keys: Sequence[str], left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join in which null keys meet; the keys of ``right`` are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
+    matching = [F.col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(keys)]
+    joined = left.join(renamed, matching) if keys else left.crossJoin(renamed)  # without keys: one row
+    return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
+    """One row per group: its keys and the median of the non-null values as ``name``.
+
+    Values are counted per range of the group's span; only the ranges that hold the middle are looked into, and there each
+    different value is one row. No task sees the values of a group."""
+    rows = df.select(*by, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    bounds = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    place = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+    binned = _same(by, rows, bounds).withColumn(
+        "__bin", F.coalesce(F.least(F.floor(place * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    )
+    counted = binned.groupBy(*by, "__bin", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    middle = counted.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__c") > low))
+    inside = _same([*by, "__bin"], binned.select(*by, "__bin", "__v"), middle)
+    values = inside.groupBy(*by, "__bin", "__v", "__n", "__before").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("__before") + F.coalesce(F.sum("__c").over(ahead), F.lit(0))
+    ranked = values.withColumn("__first", first)
+    holds = [(F.col("__first") <= at) & (F.col("__first") + F.col("__c") > at) for at in (low, high)]
+    a, b = (F.max(F.when(h, F.col("__v"))) for h in holds)
+    return ranked.groupBy(*by).agg((a * 0.5 + b * 0.5).alias(name))
+
+
 def trial_summary(df: DataFrame, by: Sequence[str], objects: str = "objects", seconds: str = "seconds") -> DataFrame:
     """min, max, median, mean and sample deviation of rate and seconds per group of trials."""
     rate = F.col(objects) / F.col(seconds)
 
-    def five(value, name):  # noqa: ANN001, ANN202
+    def four(value, name):  # noqa: ANN001, ANN202
         return [
             F.min(value).alias(f"min_{name}"),
             F.max(value).alias(f"max_{name}"),
-            F.median(value).alias(f"median_{name}"),
             F.avg(value).alias(f"avg_{name}"),
             F.stddev_samp(value).alias(f"stddev_{name}"),
         ]
 
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("measurements"), *five(rate, "rate"), *five(F.col(seconds), "seconds")
-    )
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("measurements"), *four(rate, "rate"), *four(F.col(seconds), "seconds"))
+    for value, name in ((rate, "rate"), (F.col(seconds), "seconds")):
+        median = exact_median(df, by, value, f"median_{name}")
+        renamed = median.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(by)})
+        matching = [F.col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(by)]
+        out = out.join(renamed, matching or F.lit(True), "left").drop(*[f"__r_{i}" for i in range(len(by))])
+    order = ["min", "max", "median", "avg", "stddev"]
+    return out.select(*by, "measurements", *[f"{k}_{name}" for name in ("rate", "seconds") for k in order])

@@ -153,7 +153,7 @@ def filter_existing_targets(pairs: DataFrame, pools: DataFrame, local_marker: st
     pool = F.split("dst_root", "/")[0]
     is_local = F.startswith(pool, F.lit(local_marker))
     keyed = pairs.withColumn("__local", is_local).withColumn(
-        "pool", F.when(is_local, pool.substr(len(local_marker) + 1, 1 << 20)).otherwise(pool)
+        "pool", F.when(is_local, pool.substr(F.lit(len(local_marker) + 1), F.length(pool))).otherwise(pool)
     )
     known = keyed.join(pools.select("pool", F.lit(True).alias("__known")).distinct(), "pool", "left")
     return known.filter(~F.col("__local") | F.coalesce("__known", F.lit(False))).select(*pairs.columns)

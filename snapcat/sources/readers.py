@@ -12,8 +12,38 @@ from snapcat.functions.names import is_held, kind, relativize, split_name
 from snapcat.schema import PROPERTIES, TMP_PREFIX
 
 
-def _tsv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, sep="\t", quote="", escape="", nullValue="-", enforceSchema=True)
+BROKEN = "__broken"
+
+
+def _tsv(spark: SparkSession, path: str | list[str], schema: str, required: str, optional: int = 0) -> DataFrame:
+    """Rows with the whole line in ``BROKEN`` where it does not fit the schema or has no ``required`` column.
+
+    The last ``optional`` columns may be missing."""
+    rows = spark.read.csv(
+        path, schema=f"{schema}, {BROKEN} STRING", sep="\t", quote="", escape="", nullValue="-", enforceSchema=True,
+        mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN,
+    )
+    if not optional:
+        lacking = F.col(BROKEN).isNotNull()
+    else:  # a line that only lacks the optional columns counts as broken for the reader as well
+        columns = len(rows.columns) - 1
+        fields = F.size(F.split(BROKEN, "\t"))
+        numbers = [f.name for f in rows.schema.fields[:-1] if f.dataType.typeName() == "long"]
+        parts = {f.name: F.get(F.split(BROKEN, "\t"), F.lit(i)) for i, f in enumerate(rows.schema.fields[:-1])}
+        unread = F.lit(False)
+        for name in numbers:
+            unread = unread | (F.col(name).isNull() & (parts[name] != "-"))
+        lacking = F.col(BROKEN).isNotNull() & (unread | ~fields.between(columns - optional, columns))
+    line = F.coalesce(BROKEN, F.to_csv(F.struct(*rows.columns[:-1]), {"sep": "\t", "nullValue": "-"}))
+    return rows.withColumn(BROKEN, F.when(lacking | F.col(required).isNull(), line))
+
+
+def _sound(rows: DataFrame, rejects: bool) -> DataFrame:
+    """Without ``rejects`` a broken line is an error; with it the result is the broken lines, column ``line``."""
+    if rejects:
+        return rows.filter(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+    problem = F.raise_error(F.concat(F.lit("malformed line: "), F.col(BROKEN))).cast("boolean")
+    return rows.filter(F.when(F.col(BROKEN).isNotNull(), problem).otherwise(F.lit(True))).drop(BROKEN)
 
 
 def with_name_columns(df: DataFrame, side: str, root: str, tmp_prefix: str = TMP_PREFIX) -> DataFrame:
@@ -36,11 +66,18 @@ def with_name_columns(df: DataFrame, side: str, root: str, tmp_prefix: str = TMP
 
 
 def read_snapshots(
-    spark: SparkSession, path: str | list[str], side: str, root: str, tmp_prefix: str = TMP_PREFIX
+    spark: SparkSession,
+    path: str | list[str],
+    side: str,
+    root: str,
+    tmp_prefix: str = TMP_PREFIX,
+    rejects: bool = False,
 ) -> DataFrame:
-    """Tab-separated ``creation guid createtxg written name [userrefs]``; ``-`` is null."""
+    """Tab-separated ``creation guid createtxg written name [userrefs]``; ``-`` is null. A line of another form is an
+    error; ``rejects`` reads those lines instead."""
     schema = "creation BIGINT, guid STRING, createtxg BIGINT, written BIGINT, name STRING, userrefs STRING"
-    return with_name_columns(_tsv(spark, path, schema), side, root, tmp_prefix)
+    rows = _sound(_tsv(spark, path, schema, "name", optional=1), rejects)
+    return rows if rejects else with_name_columns(rows, side, root, tmp_prefix)
 
 
 def read_datasets(spark: SparkSession, path: str | list[str], side: str, root: str) -> DataFrame:
@@ -48,7 +85,7 @@ def read_datasets(spark: SparkSession, path: str | list[str], side: str, root: s
     block size as a negative one."""
     schema = "snapshots_changed BIGINT, volblocksize BIGINT, recordsize BIGINT, dataset STRING"
     size = F.coalesce("recordsize", -F.col("volblocksize"))
-    return _tsv(spark, path, schema).select(
+    return _sound(_tsv(spark, path, schema, "dataset"), False).select(
         F.lit(side).alias("side"),
         F.lit(root).alias("root"),
         "dataset",
@@ -65,8 +102,9 @@ def read_root_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parts = F.split("value", "\t", 2)
     src, dst = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     broken = dst.isNull() | (F.trim(src) == "") | (F.trim(dst) == "")
-    problem = F.raise_error(F.concat(F.lit("expected two tab-separated datasets: "), F.col("value"))).cast("string")
-    return lines.select(F.when(broken, problem).otherwise(src).alias("src_root"), dst.alias("dst_root"))
+    problem = F.raise_error(F.concat(F.lit("expected two tab-separated datasets: "), F.col("value"))).cast("boolean")
+    # in a filter, which no choice of columns takes away
+    return lines.filter(F.when(broken, problem).otherwise(F.lit(True))).select(src.alias("src_root"), dst.alias("dst_root"))
 
 
 def read_properties(spark: SparkSession, path: str | list[str], sources: Sequence[str] = ()) -> DataFrame:

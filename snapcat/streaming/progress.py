@@ -9,14 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from snapcat.functions.sizes import with_line_bytes, with_progress
 from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
 
-OPEN_SCHEMA = "file STRING, seq BIGINT, open BIGINT"
+OPEN_SCHEMA = "file STRING, seq BIGINT, open DECIMAL(38,0)"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    old = context._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def stream_progress(lines: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def stream_progress(lines: DataFrame) -> DataFrame:
         (
             F.coalesce(F.sum(F.when(~intermediate, F.col("b"))), F.lit(0))
             + F.max(F.struct("seq", F.when(intermediate, F.col("b")).otherwise(0).alias("open")))["open"]
-        ).alias("bytes")
+        ).cast("decimal(38,0)").alias("bytes")
     )
 
 
@@ -37,7 +43,7 @@ def stream_eta(lines: DataFrame) -> DataFrame:
     """Newest line per file with its expected end (null-free: a line without ETA ends now). Update or complete mode;
     :func:`latest_eta` picks the last one to finish."""
     rows = with_progress(lines.select("file", "seq", "ts", "line"))
-    eta = F.timestamp_seconds(F.unix_seconds("ts") + F.col("remaining_seconds"))
+    eta = F.timestamp_seconds((F.unix_seconds("ts") + F.col("remaining_seconds")).cast("bigint"))
     return rows.groupBy("file").agg(
         F.max(F.struct("seq", eta.alias("eta"), "tail")).alias("last")
     ).select("file", "last.eta", "last.seq", "last.tail")
@@ -60,18 +66,20 @@ def stream_deltas(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         sized = with_line_bytes(batch.select("file", "seq", "ts", "terminator", "line")).drop("line")
-        open_bytes = F.when(F.col("terminator") == "\r", F.col("bytes")).otherwise(F.lit(0).cast("bigint"))
+        open_bytes = F.when(F.col("terminator") == "\r", F.col("bytes")).otherwise(F.lit(0).cast("decimal(38,0)"))
         rows = sized.withColumn("open", open_bytes).drop("terminator").withColumn("is_new", F.lit(True))
         if batch_id > 0:
             before = batch.sparkSession.read.schema(OPEN_SCHEMA).parquet(f"{state_path}/{batch_id - 1}")
             rows = rows.unionByName(before.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
         last = F.max(F.struct("seq", "open")).alias("last")
-        rows.groupBy("file").agg(last).select("file", "last.seq", "last.open").write.mode("overwrite").parquet(
-            f"{state_path}/{batch_id}"
-        )
+        # a file whose transfer has ended starts from nothing, so only open ones are kept
+        state = rows.groupBy("file").agg(last).select("file", "last.seq", "last.open").filter("open <> 0")
+        state.write.mode("overwrite").parquet(f"{state_path}/{batch_id}")
         scanned = ordered_scan(rows, ["file"], ["seq"], lasts={"base": F.col("open")}, bits=bits)
-        delta = F.col("bytes") - F.coalesce("base", F.lit(0).cast("bigint"))
+        delta = F.col("bytes") - F.coalesce("base", F.lit(0).cast("decimal(38,0)"))
         sink(scanned.filter("is_new").select("file", "seq", "ts", delta.alias("delta")), batch_id)
+        if batch_id > 1:  # the version before the one just read is of no use to any repeat
+            _delete(batch.sparkSession, f"{state_path}/{batch_id - 2}")
 
     return lines.writeStream.foreachBatch(step)
 

@@ -71,3 +71,11 @@ def test_duplicates(skewed):
     assert duplicates(df, "id").count() == 0
     assert has_duplicates(df, "g").first()["has_duplicates"] is True
     assert has_duplicates(df, ["id"]).first()["has_duplicates"] is False
+
+
+def test_rows_without_keys_stay(spark):
+    rows = [("a", None, 1), ("a", 3, 2), ("a", 1 << 40, 4), (None, 5, 8), (None, None, 16)]
+    df = spark.createDataFrame(rows, "g STRING, k BIGINT, v BIGINT")
+    got = ordered_scan(df, ["g"], ["k"], sums={"s": F.col("v")}, totals={"t": F.col("v")}, lasts={"l": F.col("v")})
+    want = {(1, 0, 7, None), (2, 1, 7, 1), (4, 3, 7, 2), (16, 0, 24, None), (8, 16, 24, 16)}
+    assert {(r["v"], r["s"], r["t"], r["l"]) for r in got.collect()} == want

@@ -81,6 +81,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "broken").write_text("tank/a\n")
     with pytest.raises(Exception, match="tab-separated"):
         readers.read_root_pairs(spark, str(tmp_path / "broken")).collect()
+    for ask in (lambda d: d.select("dst_root").collect(), lambda d: d.count()):
+        with pytest.raises(Exception, match="tab-separated"):
+            ask(readers.read_root_pairs(spark, str(tmp_path / "broken")))
+    (tmp_path / "odd.tsv").write_text("1\tg\t2\t3\ttank/src/a@x\nwhat is this\nx\tg\t1\t2\ttank/src@b\t0\n5\tg\t6\t-\t-\n")
+    with pytest.raises(Exception, match="malformed line"):
+        readers.read_snapshots(spark, str(tmp_path / "odd.tsv"), "src", "tank/src").collect()
+    odd = readers.read_snapshots(spark, str(tmp_path / "odd.tsv"), "src", "tank/src", rejects=True)
+    assert [r["line"].split("\t")[0] for r in odd.collect()] == ["what is this", "x", "5"]
     (tmp_path / "props").write_text("tank/a\tatime\ton\tlocal\ntank/a\tsync\tx\tinherited\n")
     assert values(readers.read_properties(spark, str(tmp_path / "props"), ["local"]), "property") == ["atime"]
 
