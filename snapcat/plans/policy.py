@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from snapcat.functions.periods import PERIOD_MILLIS, PERIOD_PATTERN, period_parse, unit_millis
 from snapcat.operators.labels import LABEL, LABEL_TYPES, Label, literal_frame, match_labels
+from snapcat.operators.ordered import salted_join
 from snapcat.schema import SNAPSHOT
 
 Plan = Mapping[str, Mapping[str, Mapping[str, int]]]  # {org: {target: {period: amount}}}
@@ -100,10 +101,16 @@ def select_by_plan(df: DataFrame, plan: Plan, now: int) -> DataFrame:
     oldest_allowed = F.ceil(F.lit(now) - F.col("window_ms") / 1000)
     recent = matched.filter(F.col("creation") >= oldest_allowed).select(*df.columns)
     newest_first = [F.desc("createtxg"), F.desc("creation"), F.desc("tag")]
-    # a literal bound on the rank first: the largest amount of any entry
-    rank = F.row_number().over(Window.partitionBy("dataset", *LABEL).orderBy(*newest_first))
-    bounded = matched.withColumn("__rank", rank).filter(F.col("__rank") <= max(int(row["amount"]) for row in rows))
-    kept = bounded.filter(F.col("__rank") <= F.col("amount"))
+    # a literal bound on the rank first: the largest amount of any entry. A long series is ranked in parts, and only what
+    # each part may contribute to its label's own amount is ranked again
+    most = max(int(row["amount"]) for row in rows)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64("tag", "createtxg"), F.lit(parts))
+    kept = matched.withColumn("__part", spread)
+    for keys in (["dataset", *LABEL, "__part"], ["dataset", *LABEL]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
+        bounded = kept.withColumn("__rank", rank).filter(F.col("__rank") <= most)
+        kept = bounded.filter(F.col("__rank") <= F.col("amount")).drop("__rank")
     return recent.unionByName(kept.select(*df.columns)).distinct()
 
 
@@ -134,7 +141,8 @@ def expand_policy(
     )
     dst = F.concat("dst_root", F.col("dataset").substr(F.length("src_root") + 1, F.length("dataset")))
     no = F.lit(False)
-    return mapped.join(host_plan, "job").select(
+    # a job may map most datasets, so its few host plan rows are repeated over parts of them
+    return salted_join(mapped, host_plan, ["job"], "inner", ["dataset"]).select(
         "job",
         "dataset",
         "dst_host",
