@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -49,13 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written rows.
 
     This cuts the lineage, so a lost executor costs no more than the stage at hand. The plan of the finished job is garbage
-    afterwards; collecting it lets Spark's cleaner delete that job's shuffle files.
+    afterwards; collecting it lets Spark's cleaner delete that job's shuffle files. The first collection clears the plan, the
+    second what it alone still held.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,6 +102,8 @@ def numbered(df: DataFrame, group: str, *order: str, into: str, name: str) -> Da
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (doc_id, component_id) per linked id, the smallest id it can reach.
 
+    Links of an id with itself count for nothing.
+
     Alternates large-star and small-star steps until no link changes. Each step sends an id's neighbours no further than
     aggregates with map-side combine: the smallest neighbour is joined back to the links, no neighbour list is gathered.
     """
@@ -124,7 +130,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
+    least = edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
+    return least.unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct())
 
 
 def hot_limit(spark: SparkSession, total: int) -> tuple[int, int]:
