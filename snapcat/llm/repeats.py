@@ -144,7 +144,8 @@ def cuts(texts: DataFrame, unit: Unit) -> DataFrame:
                 )
 
     rows = texts.select("rid", "text", "runs").mapInArrow(cut, "key BIGINT, rid BIGINT, start INT, count INT, cut BINARY")
-    return rows.withColumn("name", F.concat_ws("-", F.hex("key"), F.hex(F.xxhash64("cut")))).select(
+    whole = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return rows.withColumn("name", F.concat(whole(F.col("key")), whole(F.xxhash64("cut")))).select(
         "name", "key", "rid", "start", "count", "cut"
     )
 
@@ -162,10 +163,10 @@ def distinct_cuts(pieces: DataFrame, name: str) -> DataFrame:
 
 
 def with_copies(pieces: DataFrame, different: DataFrame) -> DataFrame:
-    """The places of cuts that occur more than once: name, rid, start, count, _count, place (the first)."""
+    """The places of cuts that occur more than once: rid, start, count, _count, place (the first)."""
     copied = different.where("_count > 1").select("name", "_count", "place")
     total = int(copied.agg(F.sum("_count")).first()[0] or 0)
-    found = look_up(pieces.drop("cut", "key"), copied, "name", F.xxhash64("rid", "start"), max(1000, total // 1000))
+    found = look_up(pieces.drop("cut", "key"), copied, "name", F.xxhash64("rid", "start"), max(1000, total // 1000), False)
     return found.where(F.col("_count").isNotNull())
 
 

@@ -141,18 +141,21 @@ def hot_limit(spark: SparkSession, total: int) -> tuple[int, int]:
     return least, total // least
 
 
-def look_up(rows: DataFrame, found: DataFrame, key: str, spread, least: int) -> DataFrame:
-    """Left join of rows with ``found`` (one row per string ``key``, with the number of its rows in ``_count``).
+def look_up(rows: DataFrame, found: DataFrame, key: str, spread, least: int, with_key: bool = True) -> DataFrame:
+    """Left join of rows with ``found`` (one row per string or binary ``key``, the number of its rows in ``_count``).
 
     Hot keys are few by proof (see :func:`hot_limit`), so their entries are broadcast; their rows then take a key of their
     own (``spread`` tells them apart) and pass through the shuffle of the others evenly. ``found`` must be stored.
     """
     hot = F.broadcast(found.where(F.col("_count") >= least).select(F.col(key), F.struct(*found.columns).alias("_hot")))
     cold = found.where(F.col("_count") < least).select(F.col(key).alias("_key"), F.struct(*found.columns).alias("_cold"))
+    own = F.concat(F.lit("#"), spread.cast("string"))
+    if rows.schema[key].dataType.typeName() == "binary":
+        own = F.encode(own, "UTF-8")
     marked = rows.join(hot, key, "left").withColumn(
-        "_key",
-        F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.lit("#"), spread.cast("string"))),
+        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.col(key), own))
     )
-    joined = marked.join(cold, "_key", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    kept = [c for c in rows.columns if with_key or c != key]
+    joined = marked.select(*kept, "_hot", "_key").join(cold, "_key", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     others = [c for c in found.columns if c != key]
-    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in others])
+    return joined.select(*kept, *[F.col("_found")[c].alias(c) for c in others])

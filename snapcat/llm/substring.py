@@ -91,7 +91,7 @@ def removed(docs: DataFrame, width: int, gram: int, most: int) -> DataFrame:
     line break stays if one bordered on them, else a space.
     """
     texts, spans = marked(docs, width, gram, most)
-    per_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_doc = stored(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "window-spans")
 
     def remove(batches):
         import pyarrow as pa

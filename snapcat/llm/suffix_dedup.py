@@ -107,7 +107,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = MO
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; null without ``with_text``) per document."""
     docs = repeats.identified(docs)
     texts, spans = marked(docs, width, gram, most)
-    per_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_doc = stored(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
 
     def remove(batches):
         import pyarrow as pa
