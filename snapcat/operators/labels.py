@@ -71,11 +71,16 @@ def match_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def minmax_by_label(
-    snaps: DataFrame, datasets: DataFrame, labels: Sequence[Label], skip_holds: bool | Sequence[bool] = False
+    snaps: DataFrame,
+    datasets: DataFrame,
+    labels: Sequence[Label],
+    skip_holds: bool | Sequence[bool] = False,
+    free: bool = False,
 ) -> DataFrame:
     """Newest and oldest snapshot per (dataset, label), ordered by (createtxg, creation, tag): creation and tag, 0 and
     '' where there is none, also for datasets without any snapshot. ``skip_holds`` (per label) ignores held rows when
-    looking for the oldest."""
+    looking for the oldest. ``free`` adds the oldest row that is not held as ``oldest_free_creation`` and
+    ``oldest_free_tag``, so that each alert can apply its own rule."""
     labels = list(dict.fromkeys(labels))
     flags = [skip_holds] * len(labels) if isinstance(skip_holds, bool) else list(skip_holds)
     types = {**LABEL_TYPES, "skip_holds": "boolean"}
@@ -88,20 +93,24 @@ def minmax_by_label(
     found = matched.groupBy("dataset", *LABEL).agg(
         F.max(position).alias("latest"),
         F.min(F.when(~(F.col("skip_holds") & F.col("held")), position)).alias("oldest"),
+        F.min(F.when(~F.coalesce("held", F.lit(False)), position)).alias("oldest_free"),
     )
     # every dataset is checked against every configured label: an exploded literal, not a join
     grid = datasets.select("dataset").distinct().select("dataset", F.inline(literal_rows(rows, types)))
     joined = grid.drop("skip_holds").join(found, ["dataset", *LABEL], "left")
-    return joined.select("dataset", *LABEL, *_minmax_columns())
+    kinds = ("latest", "oldest", "oldest_free") if free else ("latest", "oldest")
+    return joined.select("dataset", *LABEL, *minmax_columns(kinds))
 
 
-def _minmax_columns() -> list[Column]:
+def minmax_columns(kinds: Sequence[str]) -> list[Column]:
     zero = F.lit(0).cast("bigint")
     return [
-        F.coalesce(F.col("latest.creation"), zero).alias("latest_creation"),
-        F.coalesce(F.col("latest.tag"), F.lit("")).alias("latest_tag"),
-        F.coalesce(F.col("oldest.creation"), zero).alias("oldest_creation"),
-        F.coalesce(F.col("oldest.tag"), F.lit("")).alias("oldest_tag"),
+        column
+        for kind in kinds
+        for column in (
+            F.coalesce(F.col(f"{kind}.creation"), zero).alias(f"{kind}_creation"),
+            F.coalesce(F.col(f"{kind}.tag"), F.lit("")).alias(f"{kind}_tag"),
+        )
     ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,54 @@ from snapcat.plans.policy import period_columns
 OK, WARNING, CRITICAL, DIE, STILL_RUNNING = 0, 1, 2, 3, 4
 
 
+RowPlan = Mapping[str, Mapping[str, Mapping[str, Mapping[str, Mapping[str, object]]]]]
+PLAN_ROW_TYPES = {
+    "org": "string",
+    "target": "string",
+    "period": "string",
+    "which": "string",
+    "warning": "string",
+    "critical": "string",
+    "cycles": "int",
+    "skip_holds": "boolean",
+}
+
+
+def monitor_plan_rows(plan: RowPlan) -> list[dict[str, object]]:
+    """Rows of a nested plan {org: {target: {period: {latest / oldest: {warning, critical, cycles}}}}}; an oldest entry may
+    have oldest_skip_holds. Cycles default to 1. What is none of that is an error."""
+    rows = []
+    for org, targets in plan.items():
+        for target, periods in targets.items():
+            for period, checks in periods.items():
+                for which, limits in checks.items():
+                    known = {"warning", "critical", "cycles", *(["oldest_skip_holds"] if which == "oldest" else [])}
+                    holds = limits.get("oldest_skip_holds", False)
+                    if which not in ("latest", "oldest") or not set(limits) <= known or not isinstance(holds, bool):
+                        raise ValueError(f"no such check of {org}/{target}/{period}: {which} {dict(limits)}")
+                    texts = {k: None if limits.get(k) is None else str(limits[k]) for k in ("warning", "critical")}
+                    cycles = max(0, int(str(limits.get("cycles", 1))))
+                    where = {"org": org, "target": target, "period": period, "which": which}
+                    rows.append(where | texts | {"cycles": cycles, "skip_holds": holds})
+    return rows
+
+
+def alerts_of_rows(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Alerts like those of :func:`build_alerts` from rows of :func:`monitor_plan_rows`, with own limits and cycles for
+    the latest and the oldest snapshot of a series."""
+    timed = rows.withColumn("amount", F.col("cycles")).withColumns(period_columns())
+
+    def threshold(name: str) -> Column:
+        base = duration_millis(F.col(name), strict=True)
+        return F.when(base > 0, base + F.col("cycles") * F.col("period_ms"))
+
+    limits = timed.select(
+        *keys, *LABEL, "period_ms", "which", threshold("warning").alias("warning_ms"),
+        threshold("critical").alias("critical_ms"), F.coalesce("skip_holds", F.lit(False)).alias("skip_holds"),
+    )
+    return limits.filter(F.col("warning_ms").isNotNull() | F.col("critical_ms").isNotNull())
+
+
 def build_alerts(
     monitor: DataFrame,
     plan: DataFrame,
@@ -65,11 +113,20 @@ def monitor(
     minmax: DataFrame, alerts: DataFrame, now: int, dont_warn: bool = False, dont_crit: bool = False
 ) -> DataFrame:
     """One row per dataset and alert: age, code (0 ok, 1 warning, 2 critical) and message. A missing series has age
-    ``now``. Limits are exceeded strictly; the mutes turn a level into code 0 but leave the level readable."""
+    ``now``. Limits are exceeded strictly; the mutes turn a level into code 0 but leave the level readable.
+
+    An alert with ``skip_holds`` looks at the oldest row that is not held where ``minmax`` has it (``free`` of
+    ``minmax_by_label``); otherwise the rule given there holds."""
     rows = minmax.join(alerts, list(LABEL))
     is_latest = F.col("which") == "latest"
-    created = F.when(is_latest, F.col("latest_creation")).otherwise(F.col("oldest_creation"))
-    tag = F.when(is_latest, F.col("latest_tag")).otherwise(F.col("oldest_tag"))
+
+    def chosen(name: str) -> Column:
+        oldest = F.col(f"oldest_{name}")
+        if f"oldest_free_{name}" in minmax.columns:
+            oldest = F.when(F.col("skip_holds"), F.col(f"oldest_free_{name}")).otherwise(oldest)
+        return F.when(is_latest, F.col(f"latest_{name}")).otherwise(oldest)
+
+    created, tag = chosen("creation"), chosen("tag")
     age = (F.lit(now).cast("bigint") - created) * 1000
     timed = rows.withColumns({"creation": created, "tag": tag, "age_ms": age})
     level = F.when(F.col("age_ms") > F.col("critical_ms"), CRITICAL).when(

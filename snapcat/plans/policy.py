@@ -156,6 +156,16 @@ def expand_policy(
     )
 
 
+def policy_collisions(expanded: DataFrame) -> DataFrame:
+    """Destinations of :func:`expand_policy` that more than one source dataset would be replicated to, with the number of
+    sources and the first of them."""
+    sources = expanded.filter("replicate").groupBy("dst_host", "dst_dataset", "dataset").agg(F.count(F.lit(1)))
+    found = sources.groupBy("dst_host", "dst_dataset").agg(
+        F.count(F.lit(1)).alias("sources"), F.min("dataset").alias("first_dataset")
+    )
+    return found.filter("sources > 1")
+
+
 def filter_existing_targets(pairs: DataFrame, pools: DataFrame, local_marker: str = "-:") -> DataFrame:
     """Root pairs whose local destination pool exists (column ``pool``); a remote destination always passes."""
     pool = F.split("dst_root", "/")[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapcat.operators.filters import RegexFilter, times_and_ranks
-from snapcat.operators.labels import Label, minmax_by_label, without_snapshots
+from snapcat.operators.labels import Label, literal_frame, minmax_by_label, without_snapshots
 from snapcat.plans import bookmarks, monitor, policy, properties, replication, retention, schedule
 from snapcat.plans.properties import PropertyGroup
 from tests.conftest import snapshots, values
@@ -285,3 +285,28 @@ def test_due(spark):
         schedule.due_from_catalog(rows, sets, {"org": {"": {"7hourly": 1}}}, 0)
     labels = policy.order_labels(policy.plan_frame(rows, {"o": {"": {"hourly": 1, "daily": 1, "monthly": 1}}}))
     assert [r["suffix"] for r in labels.collect()] == ["_monthly", "_daily", "_hourly"]
+
+
+def test_monitor_rows_have_own_limits_and_holds(spark):
+    plan = {"prod": {"onsite": {"hourly": {"latest": {"warning": "1 hours"}, "oldest": {"critical": "2 hours", "cycles": 3, "oldest_skip_holds": True}}}}}
+    rows = monitor.monitor_plan_rows(plan)
+    alerts = monitor.alerts_of_rows(literal_frame(spark, rows, monitor.PLAN_ROW_TYPES))
+    hour = 3_600_000
+    assert values(alerts, "which", "warning_ms", "critical_ms", "skip_holds") == [("latest", 2 * hour, None, False), ("oldest", None, 5 * hour, True)]
+    for broken in ({"newest": {}}, {"latest": {"oldest_skip_holds": True}}, {"oldest": {"oldest_skip_holds": 1}}, {"latest": {"limit": 1}}):
+        with pytest.raises(ValueError, match="no such check"):
+            monitor.monitor_plan_rows({"o": {"t": {"hourly": broken}}})
+    now = 100 * 3600
+    label = Label("prod_", "onsite_", "_hourly")
+    snaps = snapshots(spark, [("tank/a@prod_onsite_x_hourly", "g", now - 9 * 3600, 1, 0, 1), ("tank/a@prod_onsite_y_hourly", "h", now - 3600, 2, 0, 0)])
+    found = minmax_by_label(snaps, spark.createDataFrame([("tank/a",), ("tank/b",)], "dataset STRING"), [label], free=True)
+    got = monitor.monitor(found, alerts, now)
+    assert values(got, "dataset", "which", "age_ms", "level") == [
+        ("tank/a", "latest", hour, 0), ("tank/a", "oldest", hour, 0), ("tank/b", "latest", now * 1000, 1), ("tank/b", "oldest", now * 1000, 2)
+    ]
+
+
+def test_policy_collisions(spark):
+    rows = [("h", "back/x", "a", True), ("h", "back/x", "a", True), ("h", "back/x", "b", True), ("h", "back/y", "c", True), ("h", "back/y", "d", False)]
+    df = spark.createDataFrame(rows, "dst_host STRING, dst_dataset STRING, dataset STRING, replicate BOOLEAN")
+    assert values(policy.policy_collisions(df), "dst_dataset", "sources", "first_dataset") == [("back/x", 2, "a")]
