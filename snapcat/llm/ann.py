@@ -128,7 +128,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return plain.where(F.size("embedding") == length).distinct()
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float = 1.05, probe: float = 1.5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float = 1.05, probe: float = 1.2) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by ``every``.
 
     Recall on the given tables is in the README; ``probe`` trades it for work.
