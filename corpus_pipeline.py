@@ -33,7 +33,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, with their ids."""
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), plain=False)
 
 
 STAGES = [

@@ -150,19 +150,26 @@ PIECES = (
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, tokens: int = 1024, segments: int = 64, loss: int = 1024, with_ids: bool = True
+    docs: DataFrame,
+    tokenizer: str,
+    tokens: int = 1024,
+    segments: int = 64,
+    loss: int = 1024,
+    with_ids: bool = True,
+    plain: bool = True,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, ids.
 
     A document's ids are those of its text (null: none) and id 0. Its first id bears no loss, as nothing comes before it.
     ids is the piece's ids as little-endian unsigned 32-bit integers (null without ``with_ids``). Repeated rows are packed
-    each on its own; a null doc_id stays null; other columns are not read. An empty table gives no rows.
+    each on its own; a null doc_id stays null; other columns are not read. An empty table gives no rows. ``plain``: special
+    tokens in a text are encoded as text (see :class:`snapcat.llm.tokens.Encoder`); the queries leave them tokens.
     """
 
     def packed(batches):
         import pyarrow as pa
 
-        codec, packer = encoder(tokenizer), Packer(tokens, segments, loss)
+        codec, packer = encoder(tokenizer, plain), Packer(tokens, segments, loss)
         number = TaskContext.get().partitionId() << 40
         types = [pa.int64()] * 8 + [pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"]

@@ -38,13 +38,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, tokenizer, with_ids=False, plain=False).drop("ids")
 
 
 @query("op7_token_shards")
 def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    manifest = token_files.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = token_files.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), plain=False)
     return token_files.read_shards(manifest, with_ids=False).drop("ids")
 
 

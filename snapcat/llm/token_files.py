@@ -28,12 +28,18 @@ MANIFEST = "part INT, shard INT, path STRING, doc_ids ARRAY<BIGINT>, n_ids BIGIN
 
 
 def write_shards(
-    docs: DataFrame, tokenizer: str, folder: str | None = None, shard_ids: int = SHARD_IDS, frequent: float = FREQUENT
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str | None = None,
+    shard_ids: int = SHARD_IDS,
+    frequent: float = FREQUENT,
+    plain: bool = True,
 ) -> DataFrame:
     """Writes the shards; returns the manifest: part, shard, path, doc_ids in file order, n_ids, start (ids before it).
 
     A document's ids are those of its text (null: none) and id 0. Null doc_ids come first; repeated rows are all written, in
-    the order of a hash of their text. An empty table gives an empty manifest.
+    the order of a hash of their text. An empty table gives an empty manifest. ``plain``: special tokens in a text are
+    encoded as text (see :class:`snapcat.llm.tokens.Encoder`); the query leaves them tokens.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-shards")
@@ -42,7 +48,7 @@ def write_shards(
     def write(batches):
         import pyarrow as pa
 
-        codec, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        codec, part, shard = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         parts: list[bytes] = []
         size = 0

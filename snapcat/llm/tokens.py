@@ -23,11 +23,13 @@ class Pieces:
     """Ids of texts as bytes (little-endian unsigned 32-bit), from the ids of their distinct pieces.
 
     The pattern that splits a text before merging always splits in front of a single space, so a text is cut there, and each
-    distinct piece is encoded once. Texts with runs of white space behind a space are encoded whole.
+    distinct piece is encoded once. Texts with runs of white space behind a space, and those with one of the strings of
+    ``uncut``, are encoded whole.
     """
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        self.uncut: list[str] = []
 
     def wholes(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
@@ -44,7 +46,7 @@ class Pieces:
         if len(self.known) > MEMORY:
             self.known = {}
         for text in texts:
-            if not text or RUN.search(text):
+            if not text or RUN.search(text) or any(t in text for t in self.uncut):
                 heads.append(text or "")
                 rests.append([])
             else:
@@ -60,15 +62,23 @@ class Pieces:
 
 
 class Encoder(Pieces):
-    """By the tokenizers library; equal to its ids of the whole text."""
+    """By the tokenizers library; equal to its ids of the whole text.
 
-    def __init__(self, path: str):
+    ``plain``: the text of a special token (``<|endoftext|>``) is encoded like any other; otherwise it is that token, as the
+    library does by itself.
+    """
+
+    def __init__(self, path: str, plain: bool = True):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        added = self.library.get_added_tokens_decoder().values()
+        self.uncut = [t.content for t in added if not (plain and t.special)]
+        if any(" " in t for t in self.uncut):  # could span pieces
+            self.uncut = [""]
         vocab = self.library.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
         self.lengths = np.ones(self.vocab_size, dtype=np.int64)
@@ -121,14 +131,14 @@ class Encoder(Pieces):
                     start = cut
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = True) -> Encoder:
+    """One encoder per file, kind and Python worker."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def slices(batch, columns: tuple[str, ...], rows: int = 256):

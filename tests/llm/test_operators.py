@@ -168,6 +168,24 @@ def test_token_shards(spark, library):
     assert token_files.read_shards(token_files.write_shards(brute.empty(spark), BPE_JSON)).count() == 0
 
 
+def test_queries_leave_special_tokens_to_the_library(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "plain words, and more.", " <|endoftext|>  two", None, "<|endof text|>"]
+    plain = Tokenizer.from_file(BPE_JSON)
+    ids = [np.append(plain.encode(t or "", add_special_tokens=False).ids, 0).astype("<u4").tobytes() for t in texts]
+    assert np.frombuffer(ids[0], "<u4").tolist() == [64, 220, 50256, 275, 0]
+    docs = brute.documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: (len(raw) // 4, zlib.crc32(raw)) for k, raw in enumerate(ids)}
+    shards = QUERIES["op7_token_shards"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in shards} == want
+    pieces = QUERIES["op9_packing"](spark, str(tmp_path)).collect()
+    for r in pieces:
+        piece = ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert r["doc_tokens"] == want[r["doc_id"]][0] and r["ids_crc32"] == zlib.crc32(piece)
+    packed_ids = corpus_pipeline.packing_stage(spark, docs, "").where("start = 0").collect()
+    assert all(bytes(r["ids"]) == ids[r["doc_id"]][: 4 * r["length"]] for r in packed_ids)
+
+
 # quality
 
 
