@@ -11,6 +11,8 @@ import numpy as np
 MAGIC = b"RPG1"
 BINS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A round replaces pairs down to this part of the most frequent one's count.
+SPAN = 16
 
 
 def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,8 @@ def compress(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.nd
         pairs, counts = frequent_pairs(keys, least)
         if not len(pairs):
             break
-        chosen = apart(pairs, counts)
+        high = counts >= max(least, int(counts.max()) // SPAN)
+        chosen = apart(pairs[high], counts[high])
         order = np.sort(np.array(chosen, dtype=np.uint64))
         names = np.empty(len(order), dtype=np.uint64)
         names[np.searchsorted(order, np.array(chosen, dtype=np.uint64))] = first + len(rules) + np.arange(len(chosen))
@@ -98,18 +101,36 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     return seq.astype(np.uint32)
 
 
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """The lowest ``bits`` bits of each value, one after the other."""
+    rows = np.ascontiguousarray(values, dtype="<u4").reshape(-1, 1).view(np.uint8)
+    return np.packbits(np.unpackbits(rows, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
+
+
+def unpacked(data: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, int]:
+    """``count`` values of ``bits`` bits from ``at`` on, and where they end."""
+    end = at + (count * bits + 7) // 8
+    flat = np.unpackbits(np.frombuffer(data, np.uint8, end - at, at), count=count * bits, bitorder="little")
+    rows = np.packbits(flat.reshape(count, bits), axis=1, bitorder="little")
+    out = np.zeros((count, 4), dtype=np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view("<u4").ravel(), end
+
+
 def to_bytes(ids: np.ndarray, lengths: np.ndarray, first: int, least: int) -> bytes:
-    """A shard: header, rules, their expansion lengths, ids per document, symbols."""
+    """A shard: header, rules, their expansion lengths, ids per document, symbols; each part in as few bits as it needs."""
     rules, seq = compress(ids, first, least)
-    wide = "<u4" if first + len(rules) > 1 << 16 else "<u2"
-    head = {"first": first, "rules": len(rules), "docs": len(lengths), "symbols": len(seq), "wide": wide}
+    wide = max(1, (first + len(rules) - 1).bit_length())
+    reach = rule_lengths(rules, first)
+    long = max(1, int(reach.max(initial=1)).bit_length())
+    head = {"first": first, "rules": len(rules), "docs": len(lengths), "symbols": len(seq), "wide": wide, "long": long}
     out = io.BytesIO()
     text = json.dumps(head).encode()
     out.write(MAGIC + struct.pack("<I", len(text)) + text)
-    out.write(rules.astype("<u4").tobytes())
-    out.write(rule_lengths(rules, first).astype("<u8").tobytes())
+    out.write(packed(rules, wide))
+    out.write(packed(reach, long))
     out.write(np.asarray(lengths).astype("<u8").tobytes())
-    out.write(seq.astype(wide).tobytes())
+    out.write(packed(seq, wide))
     return out.getvalue()
 
 
@@ -122,13 +143,13 @@ class Shard:
         (size,) = struct.unpack_from("<I", data, 4)
         head = json.loads(data[8 : 8 + size])
         self.first, at = head["first"], 8 + size
-        self.rules = np.frombuffer(data, "<u4", 2 * head["rules"], at).reshape(-1, 2)
-        at += 8 * head["rules"]
-        lengths = np.concatenate([np.ones(self.first, dtype=np.int64), np.frombuffer(data, "<u8", head["rules"], at)])
-        at += 8 * head["rules"]
+        rules, at = unpacked(data, at, 2 * head["rules"], head["wide"])
+        self.rules = rules.reshape(-1, 2)
+        reach, at = unpacked(data, at, head["rules"], head["long"])
+        lengths = np.concatenate([np.ones(self.first, dtype=np.int64), reach])
         self.lengths = np.frombuffer(data, "<u8", head["docs"], at).astype(np.int64)
         at += 8 * head["docs"]
-        self.symbols = np.frombuffer(data, head["wide"], head["symbols"], at)
+        self.symbols, _ = unpacked(data, at, head["symbols"], head["wide"])
         self.ends = np.cumsum(lengths[self.symbols.astype(np.int64)]).astype(np.int64)
         if int(self.lengths.sum()) != (int(self.ends[-1]) if len(self.ends) else 0):
             raise ValueError("a shard whose symbols do not expand to its documents")

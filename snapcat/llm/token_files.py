@@ -21,8 +21,8 @@ from snapcat.llm.shared import shared_folder, stored
 from snapcat.llm.tokens import encoder, slices
 
 SHARD_IDS = 1 << 20
-#: A pair is frequent if it makes up this share of a shard.
-FREQUENT = 1 / 2000
+#: Fewest occurrences of a pair that pay for its rule: a rule takes two symbols and its expansion length, about as many bits.
+LEAST = 3
 
 MANIFEST = "part INT, shard INT, path STRING, doc_ids ARRAY<BIGINT>, n_ids BIGINT"
 
@@ -32,7 +32,7 @@ def write_shards(
     tokenizer: str,
     folder: str | None = None,
     shard_ids: int = SHARD_IDS,
-    frequent: float = FREQUENT,
+    least: int = LEAST,
     plain: bool = True,
 ) -> DataFrame:
     """Writes the shards; returns the manifest: part, shard, path, doc_ids in file order, n_ids, start (ids before it).
@@ -58,7 +58,6 @@ def write_shards(
             ids = np.frombuffer(b"".join(parts), "<u4")
             lengths = np.array([len(p) // 4 for p in parts])
             path = files.fresh_name(folder, f"part-{part:06d}-{shard:06d}", ".ids")
-            least = max(2, int(len(ids) * frequent))
             files.write_bytes(path, repair.to_bytes(ids, lengths, codec.vocab_size, least))
             row = [[part], [shard], [path], [list(doc_ids)], [len(ids)]]
             types = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64()]

@@ -146,6 +146,27 @@ def test_repair_leaves_no_frequent_pair():
     assert repair.expand(seq, rules, 10).tolist() == flat.tolist()
 
 
+def test_repair_goes_on_until_no_pair_pays(spark):
+    rng = random.Random(6)
+    phrases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(40)) for _ in range(100)]  # each phrase about ten times
+    manifest = token_files.write_shards(brute.documents(spark, texts).coalesce(1), BPE_JSON)
+    assert sorted(r["doc_id"] for r in token_files.read_shards(manifest).collect()) == list(range(100))
+    written = 0
+    for r in manifest.collect():
+        written += len(data := token_files.files.read_bytes(r["path"]))
+        symbols = repair.Shard(data).symbols.tolist()
+        assert max(Counter(zip(symbols[:-1], symbols[1:], strict=True)).values()) < 3
+    assert written < manifest.agg(F.sum("n_ids")).first()[0]  # before: above two bytes an id
+
+
+@pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
+def test_values_in_bits(bits):
+    values = np.array([0, 1, 2**bits - 1, 5 % 2**bits, 2 ** (bits - 1)], dtype=np.uint32)
+    got, end = repair.unpacked(b"ab" + repair.packed(values, bits) + b"c", 2, 5, bits)
+    assert got.tolist() == values.tolist() and end == 2 + (5 * bits + 7) // 8
+
+
 def test_token_shards(spark, library):
     docs = brute.documents(spark, messy=True)
     manifest = token_files.write_shards(docs, BPE_JSON, shard_ids=2000)
