@@ -55,6 +55,38 @@ def test_shards_hold_the_law_and_groups(spark):
     assert len(where["hot"]) <= 5  # three shards' worth, and what was full before
 
 
+@pytest.mark.parametrize("copies", [2, 5, 100])
+def test_shards_where_every_row_has_a_copy(spark, copies):
+    texts = [f"text {k // copies}" for k in range(800)]
+    random.Random(5).shuffle(texts)
+    rows = sharding.shard_documents(brute.documents(spark, texts), 8).collect()
+    assert set(Counter(r["shard"] for r in rows).values()) == {100}
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(v) > 1 for v in where.values()) <= 7
+
+
+def test_full_shards_exchange_rows(spark):
+    rng = random.Random(8)
+    shard = [k % 4 for k in range(240)]
+    rng.shuffle(shard)
+    links = [(k, f"{j}-{rng.randrange(3)}-{k // 30}") for k in range(240) for j in range(4)]  # eight groups without free room
+    links = spark.createDataFrame(links, "rid BIGINT, key STRING").distinct()
+    labels = spark.createDataFrame(list(enumerate(shard)), "rid BIGINT, shard INT")
+    got = dict(map(tuple, sharding.propagate(links, 4, 60, labels).collect()))
+    assert set(Counter(got.values()).values()) == {60}
+    near = lambda s: np.mean([s[a] == s[b] for a in range(240) for b in range(240) if a < b and a // 30 == b // 30])
+    assert near(shard) < 0.3 and near(got) > 0.6
+
+
+def test_grants_keep_shards_within_room():
+    assert sharding.grants({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.grants({(0, 1): 5, (1, 2): 4, (2, 0): 2}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert sharding.grants({(0, 1): 5, (1, 2): 4}, [0, 0, 3]) == {(0, 1): 3, (1, 2): 3}
+    assert sharding.grants({(0, 1): 5}, [0, 0]) == {}
+
+
 def test_shards_of_messy_and_empty_tables(spark):
     docs = brute.documents(spark, messy=True)
     got = sharding.shard_documents(docs, 3).collect()
