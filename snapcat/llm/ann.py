@@ -9,7 +9,7 @@
 * Equal vectors are one entry that keeps as many of the smallest ids as any answer can hold. Lists and the queries of a list
   are cut into blocks, so a task sees a bounded part of either; a block answers each query with its best entries.
 
-null, zero, non-finite vectors and those of another length than the longest take no part; a null vec_id takes no part; rows
+null, zero, non-finite vectors and those of another length than most take no part; a null vec_id takes no part; rows
 that repeat id and vector count once. An empty table gives no rows.
 """
 
@@ -124,8 +124,9 @@ def usable(vectors: DataFrame) -> DataFrame:
         & F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
         & F.exists(e, lambda x: x != 0)
     )
-    length = plain.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return plain.where(F.size("embedding") == length).distinct()
+    ids = plain.groupBy(F.size("embedding").alias("length")).agg(F.countDistinct("vec_id").alias("ids"))
+    most = ids.orderBy(F.desc("ids"), F.desc("length")).first()
+    return plain.where(F.size("embedding") == (most["length"] if most else 0)).distinct()
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float = 1.05, probe: float = 1.5) -> DataFrame:

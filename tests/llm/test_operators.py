@@ -363,6 +363,12 @@ def test_neighbours(spark, unit):
     assert np.mean(recall) >= 0.9
 
 
+def test_one_longer_vector_hides_no_others(spark):
+    rows = [(k, [float(k + 1), 1.0], "c", "c", "c") for k in range(30)] + [(40, [1.0, 2.0, 3.0], "c", "c", "c")]
+    got = ann.nearest(vectors(spark, rows)).collect()
+    assert {r["query_id"] for r in got} == {0, 20} and len(got) == 40 and 40 not in {r["vec_id"] for r in got}
+
+
 def test_few_and_no_vectors(spark):
     rows = [(k, [float(k + 1), 1.0], "c", "c", "c") for k in (0, 1, 20)]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(vectors(spark, rows)).collect()]
