@@ -7,7 +7,8 @@
   found by best-first search in the graph. A query searches the lists within ``probe`` times the nearest distance.
 * Inner product is turned into distance by one more component, sqrt(longest^2 - |x|^2); a query has 0 there.
 * Equal vectors are one entry that keeps as many of the smallest ids as any answer can hold. Lists and the queries of a list
-  are cut into blocks, so a task sees a bounded part of either; a block answers each query with its best entries.
+  are cut into blocks, so a task sees a bounded part of either; a block answers each query with its best entries, of equal
+  scores those with the smallest ids.
 
 null, zero, non-finite vectors and those of another length than most take no part; a null vec_id takes no part; rows
 that repeat id and vector count once. An empty table gives no rows.
@@ -143,7 +144,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
     )
     entries = kept.groupBy("key").agg(F.first("embedding").alias("embedding"), F.collect_list("vec_id").alias("ids"))
     entries = stored(
-        entries.join(counts, "key").withColumn("vid", F.monotonically_increasing_id()), "ann-entries"
+        entries.join(counts, "key").withColumns({"vid": F.monotonically_increasing_id(), "low": F.array_min("ids")}), "ann-entries"
     )
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, longest = entries.agg(F.count(F.lit(1)), F.max(square)).first()
@@ -167,14 +168,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = lifted(matrix(part.column(1), dims))
+                x = lifted(matrix(part.column(2), dims))
                 far = g.search(x, replicate)
                 order = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
                 d = np.take_along_axis(far, order, 1)
                 row, j = np.nonzero(d <= replicate * d[:, :1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[row, j], pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))],
-                    names=["list", "vid", "embedding"],
+                    [pa.array(order[row, j], pa.int32()), *[part.column(c).take(pa.array(row)) for c in range(3)]],
+                    names=["list", "vid", "low", "embedding"],
                 )
 
     def ask(batches):
@@ -194,8 +195,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
                 )
 
     schema = "list INT, vid BIGINT, embedding ARRAY<DOUBLE>"
-    narrow = entries.select("vid", "embedding")
-    postings = stored(narrow.mapInArrow(assign, schema), "ann-postings")
+    narrow = entries.select("vid", "low", "embedding")
+    postings = stored(narrow.mapInArrow(assign, "list INT, vid BIGINT, low BIGINT, embedding ARRAY<DOUBLE>"), "ann-postings")
     queries = stored(entries.where("asks = 1").select("vid", "embedding").mapInArrow(ask, schema), "ann-queries")
     blocks = (
         postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("pb"))
@@ -215,7 +216,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
 
         if posts.empty or asks.empty:
             return pd.DataFrame({"vid": [], "best": []})
-        v, vids = np.stack(posts["embedding"].to_numpy()), posts["vid"].to_numpy()
+        posts = posts.sort_values(["low", "vid"])
+        v, vids, lows = np.stack(posts["embedding"].to_numpy()), posts["vid"].to_numpy(), posts["low"].to_numpy()
         q, out = np.stack(asks["embedding"].to_numpy()), []
         for at in range(0, len(q), 256):
             rough = q[at : at + 256] @ v.T
@@ -225,21 +227,23 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, replicate: float =
             score = inner_products(q[at + row], v[col])
             for r in range(len(rough)):
                 s, e = np.searchsorted(row, [r, r + 1])
-                out.append([{"score": a, "vid": b} for a, b in zip(score[s:e].tolist(), vids[col[s:e]].tolist(), strict=True)])
+                first = s + np.argsort(-score[s:e], kind="stable")[:top]  # of equal scores, by id
+                found = (-score[first], lows[col[first]], vids[col[first]])
+                out.append([{"s": a, "low": b, "vid": c} for a, b, c in zip(*(x.tolist() for x in found), strict=True)])
         return pd.DataFrame({"vid": asks["vid"], "best": out})
 
     parts = (
-        left.select("list", "p", "q", "vid", "embedding")
+        left.select("list", "p", "q", "vid", "low", "embedding")
         .groupBy("list", "p", "q")
         .cogroup(right.select("list", "p", "q", "vid", "embedding").groupBy("list", "p", "q"))
-        .applyInPandas(answer, "vid BIGINT, best ARRAY<STRUCT<score: DOUBLE, vid: BIGINT>>")
+        .applyInPandas(answer, "vid BIGINT, best ARRAY<STRUCT<s: DOUBLE, low: BIGINT, vid: BIGINT>>")
     )
     # per query vector its best entries: as many as one answer and the query itself can hold, each in REPLICAS lists at most
-    merged = parts.groupBy("vid").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
+    merged = parts.groupBy("vid").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
     best = F.slice(F.array_distinct(F.slice("best", 1, (k + 1) * REPLICAS)), 1, k + 1)
     hits = merged.select(F.col("vid").alias("asker"), F.explode(best).alias("hit")).select("asker", "hit.*")
     with_ids = hits.join(entries.select("vid", "ids"), "vid").select(
-        "asker", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id"))).alias("found")
+        "asker", F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("id"))).alias("found")
     )
     answers = with_ids.groupBy("asker").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     answers = stored(

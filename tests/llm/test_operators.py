@@ -369,6 +369,17 @@ def test_one_longer_vector_hides_no_others(spark):
     assert {r["query_id"] for r in got} == {0, 20} and len(got) == 40 and 40 not in {r["vec_id"] for r in got}
 
 
+def test_ties_at_the_cut_go_to_the_smallest_ids(spark):
+    rng = random.Random(9)
+    bits = [[1.0] + [float(k >> j & 1) for j in range(6)] for k in range(1, 61)]
+    ids = list(range(1, 61))
+    rng.shuffle(ids)
+    ids = [k + (k >= 20) + (k >= 39) + (k >= 58) for k in ids]  # none asks
+    rows = [(0, [1.0] + [0.0] * 6, "c", "c", "c")] + [(k, v, "c", "c", "c") for k, v in zip(ids, bits, strict=True)]
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in ann.nearest(vectors(spark, rows)).collect()}
+    assert got == {n + 1: (k, 1.0) for n, k in enumerate(sorted(ids)[:20])}
+
+
 def test_few_and_no_vectors(spark):
     rows = [(k, [float(k + 1), 1.0], "c", "c", "c") for k in (0, 1, 20)]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(vectors(spark, rows)).collect()]
