@@ -1,11 +1,11 @@
 """Removal of byte strings that occur earlier in the corpus, by sorting suffixes.
 
 Suffixes are sorted where they can have an equal: places are sampled by content (the smallest n-gram hash of a window), and
-a place whose n-gram occurs nowhere else has no equal window. Sampled splitters range-partition the places by their leading
-n-gram, equal cuts are merged, and a bucket sorts the suffixes of its cuts by multikey quicksort on eight bytes at a time:
+a place whose n-gram occurs nowhere else has no equal window. Sampled splitters range-partition the places by the hash of that
+n-gram, which may lie anywhere in the window and is not in text order; equal cuts are merged, and a bucket sorts the suffixes of its cuts by multikey quicksort on eight bytes at a time:
 only suffixes that tie go on to the next eight. Neighbours in that order that tie to the end of the window are equal; all
-but the earliest are marked. A leading n-gram with more cuts than a bucket may hold crosses bucket boundaries; its windows
-are compared as rows, by an aggregate.
+but the earliest are marked. Equal windows have the same key and a key never crosses a bucket boundary, so nothing is compared
+across boundaries; the windows of a key with more cuts than a bucket may hold are compared as rows, by an aggregate.
 
 null and empty texts have no bytes; documents are ordered by doc_id (null first, repeated doc_ids by a hash of the text);
 equal rows are documents one behind the other; an empty table gives no rows. Other columns are not read.
