@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, ngram_join, packing, quality, sharding, substring, suffix_dedup, token_files, warc
+from snapcat.llm import ann, bpe, centroids, ngram_join, packing, quality, sharding, substring, suffix_dedup, token_files, warc
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_join", ngram_join.oracle_sql())
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op12_bisector_tournament", centroids.oracle_sql())
+def bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
