@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm import ann, bpe, centroids, ngram_join, packing, quality, sharding, substring, suffix_dedup, token_files, warc
+from snapcat.llm import (
+    ann,
+    bpe,
+    centroids,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    substring,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    warc,
+)
 from snapcat.llm.shared import ship, table
 
 QUERIES = {}
@@ -91,3 +104,9 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bisector_tournament", centroids.oracle_sql())
 def bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op11_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(documents, table(spark, sf_dir, "labels"))
