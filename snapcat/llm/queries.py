@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.llm import (
+    alignment,
     ann,
     bpe,
     centroids,
@@ -110,3 +111,10 @@ def bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_documents(documents, table(spark, sf_dir, "labels"))
+
+
+@query("op13_pair_bitmaps")
+def pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    json_path, model_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(documents, json_path, model_path)[0]
