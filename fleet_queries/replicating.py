@@ -169,7 +169,7 @@ FROM steps WINDOW w AS (PARTITION BY rel_dataset ORDER BY to_createtxg, to_name)
 )
 def step_sizes(spark, sf_dir):
     sized = replication.step_sizes(replication.incremental_steps(early_candidates(spark, sf_dir)))
-    return replication.mark_last_step(sized).select(
+    return sized.select(
         "rel_dataset", "to_name", "written", "snapshots", "total_bytes", "done_bytes", "total_snapshots",
         "done_snapshots", "is_last",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.functions.names import YEAR_PATTERN, label_matches
+from snapcat.operators.ordered import CHUNK_BITS, salted_join
 from snapcat.schema import SNAPSHOT
 
 LABEL = ("prefix", "infix", "suffix")
@@ -53,12 +54,12 @@ def label_frame(spark: SparkSession, labels: Sequence[Label]) -> DataFrame:
     return literal_frame(spark, [asdict(label) for label in dict.fromkeys(labels)], LABEL_TYPES)
 
 
-def match_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
+def match_labels(df: DataFrame, labels: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Rows joined with every label their tag belongs to; all columns of both sides.
 
     A prefix and an infix end in their only underscore, so a tag can start with at most two label heads: up to its
     first underscore (label without infix, and a year follows) or up to its second. That makes it an equi-join on
-    the head instead of a nested loop over all labels."""
+    the head instead of a nested loop over all labels. There are few heads, so some are hot: their rows are dealt in parts."""
     tag = F.col("tag")
     one = F.concat(F.substring_index(tag, "_", 1), F.lit("_"))
     two = F.concat(F.substring_index(tag, "_", 2), F.lit("_"))
@@ -67,7 +68,8 @@ def match_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     rows = df.withColumn("__head", F.explode(heads))
     keyed = labels.withColumn("__head", F.concat("prefix", "infix"))
     matches = label_matches(tag, F.col("prefix"), F.col("infix"), F.col("suffix"))
-    return rows.join(keyed, "__head").filter(matches).drop("__head")
+    spread = [c for c in ("dataset", "tag", "guid") if c in df.columns]
+    return salted_join(rows, keyed, ["__head"], "inner", spread, bits=bits).filter(matches).drop("__head")
 
 
 def minmax_by_label(

@@ -1,34 +1,159 @@
 """Ordered, skew-safe scans and joins.
 
-One series may hold a large share of all rows, so nothing here sorts or collects a whole series in one task:
-
-* :func:`ordered_scan` computes prefix sums, "last value before" and group totals by splitting each group into chunks
-  of its order key. Rows are windowed per (group, chunk); only one small summary row per chunk is windowed per group.
-* :func:`salted_join` spreads the rows of a hot key over several partitions by repeating the other, unique side.
+One series may hold a large share of all rows, so nothing here sorts or collects a whole hot series in one task. Groups are
+counted first; only those with more rows than a task should hold are treated apart:
+
+* :func:`ordered_scan` computes prefix sums, "last value before" and group totals. Rows are shuffled once, by group, and
+  windowed; several scans over the same rows and order share that shuffle (:class:`Scans`). A hot group is cut into parts at
+  sampled values of its order key; what a part hands on to the next is one row per part, broadcast back. No row is
+  shuffled a second time.
+* :func:`salted_join` deals the rows of hot keys over several partitions and repeats the other side for these keys only.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A chunk spans 2**18 values of the order key, so it holds at most 262,144 rows per tie of that key, and a series has
-# at most (range of the key) / 2**18 summary rows. The key should be a counter (transaction group, line number); for a
-# sparse one, such as a clock in microseconds, pass more bits.
+from snapcat.session import shared_folder
+
+# A task holds at most 2**18 rows of one group, or the MOST_PARTS-th part of the rows of hot groups if that is more.
 CHUNK_BITS = 18
-# Parts of a salted join at most; there are no more than shuffle partitions.
+# Parts of all hot groups together number at most twice this, whatever the input: small enough to broadcast.
+MOST_PARTS = 1 << 16
+# Rows sampled per part to find where to cut.
+SAMPLED = 16
+# Parts of one key in a salted join at most.
 MOST_SALTS = 256
 
-CHUNK, _SALT = "__chunk", "__salt"
-
-
-def with_chunk(df: DataFrame, key: str, bits: int = CHUNK_BITS) -> DataFrame:
-    """Adds the chunk column. Added once before several scans of the same rows in the same order, it lets the later
-    scans find their rows already partitioned."""
-    # rows without an order key come first, in a chunk before all others
-    return df.withColumn(CHUNK, F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(-(1 << 63))))
+CHUNK, _SALT, _ROWS, _CUTS = "__chunk", "__salt", "__rows", "__cuts"
+
+
+# --- hot groups -----------------------------------------------------------------------------------------------------
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether all files and tables behind df together are no larger than what Spark lets one task read."""
+    query = df._jdf.queryExecution()
+    leaves = query.optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a small table to the shared folder and returns the written rows."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_groups(df: DataFrame, group: Sequence[str], bits: int = CHUNK_BITS) -> DataFrame | None:
+    """Groups with more rows than a task should hold, their number of rows and of parts to cut them into; None if there is
+    none. One counting pass with map-side combine, left out where the whole input is small enough for one task."""
+    if bits >= CHUNK_BITS and fits_one_task(df):
+        return None
+    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias(_ROWS))
+    many = counted.filter(F.col(_ROWS) > (1 << bits))
+    n_hot, n_rows = many.agg(F.count(F.lit(1)), F.coalesce(F.sum(_ROWS), F.lit(0))).first()
+    if not n_hot:
+        return None
+    most = max(1 << bits, n_rows // MOST_PARTS)
+    parts = F.ceil(F.col(_ROWS) / most).cast("int")
+    return written(many.filter(F.col(_ROWS) > most).withColumn("__parts", parts), "hot")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join by keys where null keys meet; the keys of ``right`` are dropped. ``right`` holds at most 2 * MOST_PARTS rows."""
+    renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
+    matching = [F.col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(keys)]
+    joined = left.join(F.broadcast(renamed), matching, how)
+    return joined if how == "left_semi" else joined.drop(*[f"__r_{i}" for i in range(len(keys))])
+
+
+# --- ordered scans --------------------------------------------------------------------------------------------------
+
+
+class Scans:
+    """Ordered scans over rows of the same groups in the same order (nulls first).
+
+    ``rows`` are the input's rows, with the part of their group in a column of their own where some group is hot. Each scan
+    takes rows that were made from them by adding columns, and finds them partitioned and sorted already."""
+
+    def __init__(self, df: DataFrame, group: Sequence[str], order: Sequence[str], bits: int = CHUNK_BITS):
+        self.group, self.order, self.columns = list(group), list(order), df.columns
+        hot = hot_groups(df, group, bits)
+        self.cut = hot is not None
+        self.keys = [*self.group, CHUNK] if self.cut else self.group
+        self.rows = df
+        if hot is not None:
+            position = F.struct(*self.order)
+            places = self._places(df, hot, 1 << bits)
+            marked = same_keys(df, places, self.group, "left")
+            part = F.size(F.filter(_CUTS, lambda c: c <= position))
+            self.rows = marked.withColumn(CHUNK, F.when(F.col(_CUTS).isNull(), -1).otherwise(part)).drop(_CUTS)
+
+    def _places(self, df: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
+        """Values of the order key at which hot groups are cut into parts of about equal size, from a sample of the keys."""
+        position = F.struct(*self.order).alias("__at")
+        drawn = F.pmod(F.xxhash64(*self.group, *self.order), F.lit(max(1, rows // SAMPLED))) == 0
+        names = hot.select(*self.group, "__parts")
+        sample = same_keys(df.select(*self.group, *self.order).filter(drawn), names, self.group, "inner")
+        ranked = sample.select(*self.group, "__parts", position).withColumns(
+            {
+                "__rank": F.row_number().over(Window.partitionBy(*self.group).orderBy("__at")),
+                "__n": F.count(F.lit(1)).over(Window.partitionBy(*self.group)),
+            }
+        )
+        step = lambda rank: F.floor(rank * F.col("__parts") / F.col("__n"))
+        border = ranked.filter(step(F.col("__rank")) > step(F.col("__rank") - 1))
+        return written(border.groupBy(*self.group).agg(F.sort_array(F.collect_set("__at")).alias(_CUTS)), "cuts")
+
+    def add(
+        self,
+        rows: DataFrame,
+        sums: Mapping[str, Column] | None = None,
+        totals: Mapping[str, Column] | None = None,
+        lasts: Mapping[str, Column] | None = None,
+    ) -> DataFrame:
+        """See :func:`ordered_scan`."""
+        sums, totals, lasts = dict(sums or {}), dict(totals or {}), dict(lasts or {})
+        numbers = {n: F.coalesce(c, F.lit(0)).cast("bigint") for n, c in (sums | totals).items()}
+        result = [*rows.columns, *sums, *totals, *lasts]
+        rows = rows.withColumns({f"__v_{n}": c for n, c in (numbers | lasts).items()})
+        earlier = Window.partitionBy(*self.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*self.keys)
+        local = rows.withColumns(
+            {n: F.coalesce(F.sum(f"__v_{n}").over(earlier), F.lit(0)) for n in sums}
+            | {n: F.last(f"__v_{n}", ignorenulls=True).over(earlier) for n in lasts}
+            | {n: F.sum(f"__v_{n}").over(whole) for n in totals}
+        )
+        if self.cut:
+            local = self._carry(local, rows, list(sums), list(totals), list(lasts))
+        return local.select(*result)
+
+    def _carry(self, local: DataFrame, rows: DataFrame, sums: list[str], totals: list[str], lasts: list[str]) -> DataFrame:
+        """Adds to the rows of hot groups what the parts before theirs hand on."""
+        value = lambda n: F.struct(F.struct(*self.order), F.col(f"__v_{n}").alias("v"))
+        parts = rows.filter(F.col(CHUNK) >= 0).groupBy(*self.keys).agg(
+            *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in dict.fromkeys([*sums, *totals])],
+            *[F.max(F.when(F.col(f"__v_{n}").isNotNull(), value(n)))["v"].alias(f"__l_{n}") for n in lasts],
+        )
+        before = Window.partitionBy(*self.group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = parts.select(
+            *self.keys,
+            *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
+            *[F.sum(f"__s_{n}").over(Window.partitionBy(*self.group)).alias(f"__t_{n}") for n in totals],
+            *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts],
+        )
+        joined = same_keys(local, written(carried, "carried"), self.keys, "left")
+        return joined.withColumns(
+            {n: F.col(n) + F.coalesce(f"__c_{n}", F.lit(0)) for n in sums}
+            | {n: F.coalesce(f"__t_{n}", n) for n in totals}
+            | {n: F.coalesce(n, f"__c_{n}") for n in lasts}
+        )
 
 
 def ordered_scan(
@@ -40,68 +165,43 @@ def ordered_scan(
     lasts: Mapping[str, Column] | None = None,
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """Adds columns to every row of ``df``, by group in the given order (first order column: BIGINT, nulls first):
+    """Adds columns to every row of ``df``, by group in the given order (nulls first; a null group is a group):
 
     * ``sums``: sum of an integer expression over all earlier rows of the group;
     * ``totals``: its sum over the whole group;
     * ``lasts``: the latest non-null value of an expression among all earlier rows.
 
-    Whole rows are shuffled once, by (group, chunk). The summary reads the input a second time, but only its keys and
-    the summed columns, and is combined before its shuffle. An expensive input is better written to a table first.
+    Whole rows are shuffled once. Groups with more than ``2**bits`` rows are cut into parts, see :class:`Scans`; to find
+    them, large inputs are counted when the scan is built. An expensive input is better written to a table first.
     """
-    sums, totals, lasts = dict(sums or {}), dict(totals or {}), dict(lasts or {})
-    counted = {**sums, **totals}
-    values = {f"__v_{name}": F.coalesce(c, F.lit(0)).cast("bigint") for name, c in counted.items()}
-    values |= {f"__v_{name}": c for name, c in lasts.items()}
-    keys = [*group, CHUNK]
-    rows = (df if CHUNK in df.columns else with_chunk(df, order[0], bits)).withColumns(values)
-
-    position = F.struct(*order)
-    summary = rows.groupBy(*keys).agg(
-        *[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in counted],
-        *[
-            F.max(F.when(F.col(f"__v_{name}").isNotNull(), F.struct(position, F.col(f"__v_{name}").alias("v"))))
-            .getField("v")
-            .alias(f"__l_{name}")
-            for name in lasts
-        ],
-    )
-    by_chunk = Window.partitionBy(*group).orderBy(CHUNK)
-    earlier_chunks = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    carried = summary.select(
-        *keys,
-        *[F.coalesce(F.sum(f"__s_{n}").over(earlier_chunks), F.lit(0)).alias(f"__c_{n}") for n in sums],
-        *[F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in totals],
-        *[F.last(f"__l_{n}", ignorenulls=True).over(earlier_chunks).alias(f"__c_{n}") for n in lasts],
-    )
-    earlier_rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumns(
-        {f"__p_{n}": F.coalesce(F.sum(f"__v_{n}").over(earlier_rows), F.lit(0)) for n in sums}
-        | {f"__p_{n}": F.last(f"__v_{n}", ignorenulls=True).over(earlier_rows) for n in lasts}
-    )
-    same = {k: f"__k_{i}" for i, k in enumerate(keys)}
-    renamed = carried.withColumnsRenamed(same)
-    matching = [F.col(k).eqNullSafe(F.col(v)) for k, v in same.items()]  # a null group is a group
-    return local.join(renamed, matching).select(
-        *df.columns,
-        *[(F.col(f"__p_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums],
-        *[F.col(f"__t_{n}").alias(n) for n in totals],
-        *[F.coalesce(f"__p_{n}", f"__c_{n}").alias(n) for n in lasts],
-    )
+    scans = Scans(df, group, order, bits)
+    return scans.add(scans.rows, sums, totals, lasts).drop(CHUNK)
+
+
+# --- joins and ranks ------------------------------------------------------------------------------------------------
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str], salts: int | None = None
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str,
+    spread: Sequence[str],
+    salts: int = MOST_SALTS,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """``big`` join ``small`` where a key may be hot in ``big``. ``small`` should hold each key few times: it is
-    repeated per salt. ``spread`` are columns of ``big`` that differ between rows of one key. ``how``: inner, left,
-    left_semi or left_anti. ``salts``: the number of shuffle partitions, so that a key with a third of all rows is spread
-    over all of them."""
-    if salts is None:
-        salts = max(1, min(MOST_SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """``big`` join ``small`` where a key may be hot in ``big``. Keys of ``big`` with more than ``2**bits`` rows are counted
+    first and dealt by ``spread``, columns that differ between rows of one key, over as many parts as they need, ``salts`` at
+    most; ``small``, which should hold each key few times, is repeated for those keys only. All other keys, and all of them
+    where none is hot, are joined as they are. ``how``: inner, left, left_semi or left_anti."""
+    hot = hot_groups(big, on, bits)
+    if hot is None:
+        return big.join(small, list(on), how)
+    parts = hot.select(*on, F.least(F.col("__parts"), F.lit(salts)).alias("__parts"))
+    dealt = F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int")
+    salted = same_keys(big, parts, on, "left").withColumn(_SALT, F.coalesce(dealt, F.lit(0))).drop("__parts")
+    copies = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    repeated = same_keys(small, parts, on, "left").withColumn(_SALT, F.explode(copies)).drop("__parts")
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions.human import human_duration, percent
+from snapcat.operators.ordered import CHUNK_BITS, salted_join
 from snapcat.plans.monitor import CRITICAL, DIE, OK, STILL_RUNNING, WARNING
 
 
@@ -39,41 +40,72 @@ def job_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-BINS = 1 << 16
+# Brackets of a median come from a sketch of this accuracy (its ranks are off by at most 1 / ACCURACY of the rows) and are
+# widened by four times that, so they hold less than a hundredth of the rows, besides repeats of one value.
+ACCURACY = 2000
+_KEY = "__key"
 
 
-def _same(keys: Sequence[str], left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join in which null keys meet; the keys of ``right`` are dropped."""
-    renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
-    matching = [F.col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(keys)]
-    joined = left.join(renamed, matching) if keys else left.crossJoin(renamed)  # without keys: one row
-    return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
+def _keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """With the group as one column; null keys are equal there."""
+    return df.withColumn(_KEY, F.struct(*by) if by else F.lit(0))
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
-    """One row per group: its keys and the median of the non-null values as ``name``.
+def median_brackets(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """One row per group: for each value ``n`` (non-null), ``lo`` and ``hi``, between which the median lies for sure."""
+    margin = 4 / ACCURACY
+    sketches = {
+        n: F.percentile_approx(v, [0.5 - margin, 0.5 + margin], ACCURACY) for n, v in values.items()
+    }
+    return (
+        df.groupBy(*by)
+        .agg(
+            *[F.count(v).alias(f"__n_{n}") for n, v in values.items()],
+            *[sketch.alias(f"__q_{n}") for n, sketch in sketches.items()],
+        )
+        .withColumns({f"__lo_{n}": F.col(f"__q_{n}")[0] for n in values} | {f"__hi_{n}": F.col(f"__q_{n}")[1] for n in values})
+        .drop(*[f"__q_{n}" for n in values])
+    )
+
 
-    Values are counted per range of the group's span; only the ranges that hold the middle are looked into, and there each
-    different value is one row. No task sees the values of a group."""
-    rows = df.select(*by, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    bounds = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    place = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
-    binned = _same(by, rows, bounds).withColumn(
-        "__bin", F.coalesce(F.least(F.floor(place * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], bits: int = CHUNK_BITS) -> DataFrame:
+    """One row per group: its keys and the median of the non-null values of each expression, named as in ``values``.
+
+    Two passes for all values together: a sketch brackets each median, then the values below a bracket are counted and
+    those inside are ranked, each different one being one row. Where values lie does not matter, only how many there are."""
+    rows = df.select(*by, *[v.cast("double").alias(f"__v_{n}") for n, v in values.items()])
+    bounds = _keyed(median_brackets(rows, by, {n: F.col(f"__v_{n}") for n in values}), by).drop(*by)
+    if by:
+        met = salted_join(_keyed(rows, by), bounds, [_KEY], "inner", [f"__v_{n}" for n in values], bits=bits)
+    else:
+        met = rows.crossJoin(bounds)  # one row
+    found = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("which"),
+                F.col(f"__v_{n}").alias("v"),
+                F.col(f"__lo_{n}").alias("lo"),
+                F.col(f"__hi_{n}").alias("hi"),
+                F.col(f"__n_{n}").alias("n"),
+            )
+            for n in values
+        ]
     )
-    counted = binned.groupBy(*by, "__bin", "__n").agg(F.count(F.lit(1)).alias("__c"))
-    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
-    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
-    middle = counted.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__c") > low))
-    inside = _same([*by, "__bin"], binned.select(*by, "__bin", "__v"), middle)
-    values = inside.groupBy(*by, "__bin", "__v", "__n", "__before").agg(F.count(F.lit(1)).alias("__c"))
-    ahead = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("__before") + F.coalesce(F.sum("__c").over(ahead), F.lit(0))
-    ranked = values.withColumn("__first", first)
-    holds = [(F.col("__first") <= at) & (F.col("__first") + F.col("__c") > at) for at in (low, high)]
-    a, b = (F.max(F.when(h, F.col("__v"))) for h in holds)
-    return ranked.groupBy(*by).agg((a * 0.5 + b * 0.5).alias(name))
+    flat = met.select(*by, F.inline(found)).filter(F.col("v").isNotNull() & (F.col("v") <= F.col("hi")))
+    # a null stands for all values below the bracket
+    inside = flat.withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
+    counted = inside.groupBy(*by, "which", "v").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    earlier = Window.partitionBy(*by, "which").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("first", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    result = []
+    for n in values:
+        own = F.col("which") == n
+        low, high = (
+            F.max(F.when(own & (F.col("first") <= at) & (F.col("first") + F.col("c") > at), F.col("v")))
+            for at in (F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+        )
+        result.append((low * 0.5 + high * 0.5).alias(n))
+    return ranked.groupBy(*by).agg(*result)
 
 
 def trial_summary(df: DataFrame, by: Sequence[str], objects: str = "objects", seconds: str = "seconds") -> DataFrame:
@@ -89,10 +121,7 @@ def trial_summary(df: DataFrame, by: Sequence[str], objects: str = "objects", se
         ]
 
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("measurements"), *four(rate, "rate"), *four(F.col(seconds), "seconds"))
-    for value, name in ((rate, "rate"), (F.col(seconds), "seconds")):
-        median = exact_median(df, by, value, f"median_{name}")
-        renamed = median.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(by)})
-        matching = [F.col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(by)]
-        out = out.join(renamed, matching or F.lit(True), "left").drop(*[f"__r_{i}" for i in range(len(by))])
+    medians = _keyed(exact_medians(df, by, {"median_rate": rate, "median_seconds": F.col(seconds)}), by).drop(*by)
+    out = _keyed(out, by).join(medians, _KEY, "left").drop(_KEY)
     order = ["min", "max", "median", "avg", "stddev"]
     return out.select(*by, "measurements", *[f"{k}_{name}" for name in ("rate", "seconds") for k in order])

@@ -130,7 +130,7 @@ def candidates_since(src: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def _step_rows(cands: DataFrame, resume: bool, force_i: bool, bits: int) -> DataFrame:
-    """Included rows after the base, each with the row it is sent from and the step it belongs to.
+    """Included rows after the base, each with the row it is sent from, the step it belongs to and whether it is the last.
 
     One ordered scan gives the position of a row among all rows and among the included ones; the difference is
     constant within an unbroken run. The first row of a run is a hop over excluded rows and its own step; the rest of
@@ -141,12 +141,18 @@ def _step_rows(cands: DataFrame, resume: bool, force_i: bool, bits: int) -> Data
             "included": F.col("included") & _is_snapshot(),
             "__after": (~F.col("is_base")).cast("int"),
         }
-    ).withColumn("__in_run", F.col("included") & (~F.col("is_base") | base_opens_run))
+    ).withColumns(
+        {
+            "__in_run": F.col("included") & (~F.col("is_base") | base_opens_run),
+            "__sent": (F.col("included") & ~F.col("is_base")).cast("int"),
+        }
+    )
     scanned = ordered_scan(
         rows,
         ["rel_dataset"],
         ["createtxg", "__after", "creation", "tag"],
-        sums={"__all": F.lit(1), "__inc": F.col("__in_run").cast("int")},
+        sums={"__all": F.lit(1), "__inc": F.col("__in_run").cast("int"), "__at": F.col("__sent")},
+        totals={"__n": F.col("__sent")},
         lasts={
             "from_name": F.when(F.col("included") | F.col("is_base"), F.col("name")),
             "__joined": F.col("__in_run"),
@@ -155,8 +161,9 @@ def _step_rows(cands: DataFrame, resume: bool, force_i: bool, bits: int) -> Data
     )
     run = F.col("__all") if force_i else F.col("__all") - F.col("__inc")
     part = F.when(F.coalesce("__joined", F.lit(False)), 1).otherwise(0)
-    steps = scanned.filter(F.col("included") & ~F.col("is_base")).withColumns({"run": run, "part": part})
-    return steps.drop("__all", "__inc", "__joined", "__in_run", "__after")
+    is_last = F.col("__at") + 1 == F.col("__n")
+    steps = scanned.filter("__sent = 1").withColumns({"run": run, "part": part, "is_last": is_last})
+    return steps.drop("__all", "__inc", "__at", "__n", "__joined", "__in_run", "__sent", "__after")
 
 
 def incremental_steps(
@@ -209,22 +216,29 @@ def full_sends(actions: DataFrame, no_stream: bool = False) -> DataFrame:
 
 
 def step_sizes(steps: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
-    """Adds per dataset the total bytes and snapshots, and what earlier steps have already sent."""
-    return ordered_scan(
+    """Adds per dataset the total bytes and snapshots, what earlier steps have already sent, and ``is_last``, all from one
+    ordered scan."""
+    one = F.lit(1)
+    scanned = ordered_scan(
         steps,
         ["rel_dataset"],
         ["to_createtxg", "to_name"],
-        sums={"done_bytes": F.col("written"), "done_snapshots": F.col("snapshots")},
-        totals={"total_bytes": F.col("written"), "total_snapshots": F.col("snapshots")},
+        sums={"done_bytes": F.col("written"), "done_snapshots": F.col("snapshots"), "__at": one},
+        totals={"total_bytes": F.col("written"), "total_snapshots": F.col("snapshots"), "__n": one},
         bits=bits,
     )
+    return scanned.withColumn("is_last", F.col("__at") + 1 == F.col("__n")).drop("__at", "__n")
 
 
-def mark_last_step(steps: DataFrame) -> DataFrame:
-    """Adds ``is_last``; compares with the greatest step of the dataset instead of sorting its steps."""
-    last = steps.groupBy("rel_dataset").agg(F.max(F.struct("to_createtxg", "to_name")).alias("__last"))
-    joined = salted_join(steps, last, ["rel_dataset"], "left", ["to_name"])
-    return joined.withColumn("is_last", F.struct("to_createtxg", "to_name") == F.col("__last")).drop("__last")
+def mark_last_step(steps: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+    """Adds ``is_last`` to steps that do not have it yet."""
+    if "is_last" in steps.columns:
+        return steps
+    one = F.lit(1)
+    scanned = ordered_scan(
+        steps, ["rel_dataset"], ["to_createtxg", "to_name"], sums={"__at": one}, totals={"__n": one}, bits=bits
+    )
+    return scanned.withColumn("is_last", F.col("__at") + 1 == F.col("__n")).drop("__at", "__n")
 
 
 def rows_to_bookmark(
@@ -236,10 +250,7 @@ def rows_to_bookmark(
     if policy == "none":
         return rows.filter(F.lit(False)).select("rel_dataset", "name", "guid")
     if policy != "all":
-        last = rows.groupBy("rel_dataset").agg(F.max(F.struct("createtxg", "creation", "tag")).alias("__last"))
-        rows = salted_join(rows, last, ["rel_dataset"], "left", ["guid", "name"])
-        is_last = F.struct("createtxg", "creation", "tag") == F.col("__last")
-        rows = rows.filter((label_millis(F.col("tag")) >= label_millis(F.lit("_" + policy))) | is_last)
+        rows = rows.filter((label_millis(F.col("tag")) >= label_millis(F.lit("_" + policy))) | F.col("is_last"))
     return rows.select("rel_dataset", "name", "guid")
 
 

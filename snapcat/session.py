@@ -46,3 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="snapcat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder as a URI."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return base if ":/" in base else "file://" + base
