@@ -76,10 +76,8 @@ FROM grid LEFT JOIN stats USING (rel_dataset, location) LEFT JOIN latest ON grid
 )
 def compare_stats(spark, sf_dir):
     cmp = comparison(spark, sf_dir)
-    names = cmp.select("rel_dataset")
-    for side in ("src", "dst"):
-        names = names.unionByName(dataset_list(spark, sf_dir, side).select("rel_dataset"))
-    stats = compare.comparison_stats(cmp, NOW, names)
+    listed = dataset_list(spark, sf_dir, "src").unionByName(dataset_list(spark, sf_dir, "dst"))
+    stats = compare.comparison_stats(cmp, NOW, listed)
     gaps = ["snapshots_since", "written_since", "common_minus_latest", "common_minus_oldest", "latest_age", "oldest_age"]
     return stats.fillna(-1, gaps).fillna("n/a", ["latest_name", "oldest_name"])
 

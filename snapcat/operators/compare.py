@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.functions.human import human_bytes, human_duration
 from snapcat.functions.periods import iso_from_unix
 from snapcat.operators.filters import Filter, flag_snapshots
-from snapcat.operators.ordered import salted_join
+from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
 from snapcat.schema import COMPARISON_COLUMNS, COMPARISON_ORDER, SNAPSHOT, TMP_BOOKMARK
 
 LOCATIONS = ("all", "src", "dst")
@@ -110,50 +110,57 @@ def pair_datasets(src: DataFrame, dst: DataFrame) -> DataFrame:
     )
 
 
-def _latest_common(cmp: DataFrame) -> DataFrame:
-    common = F.when(F.col("location") == "all", F.struct(*COMPARISON_ORDER))
-    return cmp.groupBy("rel_dataset").agg(F.max(common).alias("latest_common"))
-
-
-def since_common(cmp: DataFrame) -> DataFrame:
+def since_common(cmp: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``latest_common`` (null if there is none) and whether a row comes after it in comparison order.
 
-    A comparison with the greatest common key replaces the row numbers of a sorted series: no window, and a hot
-    series is spread by guid."""
-    joined = salted_join(cmp, _latest_common(cmp), ["rel_dataset"], "left", ["guid"])
-    after = F.col("latest_common").isNull() | (F.struct(*COMPARISON_ORDER) > F.col("latest_common"))
-    return joined.withColumn("since_common", after)
+    The greatest common key of a dataset is taken over its rows where they are, in one shuffle by dataset."""
+    key = F.struct(*COMPARISON_ORDER)
+    common = F.when(F.col("location") == "all", key)
+    marked = ordered_scan(cmp, ["rel_dataset"], [*COMPARISON_ORDER], bests={"latest_common": common}, bits=bits)
+    return marked.withColumn("since_common", F.col("latest_common").isNull() | (key > F.col("latest_common")))
 
 
 def comparison_stats(
-    cmp: DataFrame, now: int, datasets: DataFrame | None = None, locations: Sequence[str] = LOCATIONS
+    cmp: DataFrame,
+    now: int,
+    datasets: DataFrame | None = None,
+    locations: Sequence[str] = LOCATIONS,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """One row per (rel_dataset, location), also for datasets without any snapshot if ``datasets`` lists them: counts,
+    """One row per (rel_dataset, location), also for further datasets without any snapshot that ``datasets`` lists: counts,
     bytes, latest and oldest row, the same since the latest common snapshot (null without one), and time differences.
+
+    One pass over the comparison: all statistics of a dataset are one aggregate, which finds its rows together already.
     """
     since = F.col("since_common")
     written = F.coalesce("written", F.lit(0))
     key = F.struct(*COMPARISON_ORDER, "name")
-    stats = since_common(cmp).groupBy("rel_dataset", "location").agg(
-        F.count(F.lit(1)).alias("snapshots"),
-        F.sum(written).alias("sum_written"),
-        F.count_if(since).alias("since"),
-        F.sum(F.when(since, written).otherwise(0)).alias("written_since"),
-        F.max(key).alias("latest"),
-        F.min(key).alias("oldest"),
-        F.max("latest_common").alias("common"),
+
+    def of(location: str) -> Column:
+        own = F.col("location") == location
+        return F.struct(
+            F.lit(location).alias("location"),
+            F.count_if(own).alias("snapshots"),
+            F.coalesce(F.sum(F.when(own, written)), F.lit(0).cast("bigint")).alias("sum_written"),
+            F.count_if(own & since).alias("since"),
+            F.coalesce(F.sum(F.when(own & since, written)), F.lit(0).cast("bigint")).alias("written_since"),
+            F.max(F.when(own, key)).alias("latest"),
+            F.min(F.when(own, key)).alias("oldest"),
+        )
+
+    per_dataset = since_common(cmp, bits).groupBy("rel_dataset").agg(
+        F.array(*[of(x) for x in locations]).alias("of"), F.max("latest_common")["creation"].alias("common_creation")
     )
-    if datasets is None:
-        names = stats.select("rel_dataset").distinct()
-    else:
-        names = datasets.select("rel_dataset").distinct()
-    grid = names.select("rel_dataset", F.explode(F.array(*[F.lit(x) for x in locations])).alias("location"))
-    joined = grid.join(stats, ["rel_dataset", "location"], "left")
-    # at most one row per location and dataset from here on
-    common = F.max("common").over(Window.partitionBy("rel_dataset"))["creation"]
+    if datasets is not None:
+        per_dataset = per_dataset.join(datasets.select("rel_dataset").distinct(), "rel_dataset", "full_outer")
+    places = F.explode(F.array(*[F.lit(x) for x in locations])).alias("location")
+    own = F.filter("of", lambda x: x["location"] == F.col("location"))[0]
+    each = per_dataset.select("rel_dataset", "common_creation", "of", places).withColumn("x", own)
+    parts = ("snapshots", "sum_written", "since", "written_since", "latest", "oldest")
+    joined = each.select("rel_dataset", "common_creation", "location", *[f"x.{c}" for c in parts])
     has_common = F.col("common_creation").isNotNull() & (F.col("location") != "all")
     zero = F.lit(0).cast("bigint")
-    return joined.withColumn("common_creation", common).select(
+    return joined.select(
         "rel_dataset",
         "location",
         F.coalesce("snapshots", zero).alias("snapshots"),

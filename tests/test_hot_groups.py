@@ -57,16 +57,18 @@ def test_scans_in_a_row_share_parts(skewed):
     """Ranks among all rows, then among those the first rank kept, in hot groups and others."""
     rows, df = skewed
     scans = Scans(df, ["g"], ["k", "id"], bits=6)
-    one = scans.add(scans.rows, sums={"r": F.lit(1)}, totals={"t": F.col("n")}, lasts={"l": F.when(F.col("n") == 4, F.col("id"))})
+    one = scans.add(scans.rows, sums={"r": F.lit(1)}, totals={"t": F.col("n")}, lasts={"l": F.when(F.col("n") == 4, F.col("id"))},
+                    bests={"b": F.when(F.col("n") == 3, F.struct("id"))})
     odd = (F.col("r") % 2 == 1).cast("int")
     two = scans.add(one, sums={"r2": odd}, totals={"t2": odd})
-    got = {r["id"]: (r["r"], r["t"], r["l"], r["r2"], r["t2"]) for r in two.collect()}
+    got = {r["id"]: (r["r"], r["t"], r["l"], r["r2"], r["t2"], r["b"] and r["b"]["id"]) for r in two.collect()}
     want = {}
     for g in {r[0] for r in rows}:
         members = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
         last, n_odd = None, 0
+        best = max((m[2] for m in members if m[3] == 3), default=None)
         for rank, (_, _, i, n) in enumerate(members):
-            want[i] = (rank, sum(m[3] for m in members), last, n_odd, len(members) // 2)
+            want[i] = (rank, sum(m[3] for m in members), last, n_odd, len(members) // 2, best)
             last, n_odd = i if n == 4 else last, n_odd + rank % 2
     assert got == want
 
@@ -123,7 +125,7 @@ def test_hot_label_heads_are_dealt(spark, plain_shuffles):
 
 @pytest.mark.parametrize("name, scans, shuffles", [
     ("filter_rank_chain", 1, 1), ("filter_ranks", 1, 1), ("log_deltas", 1, 1), ("step_sizes", 2, 2),
-    ("bookmark_targets", 2, 2), ("incremental_steps_long", 2, 2), ("trial_summary", 3, 10),
+    ("bookmark_targets", 2, 2), ("incremental_steps_long", 2, 2), ("trial_summary", 3, 10), ("compare_stats", 4, 7),
 ])
 def test_rows_are_shuffled_once(spark, no_broadcast, name, scans, shuffles):
     text = plan(QUERIES[name](spark, SF))
