@@ -121,8 +121,8 @@ def compare_dataset_lists(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY side, rel_dataset, guid ORDER BY kind <> 'snapshot', createtxg, tag) AS rn
   FROM chosen
 ), tmp AS (
-  SELECT t.* FROM src t WHERE kind = 'tmp_bookmark' AND NOT EXISTS (SELECT 1 FROM src o
-    WHERE o.kind <> 'tmp_bookmark' AND o.rel_dataset = t.rel_dataset AND o.guid = t.guid)
+  SELECT rel_dataset, guid, name, kind FROM (SELECT *, count(*) FILTER (WHERE kind <> 'tmp_bookmark')
+    OVER (PARTITION BY rel_dataset, guid) AS others FROM src) WHERE kind = 'tmp_bookmark' AND others = 0
 ), s AS (
   SELECT rel_dataset, guid, name, kind FROM ranked WHERE side = 'src' AND rn = 1
   UNION ALL SELECT rel_dataset, guid, name, kind FROM tmp

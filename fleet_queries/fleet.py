@@ -148,10 +148,14 @@ def state_merge(spark, sf_dir):
 
 @query(
     STATE_SQL + """
-, wrong AS (SELECT live.dataset FROM live JOIN old USING (dataset) WHERE family = 'dataset' AND old.changed <> 0 AND old.changed <> live.changed)
-SELECT namespace, dataset, family, label_key,
-  CASE WHEN family IN ('dataset', 'label') AND dataset IN (SELECT dataset FROM wrong) THEN 0 ELSE created END AS created,
-  CASE WHEN family IN ('dataset', 'label') AND dataset IN (SELECT dataset FROM wrong) THEN 0 ELSE changed END AS changed FROM old"""
+, wrong AS (
+  SELECT DISTINCT live.dataset AS wrong FROM live JOIN old ON old.dataset = live.dataset
+  WHERE family = 'dataset' AND old.changed <> 0 AND old.changed <> live.changed
+), marked AS (
+  SELECT old.*, wrong IS NOT NULL AND family IN ('dataset', 'label') AS reset FROM old LEFT JOIN wrong ON wrong = dataset
+)
+SELECT namespace, dataset, family, label_key, CASE WHEN reset THEN 0 ELSE created END AS created,
+  CASE WHEN reset THEN 0 ELSE changed END AS changed FROM marked"""
 )
 def state_invalidate(spark, sf_dir):
     live, old = live_and_state(spark, sf_dir)

@@ -52,7 +52,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def hot_groups(df: DataFrame, group: Sequence[str], bits: int = CHUNK_BITS) -> DataFrame | None:
     """Groups with more rows than a task should hold, their number of rows and of parts to cut them into; None if there is
-    none. One counting pass with map-side combine, left out where the whole input is small enough for one task."""
+    none. One counting pass with map-side combine, left out where the whole input is small enough for one task, and for
+    streams, whose rows come in batches of a size the trigger sets."""
+    if df.isStreaming:
+        return None
     if bits >= CHUNK_BITS and fits_one_task(df):
         return None
     counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias(_ROWS))

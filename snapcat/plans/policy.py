@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapcat.functions.periods import PERIOD_MILLIS, PERIOD_PATTERN, period_parse, unit_millis
 from snapcat.operators.labels import LABEL, LABEL_TYPES, Label, literal_frame, match_labels
-from snapcat.operators.ordered import salted_join
+from snapcat.operators.ordered import CHUNK_BITS, salted_join
 from snapcat.schema import SNAPSHOT
 
 Plan = Mapping[str, Mapping[str, Mapping[str, int]]]  # {org: {target: {period: amount}}}
@@ -119,6 +119,15 @@ def plan_for_host(plan: DataFrame, targets: DataFrame, keys: Sequence[str] = ("t
     return plan.filter(F.col("amount") > 0).join(targets.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def expand_policy_hosts(dst_hosts: DataFrame, retain: DataFrame, plan: DataFrame) -> DataFrame:
+    """Plan entries of each job's destination hosts, and whether they are replicated there or retained."""
+    served = dst_hosts.select("job", "dst_host", "target", F.lit(True).alias("replicate")).distinct()
+    retained = retain.select("job", "dst_host", "target", F.lit(True).alias("retain")).distinct()
+    hosts = served.join(retained, ["job", "dst_host", "target"], "full_outer")
+    entries = plan.filter(F.col("amount") > 0).select("job", "org", "target", "period", "amount")
+    return hosts.join(entries, ["job", "target"])
+
+
 def expand_policy(
     datasets: DataFrame, dst_hosts: DataFrame, retain: DataFrame, pairs: DataFrame, plan: DataFrame
 ) -> DataFrame:
@@ -131,11 +140,7 @@ def expand_policy(
 
     All joins are on keys: plan and hosts meet on (job, target), pairs and datasets on the root. Rows say whether the
     entry is replicated to the host and whether the host retains it."""
-    served = dst_hosts.select("job", "dst_host", "target", F.lit(True).alias("replicate")).distinct()
-    retained = retain.select("job", "dst_host", "target", F.lit(True).alias("retain")).distinct()
-    hosts = served.join(retained, ["job", "dst_host", "target"], "full_outer")
-    entries = plan.filter(F.col("amount") > 0).select("job", "org", "target", "period", "amount")
-    host_plan = hosts.join(entries, ["job", "target"])
+    host_plan = expand_policy_hosts(dst_hosts, retain, plan)
     mapped = pairs.distinct().join(
         datasets.select("dataset", F.col("root").alias("src_root")).distinct(), "src_root"
     )
@@ -156,10 +161,51 @@ def expand_policy(
     )
 
 
+# What destination roots may write for the hosts of a copy.
+SRC_TOKEN, DST_TOKEN = "^SRC_HOST", "^DST_HOST"
+
+
+def expand_hosts(
+    datasets: DataFrame,
+    src_hosts: DataFrame,
+    dst_hosts: DataFrame,
+    dst_roots: DataFrame,
+    retain: DataFrame,
+    pairs: DataFrame,
+    plan: DataFrame,
+    bits: int = CHUNK_BITS,
+) -> DataFrame:
+    """:func:`expand_policy` for jobs that gather from several source hosts: one row per source host, its dataset,
+    destination host and plan entry.
+
+    * ``src_hosts``: job, src_host; ``datasets``: src_host, dataset, root
+    * ``dst_roots``: dst_host, root: where a host keeps what it receives; the tokens in it stand for the two hosts, which
+      keeps sources apart that use the same names. A destination host without a root is an error of the configuration;
+      such rows have a null ``dst_dataset``.
+
+    Hosts are rows, so both host dimensions meet by job; a job with most datasets is dealt over parts."""
+    named = datasets.withColumnRenamed("root", "src_root")
+    gathered = src_hosts.distinct().join(named, "src_host")
+    served = expand_policy_hosts(dst_hosts, retain, plan)
+    mapped = gathered.join(pairs.distinct(), ["job", "src_root"])
+    rows = salted_join(mapped, served, ["job"], "inner", ["src_host", "dataset"], bits=bits)
+    roots = dst_roots.select("dst_host", F.col("root").alias("__root"))
+    with_roots = salted_join(rows, roots, ["dst_host"], "left", ["src_host", "dataset"], bits=bits)
+    place = F.replace(F.replace("__root", F.lit(SRC_TOKEN), F.col("src_host")), F.lit(DST_TOKEN), F.col("dst_host"))
+    below = F.concat("dst_root", F.col("dataset").substr(F.length("src_root") + 1, F.length("dataset")))
+    dst = F.when(place == "", below).otherwise(F.concat(place, F.lit("/"), below))
+    no = F.lit(False)
+    return with_roots.select(
+        "job", "src_host", "dataset", "dst_host", dst.alias("dst_dataset"), "org", "target", "period", "amount",
+        F.coalesce("replicate", no).alias("replicate"), F.coalesce("retain", no).alias("retain"),
+    )
+
+
 def policy_collisions(expanded: DataFrame) -> DataFrame:
     """Destinations of :func:`expand_policy` that more than one source dataset would be replicated to, with the number of
     sources and the first of them."""
-    sources = expanded.filter("replicate").groupBy("dst_host", "dst_dataset", "dataset").agg(F.count(F.lit(1)))
+    origin = [c for c in ("src_host", "dataset") if c in expanded.columns]
+    sources = expanded.filter("replicate").select("dst_host", "dst_dataset", *origin).distinct()
     found = sources.groupBy("dst_host", "dst_dataset").agg(
         F.count(F.lit(1)).alias("sources"), F.min("dataset").alias("first_dataset")
     )

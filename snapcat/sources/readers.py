@@ -126,3 +126,26 @@ def read_transfer_logs(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.size("updates") > 0)
         .withColumn("line", F.element_at("updates", -1))
     )
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, seq, line, terminator``: one row per update of a log and its sibling files ``path_<digits>...``.
+
+    Lines are split at carriage returns, which end all updates but the last of a transfer, so even a file with a single
+    transfer is read by many tasks and no row is longer than an update and the final lines before it. ``seq`` orders the
+    lines of a file; an update is set against the one before it by :func:`snapcat.operators.logs.bytes_delta`, also across
+    the borders of tasks."""
+    rows = spark.read.option("lineSep", "\r").text(path + "{,_[0-9]*}")
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.split("value", "\n", -1).alias("parts"),
+    ).drop("value")
+    others = [c for c in placed.columns if c not in ("file", "block", "at", "parts")]
+    lines = placed.select(*others, "file", "block", "at", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "line"))
+    ended = F.when(F.col("pos") + 1 < F.col("n"), "\n").otherwise("\r")
+    return lines.filter(F.col("line") != "").select(
+        *others, "file", F.struct("block", "at", "pos").alias("seq"), "line", ended.alias("terminator")
+    )

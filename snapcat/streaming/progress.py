@@ -93,3 +93,30 @@ def stream_rate(deltas: DataFrame, window: str = "30 seconds", slide: str = "1 s
         .agg(F.sum("delta").alias("bytes"))
         .select("window.start", "window.end", "bytes", (F.col("bytes") / seconds).alias("bytes_per_second"))
     )
+
+
+RATE_SCHEMA = "start TIMESTAMP, end TIMESTAMP, bytes DECIMAL(38,0), bytes_per_second DOUBLE, batch BIGINT"
+
+
+def stream_rate_table(
+    deltas: DataFrame, path: str, window: str = "30 seconds", slide: str = "1 second", late: str = "1 minute"
+) -> DataStreamWriter:
+    """A writer that keeps the rates of all windows, also of those still open, under ``path`` (a folder all executors share).
+
+    Each micro-batch writes the windows it changed as one version, so repeating a batch changes nothing; late samples make
+    a new version of their window until the watermark has passed it, and the stream holds no state of older windows. Read
+    the table with :func:`current_rates`. Set trigger and checkpoint, then start."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        numbers = {"bytes": "decimal(38,0)", "bytes_per_second": "double"}
+        rows = batch.withColumns({c: F.col(c).cast(t) for c, t in numbers.items()})
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream_rate(deltas, window, slide, late).writeStream.outputMode("update").foreachBatch(keep)
+
+
+def current_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each window: ``start, end, bytes, bytes_per_second``."""
+    versions = spark.read.schema(RATE_SCHEMA).parquet(path)
+    newest = versions.groupBy("start", "end").agg(F.max(F.struct("batch", "bytes", "bytes_per_second")).alias("v"))
+    return newest.select("start", "end", "v.bytes", "v.bytes_per_second")
