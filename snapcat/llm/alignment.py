@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,12 @@ class Aligner:
             raise ValueError("a pair of ids is kept in 32 bits")
         self.a_lengths = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_lengths = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        #: piece -> (groups as text, codes of its links, number of its A tokens); None where bytes differ
+        # ids as written in groups: inside a side, at the end of the A side, at the end of a group
+        self.written = [b"%d%c" % (i, mark) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in b",|;"]
+        self.written_lengths = np.array(list(map(len, self.written)), dtype=np.int64)
+        #: piece -> (its groups, each with a mark behind it, codes of its links, number of its A tokens); None where bytes differ
         self.known: dict[str, tuple[bytes, bytes, int] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes, int] | None] = {}
 
     def pieces(self, text: str | None) -> list[str]:
         if not text:
@@ -141,40 +146,48 @@ class Aligner:
         a_ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64)
         a_counts = np.array([len(x) // 4 for x in raw], dtype=np.int64)
         found = self.b.encode(new, num_threads=1)
-        b_counts = np.array([len(x) for x in found], dtype=np.int64)
-        b_ids = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(b_counts.sum()))
-        a_at, b_at = np.concatenate([[0], np.cumsum(a_counts)]), np.concatenate([[0], np.cumsum(b_counts)])
-        a_list, b_list = a_ids.tolist(), b_ids.tolist()
-        good = []
-        for k, p in enumerate(new):
-            want = b" " + p.encode()
-            a, b = a_list[a_at[k] : a_at[k + 1]], b_list[b_at[k] : b_at[k + 1]]
-            if b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b]):
-                good.append((p, a, b))
-            else:
-                self.known[p] = None
-        a_ids = np.array([i for _, a, _ in good for i in a], dtype=np.int64)
-        b_ids = np.array([i for _, _, b in good for i in b], dtype=np.int64)
+        b_counts = np.array(list(map(len, found)), dtype=np.int64)
+        b_ids = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(b_counts.sum()))
+        wanted = [b" " + p.encode() for p in new]
+        good = self.equal(wanted, a_ids, a_counts, self.a_bytes) & self.equal(wanted, b_ids, b_counts, self.b_bytes)
+        if not good.all():
+            self.known.update(dict.fromkeys((p for p, ok in zip(new, good.tolist()) if not ok)))
+            new = [p for p, ok in zip(new, good.tolist()) if ok]
+            a_ids, b_ids = a_ids[np.repeat(good, a_counts)], b_ids[np.repeat(good, b_counts)]
+            a_counts, b_counts = a_counts[good], b_counts[good]
+        if not new:
+            return
         a_ends, b_ends = np.cumsum(self.a_lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
         cuts = np.union1d(a_ends, b_ends)
-        a_of, b_of = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
-        codes = (a_ids[a_of] << 16 | b_ids[b_of]).astype("<u4")
-        shared = a_ends[np.isin(a_ends, b_ends, assume_unique=True)] if len(a_ends) else a_ends
-        a_cut, b_cut = (np.searchsorted(e, shared, side="right").tolist() for e in (a_ends, b_ends))
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        raw_codes = codes.tobytes()
-        a_done = b_done = group = 0
-        for p, a, b in good:
-            a_done, b_done, first = a_done + len(a), b_done + len(b), group
-            texts, x, y = [], a_done - len(a), b_done - len(b)
-            while x < a_done:
-                i, j = a_cut[group], b_cut[group]
-                texts.append(",".join(a_text[x:i]) + "|" + ",".join(b_text[y:j]))
-                x, y, group = i, j, group + 1
-            # links of a run of tokens: its tokens of both kinds less its groups
-            start = 4 * (a_done - len(a) + b_done - len(b) - first)
-            end = 4 * (a_done + b_done - group)
-            self.known[p] = (";".join(texts).encode(), raw_codes[start:end], len(a))
+        codes = a_ids[np.searchsorted(a_ends, cuts)] << 16 | b_ids[np.searchsorted(b_ends, cuts)]
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)  # ends of groups
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        # written in the order of groups, in each the A tokens before the B tokens, every token with the mark behind it
+        last_a = np.append(a_group[1:] != a_group[:-1], True)
+        last_b = np.append(b_group[1:] != b_group[:-1], True)
+        keys = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
+        keys[np.arange(len(a_ids)) + np.searchsorted(b_group, a_group)] = 3 * a_ids + last_a
+        keys[np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, side="right")] = 3 * b_ids + 2 * last_b
+        text = b"".join(map(self.written.__getitem__, keys.tolist()))
+        a_at, b_at = np.cumsum(a_counts), np.cumsum(b_counts)
+        text_at = np.cumsum(self.written_lengths[keys])[a_at + b_at - 1].tolist()
+        # links of a run of tokens: its tokens of both kinds less its groups
+        code_at = (4 * (a_at + b_at - a_group[a_at - 1] - 1)).tolist()
+        raw = codes.astype("<u4").tobytes()
+        entries = zip(
+            map(text.__getitem__, map(slice, [0, *text_at[:-1]], text_at)),
+            map(raw.__getitem__, map(slice, [0, *code_at[:-1]], code_at)),
+            a_counts.tolist(),
+        )
+        self.known.update(zip(new, entries))
+
+    @staticmethod
+    def equal(wanted: list[bytes], ids: np.ndarray, counts: np.ndarray, token_bytes: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each piece join to its bytes."""
+        tokens = list(map(token_bytes.__getitem__, ids.tolist()))
+        at = np.cumsum(counts).tolist()
+        joined = map(b"".join, map(tokens.__getitem__, map(slice, [0, *at[:-1]], at)))
+        return np.array(list(map(bytes.__eq__, joined, wanted)), dtype=bool)
 
     def document(self, pieces: list[str]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(A tokens, groups, links, digest of the groups, distinct pair codes, links of each) of a text's pieces."""
@@ -192,9 +205,11 @@ class Aligner:
                 entries = list(map(self.known.__getitem__, run))
             if None in entries:
                 return nothing
-            groups = b";".join([e[0] for e in entries])
-            digest.update(b";" + groups if start else groups)
-            n_groups += groups.count(b";") + 1
+            groups = b"".join([e[0] for e in entries])
+            if start:
+                digest.update(b";")
+            digest.update(memoryview(groups)[:-1])
+            n_groups += groups.count(b";")
             n_a += sum([e[2] for e in entries])
             found = np.frombuffer(b"".join([e[1] for e in entries]), dtype="<u4")
             n_links += len(found)
@@ -207,11 +222,14 @@ class Aligner:
         return n_a, n_groups, n_links, digest.hexdigest(), codes[0], counts[0]
 
     def remember(self, pieces: set[str]) -> None:
+        """Pieces in use stay when the memory is full: what was not asked for since the last time goes."""
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, pieces
-        if new:
-            self.learn(sorted(new))
+            self.older, self.known, new = self.known, {}, pieces
+        again = [p for p in new if p in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        if len(new) > len(again):
+            self.learn(list(new.difference(again)))
 
 
 def byte_characters() -> list[str]:
@@ -365,7 +383,10 @@ def align_documents(documents: DataFrame, json_path: str, model_path: str) -> tu
         totals.join(highest, "b").select("pair", "a", "b", "documents", "links", (F.col("links") == F.col("highest")).alias("best")),
         "alignment-pairs",
     )
-    told = lists.select("block", "pair", "planes").join(pairs.select("pair", F.col("links").alias("total"), "best"), "pair")
+    # merged at every size: the pairs have no bound that would allow a broadcast
+    told = lists.select("block", "pair", "planes").join(
+        pairs.select("pair", F.col("links").alias("total"), "best").hint("merge"), "pair"
+    )
     returned = told.select("block", "total", "best", "planes").groupBy("block").applyInArrow(
         scores, "block bigint, slot bigint, n_best bigint, count_sum bigint"
     )
