@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base if ':/' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and returns the written rows.
 
     This cuts the lineage, so a lost executor costs no more than the stage at hand. The plan of the finished job is garbage
@@ -55,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -46,6 +46,37 @@ def test_join_without_frequent_shingles(spark, monkeypatch):
     assert got == {i: (sizes[i], want[i]) for i in range(len(texts))}
 
 
+def parity_words(n: int) -> list[str]:
+    """Two words of n letters with few equal places: the parity of the ones of each place, and its complement. Every
+    polynomial modulo 2^64 gives them one hash from n = 1024 on."""
+    ones = [bin(k).count("1") % 2 for k in range(n)]
+    return ["".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_long_words_that_polynomials_confuse(spark, n):
+    one, two = parity_words(n)
+    texts = [one, two, f"{one} a b c d", f"{two} a b c d", f"{one} a b c d"]
+    for join in (lambda d: ngram_join.join(d), lambda d: ngram_join.join(d, 5, 80)):
+        got = rows_by_id(join(brute.documents(spark, texts)), "component_id")
+        assert got == {0: (0,), 1: (1,), 2: (2,), 3: (3,), 4: (2,)}
+    data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+    hashes = rolling.word_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] != hashes[1]
+
+
+def test_word_hashes_depend_on_bytes_only():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    where = {}
+    for shuffled in (words, words[::-1]):
+        data = np.frombuffer(b"".join(shuffled), dtype=np.uint8)
+        ends = np.cumsum([len(w) for w in shuffled])
+        for w, h in zip(shuffled, rolling.word_hashes(data, ends - [len(w) for w in shuffled], ends).tolist(), strict=True):
+            assert where.setdefault(w, h) == h
+    assert len(set(where.values())) == len(where)
+
+
 def test_join_of_messy_rows(spark):
     docs = brute.documents(spark, messy=True)
     got = ngram_join.join(docs).collect()
