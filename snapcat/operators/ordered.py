@@ -121,12 +121,14 @@ class Scans:
         totals: Mapping[str, Column] | None = None,
         lasts: Mapping[str, Column] | None = None,
         bests: Mapping[str, Column] | None = None,
+        peaks: Mapping[str, Column] | None = None,
     ) -> DataFrame:
         """See :func:`ordered_scan`."""
-        sums, totals, lasts, bests = dict(sums or {}), dict(totals or {}), dict(lasts or {}), dict(bests or {})
+        sums, totals, lasts = dict(sums or {}), dict(totals or {}), dict(lasts or {})
+        bests, peaks = dict(bests or {}), dict(peaks or {})
         numbers = {n: F.coalesce(c, F.lit(0)).cast("bigint") for n, c in (sums | totals).items()}
-        result = [*rows.columns, *sums, *totals, *lasts, *bests]
-        rows = rows.withColumns({f"__v_{n}": c for n, c in (numbers | lasts | bests).items()})
+        result = [*rows.columns, *sums, *totals, *lasts, *bests, *peaks]
+        rows = rows.withColumns({f"__v_{n}": c for n, c in (numbers | lasts | bests | peaks).items()})
         earlier = Window.partitionBy(*self.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*self.keys)
         local = rows.withColumns(
@@ -134,20 +136,28 @@ class Scans:
             | {n: F.last(f"__v_{n}", ignorenulls=True).over(earlier) for n in lasts}
             | {n: F.sum(f"__v_{n}").over(whole) for n in totals}
             | {n: F.max(f"__v_{n}").over(whole) for n in bests}
+            | {n: F.max(f"__v_{n}").over(earlier) for n in peaks}
         )
         if self.cut:
-            local = self._carry(local, rows, list(sums), list(totals), list(lasts), list(bests))
+            local = self._carry(local, rows, list(sums), list(totals), list(lasts), list(bests), list(peaks))
         return local.select(*result)
 
     def _carry(
-        self, local: DataFrame, rows: DataFrame, sums: list[str], totals: list[str], lasts: list[str], bests: list[str]
+        self,
+        local: DataFrame,
+        rows: DataFrame,
+        sums: list[str],
+        totals: list[str],
+        lasts: list[str],
+        bests: list[str],
+        peaks: list[str],
     ) -> DataFrame:
         """Adds to the rows of hot groups what the parts before theirs hand on."""
         value = lambda n: F.struct(F.struct(*self.order), F.col(f"__v_{n}").alias("v"))
         parts = rows.filter(F.col(CHUNK) >= 0).groupBy(*self.keys).agg(
             *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in dict.fromkeys([*sums, *totals])],
             *[F.max(F.when(F.col(f"__v_{n}").isNotNull(), value(n)))["v"].alias(f"__l_{n}") for n in lasts],
-            *[F.max(f"__v_{n}").alias(f"__m_{n}") for n in bests],
+            *[F.max(f"__v_{n}").alias(f"__m_{n}") for n in [*bests, *peaks]],
         )
         whole = Window.partitionBy(*self.group)
         before = Window.partitionBy(*self.group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -157,12 +167,14 @@ class Scans:
             *[F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in totals],
             *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts],
             *[F.max(f"__m_{n}").over(whole).alias(f"__t_{n}") for n in bests],
+            *[F.max(f"__m_{n}").over(before).alias(f"__c_{n}") for n in peaks],
         )
         joined = same_keys(local, written(carried, "carried"), self.keys, "left")
         return joined.withColumns(
             {n: F.col(n) + F.coalesce(f"__c_{n}", F.lit(0)) for n in sums}
             | {n: F.coalesce(f"__t_{n}", n) for n in [*totals, *bests]}
             | {n: F.coalesce(n, f"__c_{n}") for n in lasts}
+            | {n: F.greatest(n, f"__c_{n}") for n in peaks}
         )
 
 
@@ -175,19 +187,21 @@ def ordered_scan(
     lasts: Mapping[str, Column] | None = None,
     bits: int = CHUNK_BITS,
     bests: Mapping[str, Column] | None = None,
+    peaks: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Adds columns to every row of ``df``, by group in the given order (nulls first; a null group is a group):
 
     * ``sums``: sum of an integer expression over all earlier rows of the group;
     * ``totals``: its sum over the whole group;
     * ``lasts``: the latest non-null value of an expression among all earlier rows;
-    * ``bests``: the greatest non-null value of an expression in the whole group.
+    * ``bests``: the greatest non-null value of an expression in the whole group;
+    * ``peaks``: the greatest non-null value of an expression among all earlier rows.
 
     Whole rows are shuffled once. Groups with more than ``2**bits`` rows are cut into parts, see :class:`Scans`; to find
     them, large inputs are counted when the scan is built. An expensive input is better written to a table first.
     """
     scans = Scans(df, group, order, bits)
-    return scans.add(scans.rows, sums, totals, lasts, bests).drop(CHUNK)
+    return scans.add(scans.rows, sums, totals, lasts, bests, peaks).drop(CHUNK)
 
 
 # --- joins and ranks ------------------------------------------------------------------------------------------------

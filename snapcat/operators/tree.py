@@ -1,25 +1,35 @@
 """Operators over the dataset hierarchy.
 
-Every path is exploded to its ancestors once, then plain set operations follow; no iteration over levels. A root path
-is the ancestor of everything below it and so the hottest key there is: joins that look an ancestor up are salted, the
-other direction is made distinct first.
+With ``/`` sorted before everything else a subtree is an interval of paths: it opens at its top and closes behind the last
+path below it. Subtrees nest, so a path lies below one of some tops exactly if the farthest close among the tops before it is
+still ahead. That is one ordered scan over the paths of a pool, without looking ancestors up; a pool with most paths is cut
+into parts like any hot group. What asks about whole subtrees from below explodes paths to their ancestors once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.functions.names import ancestors, relativize, replace_prefix
-from snapcat.operators.ordered import salted_join
+from snapcat.operators.ordered import CHUNK_BITS, ordered_scan
 from snapcat.schema import SNAPSHOT
 
+_POOL, _OPEN, _CLOSE, _MARK, _AHEAD = "__pool", "__open", "__close", "__mark", "__ahead"
 
-def _below(datasets: DataFrame, tops: DataFrame, proper: bool) -> DataFrame:
-    """Distinct datasets that have some row of ``tops`` above them (or are one, unless ``proper``)."""
-    pairs = datasets.select("dataset", F.explode(ancestors(F.col("dataset"), proper)).alias("__top"))
-    keys = tops.select(F.col("dataset").alias("__top")).distinct()
-    return salted_join(pairs, keys, ["__top"], "left_semi", ["dataset"]).select("dataset").distinct()
+
+def _intervals(df: DataFrame) -> DataFrame:
+    """Adds the pool of a dataset and where its subtree opens and closes."""
+    path = F.col("dataset")
+    opens = F.translate(path, "/", "\x01")
+    return df.withColumns(
+        {_POOL: F.substring_index(path, "/", 1), _OPEN: opens, _CLOSE: F.concat(opens, F.lit("\x02"))}
+    )
+
+
+def _scanned(rows: DataFrame, tops: Column, order: list[str], bits: int) -> DataFrame:
+    """Adds the farthest close among the rows before that ``tops`` picks."""
+    return ordered_scan(rows, [_POOL], order, peaks={_AHEAD: F.when(tops, F.col(_CLOSE))}, bits=bits)
 
 
 def _with_ancestors(datasets: DataFrame) -> DataFrame:
@@ -27,15 +37,21 @@ def _with_ancestors(datasets: DataFrame) -> DataFrame:
     return datasets.select(F.explode(ancestors(F.col("dataset"))).alias("dataset")).distinct()
 
 
-def prune_subtrees(df: DataFrame, flagged: DataFrame, keep: bool = False) -> DataFrame:
-    """Drops the subtrees of flagged datasets, or keeps only those."""
-    below = _below(df.select("dataset").distinct(), flagged, proper=False)
-    return df.join(below, "dataset", "left_semi" if keep else "left_anti")
+def prune_subtrees(df: DataFrame, flagged: DataFrame, keep: bool = False, bits: int = CHUNK_BITS) -> DataFrame:
+    """Drops the subtrees of flagged datasets, or keeps only those. Rows without a dataset are in no subtree."""
+    marks = flagged.select("dataset").distinct().withColumn(_MARK, F.lit(0))
+    both = df.withColumn(_MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    scanned = _scanned(_intervals(both), F.col(_MARK) == 0, [_OPEN, _MARK], bits)
+    below = F.coalesce(F.col(_AHEAD) > F.col(_OPEN), F.lit(False))
+    return scanned.filter((F.col(_MARK) == 1) & (below if keep else ~below)).select(*df.columns)
 
 
-def tree_roots(df: DataFrame) -> DataFrame:
+def tree_roots(df: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Rows with no proper ancestor among the rows."""
-    return df.join(_below(df, df, proper=True), "dataset", "left_anti")
+    scanned = _scanned(_intervals(df), F.lit(True), [_OPEN], bits)
+    # rows of the same dataset close at the same place, an ancestor behind it
+    below = F.coalesce(F.col(_AHEAD) > F.col(_CLOSE), F.lit(False))
+    return scanned.filter(~below).select(*df.columns)
 
 
 def minimal_roots(df: DataFrame) -> DataFrame:
@@ -43,10 +59,14 @@ def minimal_roots(df: DataFrame) -> DataFrame:
     return tree_roots(df.select("dataset").distinct())
 
 
-def recursive_roots(selected: DataFrame, basis: DataFrame) -> DataFrame:
+def recursive_roots(selected: DataFrame, basis: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """The roots of ``selected`` if each root's whole basis subtree is selected, otherwise no row."""
-    roots = tree_roots(selected.select("dataset").distinct())
-    missing = _below(basis, roots, proper=False).join(selected.select("dataset"), "dataset", "left_anti")
+    both = selected.select("dataset", F.lit(1).alias(_MARK)).unionByName(basis.select("dataset", F.lit(0).alias(_MARK)))
+    names = _intervals(both.groupBy("dataset").agg(F.max(_MARK).alias(_MARK)))
+    scanned = _scanned(names, F.col(_MARK) == 1, [_OPEN], bits)
+    ahead = F.coalesce(F.col(_AHEAD) > F.col(_OPEN), F.lit(False))
+    roots = scanned.filter((F.col(_MARK) == 1) & ~ahead).select("dataset")
+    missing = scanned.filter((F.col(_MARK) == 0) & ahead)
     blocked = missing.agg((F.count(F.lit(1)) > 0).alias("blocked"))  # one row
     key = F.lit(0)
     return (

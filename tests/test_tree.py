@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from snapcat.operators import tree
 from tests.conftest import values
 
@@ -64,3 +67,26 @@ def test_random_trees(spark):
     assert set(values(tree.prune_subtrees(df, marks, keep=True), "dataset")) == below
     roots = {n for n in names if not any(n.startswith(m + "/") for m in names)}
     assert set(values(tree.tree_roots(df), "dataset")) == roots
+
+
+@pytest.mark.parametrize("bits", [0, 3, 18])
+def test_parts_of_a_large_pool(spark, bits):
+    """All paths in one pool, which is cut into parts; names with characters around the slash, repeats and nulls."""
+    rng = random.Random(8)
+    names = ["/".join(["p", *(rng.choice(["a", "a-b", "a b", "a0", "b"]) for _ in range(rng.randrange(5)))]) for _ in range(200)]
+    flagged = rng.sample(names, 6)
+    below = lambda n, tops: any(n == t or n.startswith(t + "/") for t in tops)
+    df = spark.createDataFrame([(n, i) for i, n in enumerate([*names, None])], "dataset STRING, i INT").repartition(3)
+    marks = frame(spark, *flagged, "q", "p/a/")
+    kept = tree.prune_subtrees(df, marks, bits=bits)
+    assert kept.columns == ["dataset", "i"]
+    assert sorted(r["i"] for r in kept.collect()) == [*(i for i, n in enumerate(names) if not below(n, flagged)), 200]
+    inside = tree.prune_subtrees(df, marks, keep=True, bits=bits)
+    assert values(inside, "i") == [i for i, n in enumerate(names) if below(n, flagged)]
+    some = df.filter("dataset <> 'p'")
+    rest = {n for n in names if n != "p"}
+    roots = [i for i, n in enumerate(names) if n != "p" and not any(n.startswith(m + "/") for m in rest)]
+    assert values(tree.tree_roots(some, bits), "i") == roots
+    assert values(tree.recursive_roots(some, some, bits), "dataset") == sorted({names[i] for i in roots})
+    last = max(rest, key=len)
+    assert values(tree.recursive_roots(some.filter(F.col("dataset") != last), some, bits), "dataset") == []
