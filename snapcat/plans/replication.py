@@ -56,6 +56,18 @@ def latest_common(src: DataFrame, dst: DataFrame) -> DataFrame:
     )
 
 
+def _common_base(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """The base of :func:`latest_common`, with the name of the destination row that has its guid."""
+    there = dst.filter(_is_snapshot()).groupBy(*KEY).agg(F.max(_row("name"))["name"].alias("there"))
+    base = F.max(_row("guid", "name", "there"))
+    return src.join(there, KEY).groupBy("rel_dataset").agg(base.alias("base")).select(
+        "rel_dataset",
+        F.col("base.guid").alias("base_guid"),
+        F.col("base.name").alias("base_name"),
+        F.col("base.there").alias("common_on_dst"),
+    )
+
+
 def replication_action(
     src: DataFrame,
     dst: DataFrame,
@@ -72,25 +84,20 @@ def replication_action(
     with the base and the destination row to roll back to. ``force`` turns conflicts into a rollback or a full copy.
     """
     src = src if use_bookmarks else src.filter(_is_snapshot())
-    selected = flag_snapshots(src, groups, now=now, output="__selected", bits=bits).filter("__selected")
-    row = F.when(_is_snapshot(), _row("name"))
-    chosen = selected.groupBy("rel_dataset").agg(
-        F.count_if(_is_snapshot()).alias("selected"),
-        F.count_if(~_is_snapshot()).alias("bookmarks"),
+    selected = F.col("__selected")
+    row = F.when(selected & _is_snapshot(), _row("name"))
+    # every dataset of the source, also those without a selected row
+    chosen = flag_snapshots(src, groups, now=now, output="__selected", bits=bits).groupBy("rel_dataset").agg(
+        F.count_if(selected & _is_snapshot()).alias("selected"),
+        F.count_if(selected & ~_is_snapshot()).alias("bookmarks"),
         F.max(row)["name"].alias("latest_selected"),
         F.min(row)["name"].alias("oldest_selected"),
     )
     target = dst.filter(_is_snapshot()).groupBy("rel_dataset").agg(F.max(_row("guid", "name")).alias("newest"))
-    base = latest_common(src, dst)
-    rollback = (
-        dst.filter(_is_snapshot())
-        .join(base.select("rel_dataset", F.col("base_guid").alias("guid")), KEY)
-        .groupBy("rel_dataset")
-        .agg(F.max(_row("name"))["name"].alias("common_on_dst"))
-    )
-    names = (src if datasets is None else datasets).select("rel_dataset").distinct()
-    joined = names
-    for part in (chosen, target, base, rollback):
+    joined = chosen
+    if datasets is not None:
+        joined = datasets.select("rel_dataset").distinct().join(chosen, "rel_dataset", "left")
+    for part in (target, _common_base(src, dst)):
         joined = joined.join(part, "rel_dataset", "left")
     dst_guid = F.col("newest.guid")
     has_dst, has_base = dst_guid.isNotNull(), F.col("base_guid").isNotNull()

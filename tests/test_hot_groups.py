@@ -125,7 +125,8 @@ def test_hot_label_heads_are_dealt(spark, plain_shuffles):
 
 @pytest.mark.parametrize("name, scans, shuffles", [
     ("filter_rank_chain", 1, 1), ("filter_ranks", 1, 1), ("log_deltas", 1, 1), ("step_sizes", 2, 2),
-    ("bookmark_targets", 2, 2), ("incremental_steps_long", 2, 2), ("trial_summary", 3, 10), ("compare_stats", 4, 7),
+    ("bookmark_targets", 2, 2), ("incremental_steps_long", 2, 2), ("trial_summary", 3, 10), ("compare_stats", 4, 5),
+    ("replication_actions", 4, 5), ("tree_roots", 1, 2), ("tree_prune", 2, 3),
 ])
 def test_rows_are_shuffled_once(spark, no_broadcast, name, scans, shuffles):
     text = plan(QUERIES[name](spark, SF))
