@@ -5,7 +5,10 @@ minimum rank of each word and contracts it; words without a pair leave the recur
 and aggregates the bytes of a document in order. Only words that a worker has not seen yet go through the recursion.
 
 * null and empty texts: no ids, digests of nothing. Repeated rows are encoded each on its own; other columns are not read.
-* a very long word takes a step per merge; steps are run in bursts, so that the rows of earlier steps are not kept.
+* a step costs all rows of a word, so a long word goes through the recursion in blocks that overlap. Where two blocks hold
+  the same token, the first is followed up to it and the second from it. The result is that of the whole word: a step of
+  the whole word that stays inside a run of tokens is a step of that run alone, so a merge across a border would also be
+  made in the run of the two tokens beside it; each such run lies in one block, whose recursion left the border.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ from pyspark.sql import functions as F
 
 from snapcat.llm.tokens import MEMORY, Pieces, slices
 
-#: Steps of a recursive query before its rows are dropped, bytes of words in one query, ids decoded in one query.
+#: Steps of a recursive query before its rows are dropped, bytes of words and rows of all steps in one query, ids decoded in
+#: one query.
 BURST = 48
 WORD_BYTES = 1 << 19
+STEP_ROWS = 1 << 22
 DECODE_IDS = 1 << 19
+#: Bytes of a block of a long word; a third of them is shared with the next block.
+BLOCK = 384
 
 CONTRACT = f"""
 WITH RECURSIVE t AS (
@@ -61,6 +68,8 @@ class DuckBpe(Pieces):
         self.split = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
         merges = [
             (ranks[token[:k]], ranks[token[k:]], rank)
             for token, rank in ranks.items()
@@ -80,12 +89,17 @@ class DuckBpe(Pieces):
         self.db.register(name, pa.table(columns))
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words."""
+        """Ids of words, each by its own recursion; shorter words first, so that those of a query end together."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        found = self.contract_sorted([words[i] for i in order])
+        return [ids for _, ids in sorted(zip(order, found, strict=True))]
+
+    def contract_sorted(self, words: list[bytes]) -> list[bytes]:
         found: list[bytes] = [b""] * len(words)
         at = 0
         while at < len(words):
             size, end = 0, at
-            while end < len(words) and (size < WORD_BYTES or end == at):
+            while end < len(words) and (end == at or size < min(WORD_BYTES, STEP_ROWS // min(BURST, len(words[end]) or 1))):
                 size += len(words[end])
                 end += 1
             lengths = np.array([len(w) for w in words[at:end]])
@@ -108,11 +122,51 @@ class DuckBpe(Pieces):
             at = end
         return found
 
+    def contract_long(self, word: bytes) -> bytes:
+        """Ids of a word from blocks; blocks that do not meet in a token are made longer, at last as long as the word."""
+        size = BLOCK
+        while size < len(word):
+            starts = range(0, len(word) - size // 3, size - size // 3)
+            blocks = list({word[s : s + size] for s in starts})
+            found = self.joined(word, size, dict(zip(blocks, self.contract(blocks), strict=True)))
+            if found is not None:
+                return found
+            size *= 2
+        return self.contract([word])[0]
+
+    def joined(self, word: bytes, size: int, blocks: dict[bytes, bytes]) -> bytes | None:
+        def tokens(start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            block = word[start : start + size]
+            if block not in blocks:
+                blocks[block] = self.contract([block])[0]
+            ids = np.frombuffer(blocks[block], "<u4")
+            ends = start + np.cumsum(self.sizes[ids])
+            return ids, ends - self.sizes[ids], ends
+
+        parts, start = [], 0
+        ids, begins, ends = tokens(0)
+        while start + size < len(word):
+            stop = start + size
+            for following in (stop - size // 3, *begins[(begins > stop - size // 3) & (begins < stop)][:1].tolist()):
+                # The second try begins where the first block has a border: repetitive words are in step from there.
+                other = tokens(following)
+                _, mine, theirs = np.intersect1d(begins << 32 | ends, other[1] << 32 | other[2], return_indices=True)
+                if len(mine):
+                    break
+            else:
+                return None
+            parts.append(ids[: mine[-1]])
+            ids, begins, ends = (column[theirs[-1] :] for column in other)
+            start = following
+        return np.concatenate([*parts, ids]).astype("<u4").tobytes()
+
     def learn_words(self, words: set[str]) -> None:
         if len(self.words) > MEMORY:
             self.words = {}
-        new = list(words.difference(self.words))
-        self.words.update(zip(new, self.contract([w.encode() for w in new]), strict=True))
+        new = {w: w.encode() for w in words.difference(self.words)}
+        short = [w for w, raw in new.items() if len(raw) <= BLOCK]
+        self.words.update(zip(short, self.contract([new[w] for w in short]), strict=True))
+        self.words.update((w, self.contract_long(raw)) for w, raw in new.items() if len(raw) > BLOCK)
 
     def learn(self, pieces: set[str]) -> None:
         parts = {p: self.split(" " + p) for p in pieces}

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tiktoken.load
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,6 +160,36 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode_documents(brute.empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def long_words() -> list[str]:
+    rng = random.Random(7)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=499))
+    return [
+        (letters * 2005)[:1_000_000],
+        "".join(rng.choices("eeettaaooinshr", k=5000)),
+        "a" * 777 + "".join(rng.choices("ab", k=3000)) + "abc" * 999,
+        *[(unit * 5000)[:5000] for unit in ("=", "ab", "aab", "the", "хорошо", "日本", "\n")],
+    ]
+
+
+def test_long_words_equal_tiktoken():
+    library = tiktoken.Encoding(
+        "x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(RANKS), special_tokens={}
+    )
+    coder = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    for word in long_words():
+        assert np.frombuffer(coder.encode([word])[0], "<u4").tolist() == library.encode_ordinary(word)
+
+
+def test_blocks_that_never_meet_end_as_the_whole_word(monkeypatch):
+    coder = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    word = "".join(random.Random(3).choices("abcdefgh", k=900)).encode()
+    whole = coder.contract([word])[0]
+    assert coder.contract_long(word) == whole
+    sizes = []
+    monkeypatch.setattr(coder, "joined", lambda word, size, blocks: sizes.append(size))
+    assert coder.contract_long(word) == whole and sizes == [bpe.BLOCK, 2 * bpe.BLOCK]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), max_size=12), st.integers(2, 5))
 def test_repair_round_trip(docs, least):
