@@ -49,6 +49,12 @@ def live_and_state(spark, sf_dir):
     return live, old
 
 
+def stored_live_and_state(spark, sf_dir):
+    """The same as tables of equal buckets, as a run finds the state that the one before it left."""
+    live, old = live_and_state(spark, sf_dir)
+    return refresh.store_buckets(live, "live"), refresh.store_buckets(old, "state")
+
+
 HITS_SQL = STATE_SQL + f"""
 , fresh AS (SELECT live.* FROM live JOIN old USING (dataset, changed) WHERE family = 'dataset' AND changed <> 0 AND changed < {NOW} - 1.1
 ), hits AS (
@@ -59,15 +65,13 @@ HITS_SQL = STATE_SQL + f"""
 
 @query(HITS_SQL + "SELECT dataset, label_key, created FROM hits WHERE dataset IN (SELECT dataset FROM complete)")
 def state_schedule_hits(spark, sf_dir):
-    live, old = live_and_state(spark, sf_dir)
-    labels = events(spark, sf_dir).filter(F.col("event_type").isin("click", "view")).select(F.col("event_type").alias("label_key"))
-    return refresh.schedule_hits(live, old, labels.distinct(), NOW)
+    return refresh.schedule_hits(*stored_live_and_state(spark, sf_dir), ["click", "view"], NOW)
 
 
 @query(HITS_SQL + "SELECT dataset, changed FROM live WHERE dataset NOT IN (SELECT dataset FROM complete)")
 def state_stale(spark, sf_dir):
-    live, _ = live_and_state(spark, sf_dir)
-    return refresh.stale_datasets(live, state_schedule_hits(spark, sf_dir))
+    live, old = stored_live_and_state(spark, sf_dir)
+    return refresh.stale_datasets(live, refresh.schedule_hits(live, old, ["click", "view"], NOW))
 
 
 @query(
@@ -75,8 +79,9 @@ def state_stale(spark, sf_dir):
 SELECT (SELECT count(*) FROM complete) AS hits, (SELECT count(*) FROM live) - (SELECT count(*) FROM complete) AS misses"""
 )
 def state_hit_ratio(spark, sf_dir):
-    live, _ = live_and_state(spark, sf_dir)
-    return refresh.hit_ratio(live, state_stale(spark, sf_dir)).select("hits", "misses")
+    live, old = stored_live_and_state(spark, sf_dir)
+    stale = refresh.stale_datasets(live, refresh.schedule_hits(live, old, ["click", "view"], NOW))
+    return refresh.hit_ratio(live, stale).select("hits", "misses")
 
 
 @query(
@@ -85,7 +90,7 @@ SELECT dataset, label_key, created FROM old JOIN live USING (dataset, changed)
 WHERE family = 'monitor' AND changed <> 0 AND changed < {NOW} - 1.1 AND changed >= created"""
 )
 def state_monitor_hits(spark, sf_dir):
-    return refresh.monitor_hits(*live_and_state(spark, sf_dir), NOW)
+    return refresh.monitor_hits(*stored_live_and_state(spark, sf_dir), NOW)
 
 
 @query(
@@ -143,7 +148,8 @@ SELECT 'site' AS namespace, dataset, family, label_key,
 FROM joined"""
 )
 def state_merge(spark, sf_dir):
-    return refresh.merge_state(live_and_state(spark, sf_dir)[1], new_state(spark, sf_dir))
+    old = refresh.store_buckets(live_and_state(spark, sf_dir)[1], "state")
+    return refresh.merge_state(old, refresh.store_buckets(new_state(spark, sf_dir), "reports"))
 
 
 @query(
@@ -158,7 +164,7 @@ SELECT namespace, dataset, family, label_key, CASE WHEN reset THEN 0 ELSE create
   CASE WHEN reset THEN 0 ELSE changed END AS changed FROM marked"""
 )
 def state_invalidate(spark, sf_dir):
-    live, old = live_and_state(spark, sf_dir)
+    live, old = stored_live_and_state(spark, sf_dir)
     return refresh.invalidate(old, refresh.mismatched(live, old))
 
 

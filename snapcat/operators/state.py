@@ -6,36 +6,70 @@ dataset and alert) and ``replicate`` (per dataset, destination and filter set).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions.human import percent
 from snapcat.operators.ordered import salted_join
+from snapcat.session import shared_folder
 
 KEY = ["namespace", "dataset", "family", "label_key"]
 MATURITY_SECONDS = 1.1  # fixed value: a change younger than this is not trusted, clocks have one second resolution
 
 
+def _same(a: str, b: str) -> Column:
+    """Equality that a join on the dataset checks afterwards, not a second join key, which would not be as bucketed."""
+    return F.col(a).between(F.col(b), F.col(b))
+
+
 def _mature(changed: Column, now: float) -> Column:
     return (changed != 0) & (changed < F.lit(now - MATURITY_SECONDS))
 
 
-def schedule_hits(live: DataFrame, state: DataFrame, labels: DataFrame, now: float) -> DataFrame:
+def store_buckets(df: DataFrame, name: str, buckets: int | None = None, keep: str | None = None) -> DataFrame:
+    """Writes state or live rows as a table bucketed and sorted by dataset and returns its rows. The operators of this
+    module join and aggregate tables of equal ``buckets`` (default: the shuffle partitions) without shuffling them again.
+
+    The table lies in the shared folder under a name of its own, so a reader of the table before it is not disturbed;
+    ``keep`` names it in the catalog for the next run. A dataset has a row per label, alert and destination, so no bucket
+    grows with the rows of the catalogs."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = f"{name}_{uuid.uuid4().hex}"
+    # dealt like the buckets first: one file per bucket, not one per bucket and task
+    writer = df.repartition(buckets, "dataset").write.bucketBy(buckets, "dataset").sortBy("dataset")
+    writer.option("path", f"{shared_folder(spark)}/{unique}").format("parquet").saveAsTable(keep or unique)
+    return spark.table(keep or unique)
+
+
+def schedule_hits(live: DataFrame, state: DataFrame, labels: DataFrame | Sequence[str], now: float) -> DataFrame:
     """(dataset, label_key, created) rows that may be answered from state: the dataset row equals the live change time
     and is mature, and every label has a plausible row of that same change time. ``live``: dataset, changed;
-    ``labels``: label_key."""
+    ``labels``: label_key as rows or, for the labels of one schedule, as texts, which need no join."""
+    if isinstance(labels, DataFrame):
+        keys = labels.select("label_key").distinct()
+        listed = state.join(keys, "label_key", "left_semi")
+        wanted = labels.agg(F.count_distinct("label_key").alias("wanted"))
+    else:
+        listed = state.filter(F.col("label_key").isin(list(labels)))
+        wanted = len(set(labels))
     cached = state.filter(F.col("family") == "dataset").select("dataset", F.col("changed").alias("cached"))
     fresh = live.join(cached, "dataset").filter(
-        (F.col("cached") == F.col("changed")) & _mature(F.col("cached"), now)
+        _same("cached", "changed") & _mature(F.col("cached"), now)
     )
-    per_label = state.filter(F.col("family") == "label").select(
-        "dataset", "label_key", "created", F.col("changed").alias("seen")
-    ).join(labels.select("label_key").distinct(), "label_key", "left_semi")
-    plausible = (F.col("created") != 0) & (F.col("seen") == F.col("cached")) & (F.col("created") <= F.col("seen"))
+    per_label = listed.filter(F.col("family") == "label").select("dataset", "label_key", "created", F.col("changed").alias("seen"))
+    plausible = (F.col("created") != 0) & _same("seen", "cached") & (F.col("created") <= F.col("seen"))
     valid = fresh.select("dataset", "cached").join(per_label, "dataset").filter(plausible)
-    wanted = labels.agg(F.count_distinct("label_key").alias("wanted"))
-    complete = valid.groupBy("dataset").agg(F.count(F.lit(1)).alias("wanted")).join(wanted, "wanted", "left_semi")
-    return valid.join(complete, "dataset", "left_semi").select("dataset", "label_key", "created")
+    # a dataset has a row per label at most, and the rows lie together from the join
+    counted = valid.withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("dataset")))
+    if isinstance(wanted, int):
+        complete = counted.filter(F.col("wanted") == wanted)
+    else:
+        complete = counted.join(wanted, "wanted", "left_semi")
+    return complete.select("dataset", "label_key", "created")
 
 
 def monitor_hits(live: DataFrame, state: DataFrame, now: float) -> DataFrame:
@@ -43,7 +77,7 @@ def monitor_hits(live: DataFrame, state: DataFrame, now: float) -> DataFrame:
     rows = state.filter(F.col("family") == "monitor").select(
         "dataset", "label_key", "created", F.col("changed").alias("seen")
     )
-    valid = _mature(F.col("changed"), now) & (F.col("changed") == F.col("seen")) & (F.col("changed") >= F.col("created"))
+    valid = _mature(F.col("changed"), now) & _same("changed", "seen") & (F.col("changed") >= F.col("created"))
     return live.join(rows, "dataset").filter(valid).select("dataset", "label_key", "created")
 
 
@@ -115,9 +149,8 @@ def trusted_prefix(df: DataFrame, batch: str, seq: str, is_bad: Column) -> DataF
 
 def hit_ratio(live: DataFrame, stale: DataFrame) -> DataFrame:
     """Datasets answered from state and not, as counts and text; one row."""
-    marked = live.select("dataset").distinct().join(
-        stale.select("dataset", F.lit(1).alias("__stale")).distinct(), "dataset", "left"
-    )
+    missed = stale.groupBy("dataset").agg(F.lit(1).alias("__stale"))
+    marked = live.groupBy("dataset").agg(F.lit(1).alias("__live")).join(missed, "dataset", "left")
     counted = marked.agg(
         F.count_if(F.col("__stale").isNull()).alias("hits"), F.count_if(F.col("__stale").isNotNull()).alias("misses")
     )

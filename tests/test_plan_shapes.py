@@ -76,3 +76,13 @@ def test_common_base_joins_on_dataset_and_guid(spark):
 def test_column_pruning(spark):
     text = plan(table(spark, SF, "lineitem").groupBy("l_returnflag").count())
     assert "ReadSchema: struct<l_returnflag:string>" in text
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("state_schedule_hits", 0), ("state_stale", 0), ("state_hit_ratio", 1), ("state_invalidate", 0)])
+def test_state_in_buckets_is_not_shuffled(spark, name, shuffles):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries()[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange ") == shuffles  # the one sums counts

@@ -34,10 +34,22 @@ def test_schedule_hits(spark):
     assert values(hits, "dataset", "label_key", "created") == [("a", "x", 90), ("a", "y", 100)]
     assert values(state.stale_datasets(now, hits, expected=2), "dataset") == ["b", "c", "d", "e"]
     assert state.schedule_hits(now, known, labels, 101.0).count() == 0  # too fresh to trust
+    named = state.schedule_hits(now, known, ["x", "y", "x"], 102.0)
+    assert values(named, "dataset", "label_key", "created") == [("a", "x", 90), ("a", "y", 100)]
+    stored = [state.store_buckets(df, "part", 3) for df in (now, known)]
+    assert sorted(state.schedule_hits(*stored, ["x", "y"], 102.0).collect()) == sorted(hits.collect())
     ratio = state.hit_ratio(now, state.stale_datasets(now, hits)).first()
     assert (ratio["hit_text"], ratio["miss_text"]) == ("1/5=20%", "4/5=80%")
 
 
+def test_state_of_an_earlier_run_stays_readable(spark):
+    first = state.store_buckets(rows(spark, ("a", "dataset", "", 1, 10)), "state", 2)
+    second = state.store_buckets(state.merge_state(first, rows(spark, ("a", "dataset", "", 2, 11))), "state", 2)
+    assert (values(first, "changed"), values(second, "changed")) == ([10], [11])
+    none = state.store_buckets(rows(spark), "state", 2)
+    assert state.merge_state(none, rows(spark)).count() == 0
+
+
 def test_merge_invalidate(spark):
     old = rows(spark, ("a", "dataset", "", 1, 10), ("b", "dataset", "", 1, 10), ("c", "dataset", "", 1, 10), ("c", "label", "x", 1, 10))
     new = rows(spark, ("a", "dataset", "", 2, 9), ("b", "dataset", "", 2, 10), ("c", "dataset", "", 0, 0), ("d", "dataset", "", 0, 0), ("e", "label", "y", 3, 0))
