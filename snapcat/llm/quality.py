@@ -3,7 +3,9 @@
 Built-in functions only. Arrays never leave their row, so nothing is shuffled.
 
 * null text: no words, ``base_failed`` true, ``kept`` false. Empty text likewise.
-* repeated rows and equal doc_ids are judged each on its own; extra columns pass through :func:`with_quality` untouched.
+* repeated rows and equal doc_ids are judged each on its own; extra columns pass through :func:`with_quality` untouched,
+  but those named like its results are replaced by them. :func:`reject` returns all columns as they were.
+* a very long text is one row: its words, lines and windows must fit a task's memory. A long line is judged whole.
 """
 
 from __future__ import annotations
@@ -20,16 +22,21 @@ SYMBOL = r"[#*$%&|<>]"
 
 #: What a line of running text ends with, closing quotes and brackets included.
 SENTENCE_END = r"""[.!?:;,…。！？।؟]["'”’»)\]]*[\x09-\x0D\x20]*\z"""
-#: Menus and bread crumbs: several items between separators.
-NAVIGATION = r"(?:[|»›>•·/][^|»›>•·/]{1,40}){3,}"
-#: Sentences that sites repeat on every page.
+#: Menus and bread crumbs: several items between separators. They fail a line of which they are half or more; a slash
+#: separates none, as in addresses.
+ITEM = r"[^|»›>•·]"
+NAVIGATION = ITEM + r"{0,40}(?:[|»›>•·]" + ITEM + r"{1,40}){3,}"
+#: Phrases that sites repeat on every page. As whole words they fail a short line; in a longer one they are part of prose.
 BOILERPLATE = (
-    "cookie",
+    "accept cookies",
+    "use cookies",
+    "uses cookies",
+    "cookie policy",
     "privacy policy",
     "terms of use",
     "terms of service",
     "terms and conditions",
-    "javascript",
+    "enable javascript",
     "lorem ipsum",
     "click here",
     "sign up for",
@@ -38,6 +45,8 @@ BOILERPLATE = (
     "log in",
     "skip to content",
 )
+PHRASE = r"(?:\A|[^\pL\pN])(?:" + "|".join(BOILERPLATE) + r")(?:[^\pL\pN]|\z)"
+SHORT_LINE = 100
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -85,12 +94,10 @@ def repeated_words(words: Column, width: int = REPEAT_WINDOW) -> Column:
 
 
 def failing_line(line: Column) -> Column:
-    """True for a line of a menu, of boilerplate, or without the end of a sentence."""
-    low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(low, F.lit(phrase))
-    return ~F.rlike(line, F.lit(SENTENCE_END)) | F.rlike(line, F.lit(NAVIGATION)) | boiler
+    """True for a line that is mostly a menu, a short one with boilerplate, or one without the end of a sentence."""
+    menus = F.length(line) - F.length(F.regexp_replace(line, F.lit(NAVIGATION), F.lit("")))
+    boiler = (F.length(line) <= SHORT_LINE) & F.rlike(F.lower(line), F.lit(PHRASE))
+    return ~F.rlike(line, F.lit(SENTENCE_END)) | (F.rlike(line, F.lit(NAVIGATION)) & (2 * menus >= F.length(line))) | boiler
 
 
 def with_quality(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -133,8 +140,10 @@ def reject(docs: DataFrame, text: str = "text") -> DataFrame:
 def oracle_sql() -> str:
     """DuckDB SQL for the rows of op6."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    boiler = " OR ".join(f"contains(lower(l), {quote(p)})" for p in BOILERPLATE)
-    fails = f"(NOT regexp_matches(l, {quote(SENTENCE_END)}) OR regexp_matches(l, {quote(NAVIGATION)}) OR {boiler})"
+    menus = f"length(l) - length(regexp_replace(l, {quote(NAVIGATION)}, '', 'g'))"
+    boiler = f"(length(l) <= {SHORT_LINE} AND regexp_matches(lower(l), {quote(PHRASE)}))"
+    navigation = f"(regexp_matches(l, {quote(NAVIGATION)}) AND 2 * ({menus}) >= length(l))"
+    fails = f"(NOT regexp_matches(l, {quote(SENTENCE_END)}) OR {navigation} OR {boiler})"
     last = REPEAT_WINDOW - 1
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

@@ -291,6 +291,28 @@ def test_line_rules(spark):
     assert dict(map(tuple, rows.collect())) == lines
 
 
+def test_long_lines_are_not_judged_by_a_part(spark):
+    prose = " ".join(f"Sentence {k} of a paragraph that goes on for a while." for k in range(12))
+    lines = {f"{prose} It was {phrase} at https://www.example.com/2024/05/x that day.": False for phrase in quality.BOILERPLATE}
+    lines |= {f"Please, {phrase}!": True for phrase in quality.BOILERPLATE}
+    lines |= {
+        "See https://www.example.com/2024/05/x/y.": False,
+        "The blog in the catalog index.": False,
+        "A recipe for a cookie in javascript.": False,
+        f"{prose} One | two | three | four.": False,
+        "Début | Été | Hiver | Fin.": True,
+        "Élog in.": False,
+        "a | b | c | d | e and then a much longer tail that is no menu item at all, it only goes on and on, and on again.": False,
+    }
+    rows = spark.createDataFrame([(k,) for k in lines], "l STRING").select("l", quality.failing_line(F.col("l")).alias("f"))
+    assert dict(map(tuple, rows.collect())) == lines
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    got = quality.with_quality(docs).select("doc_id", "kept").collect()
+    assert dict(map(tuple, got)) == {r[0]: r[-1] for r in db.execute(quality.oracle_sql()).fetchall()}
+
+
 def test_rejected_documents_go_whole(spark):
     good = " ".join(f"word{k}." for k in range(30))
     texts = [good, good + "\n" + " ".join(f"m{k}" for k in range(200)), "short.", None, good.replace(".", ".\n")]
