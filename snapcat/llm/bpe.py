@@ -26,9 +26,10 @@ from snapcat.llm.tokens import MEMORY, Pieces, slices
 #: one query.
 BURST = 48
 WORD_BYTES = 1 << 19
-STEP_ROWS = 1 << 22
+STEP_ROWS = 1 << 23
 DECODE_IDS = 1 << 19
-#: Bytes of a block of a long word; a third of them is shared with the next block.
+#: Bytes from which a word goes in blocks, and of a block, of which a third is shared with the next one.
+LONG = 2048
 BLOCK = 384
 
 CONTRACT = f"""
@@ -122,17 +123,18 @@ class DuckBpe(Pieces):
             at = end
         return found
 
-    def contract_long(self, word: bytes) -> bytes:
-        """Ids of a word from blocks; blocks that do not meet in a token are made longer, at last as long as the word."""
+    def contract_long(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words from blocks; blocks that do not meet in a token are made longer, at last as long as the word."""
+        found: dict[bytes, bytes] = {}
         size = BLOCK
-        while size < len(word):
-            starts = range(0, len(word) - size // 3, size - size // 3)
-            blocks = list({word[s : s + size] for s in starts})
-            found = self.joined(word, size, dict(zip(blocks, self.contract(blocks), strict=True)))
-            if found is not None:
-                return found
+        while open_words := [w for w in words if w not in found]:
+            starts = {w: range(0, max(len(w) - size // 3, 1), size - size // 3) for w in open_words}
+            blocks = list({w[s : s + size] for w in open_words for s in starts[w]})
+            known = dict(zip(blocks, self.contract(blocks), strict=True))
+            met = {w: self.joined(w, size, known) for w in open_words}
+            found.update((w, ids) for w, ids in met.items() if ids is not None)
             size *= 2
-        return self.contract([word])[0]
+        return [found[w] for w in words]
 
     def joined(self, word: bytes, size: int, blocks: dict[bytes, bytes]) -> bytes | None:
         def tokens(start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,9 +166,10 @@ class DuckBpe(Pieces):
         if len(self.words) > MEMORY:
             self.words = {}
         new = {w: w.encode() for w in words.difference(self.words)}
-        short = [w for w, raw in new.items() if len(raw) <= BLOCK]
+        short = [w for w, raw in new.items() if len(raw) <= LONG]
+        long = [w for w, raw in new.items() if len(raw) > LONG]
         self.words.update(zip(short, self.contract([new[w] for w in short]), strict=True))
-        self.words.update((w, self.contract_long(raw)) for w, raw in new.items() if len(raw) > BLOCK)
+        self.words.update(zip(long, self.contract_long([new[w] for w in long]), strict=True))
 
     def learn(self, pieces: set[str]) -> None:
         parts = {p: self.split(" " + p) for p in pieces}

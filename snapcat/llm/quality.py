@@ -24,8 +24,7 @@ SYMBOL = r"[#*$%&|<>]"
 SENTENCE_END = r"""[.!?:;,…。！？।؟]["'”’»)\]]*[\x09-\x0D\x20]*\z"""
 #: Menus and bread crumbs: several items between separators. They fail a line of which they are half or more; a slash
 #: separates none, as in addresses.
-ITEM = r"[^|»›>•·]"
-NAVIGATION = ITEM + r"{0,40}(?:[|»›>•·]" + ITEM + r"{1,40}){3,}"
+NAVIGATION = r"(?:[|»›>•·][^|»›>•·]{1,40}){3,}"
 #: Phrases that sites repeat on every page. As whole words they fail a short line; in a longer one they are part of prose.
 BOILERPLATE = (
     "accept cookies",

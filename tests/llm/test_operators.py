@@ -184,10 +184,16 @@ def test_blocks_that_never_meet_end_as_the_whole_word(monkeypatch):
     coder = bpe.codec(RANKS, public_tokenizers.PATTERN)
     word = "".join(random.Random(3).choices("abcdefgh", k=900)).encode()
     whole = coder.contract([word])[0]
-    assert coder.contract_long(word) == whole
-    sizes = []
-    monkeypatch.setattr(coder, "joined", lambda word, size, blocks: sizes.append(size))
-    assert coder.contract_long(word) == whole and sizes == [bpe.BLOCK, 2 * bpe.BLOCK]
+    assert coder.contract_long([word]) == [whole]
+    joined, sizes = coder.joined, []
+
+    def never(word, size, blocks):
+        sizes.append(size)
+        return joined(word, size, blocks) if size >= len(word) else None
+
+    monkeypatch.setattr(coder, "joined", never)
+    assert coder.contract_long([word]) == [whole] and sizes == [bpe.BLOCK, 2 * bpe.BLOCK, 4 * bpe.BLOCK]
+
 
 
 @settings(max_examples=60, deadline=None)
