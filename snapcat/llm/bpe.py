@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with recursive queries of DuckDB inside each task.
 
-A word is rows of (position, id). A step joins each row and its successor with the merge table, takes the leftmost pair of
-minimum rank of each word and contracts it; words without a pair leave the recursion. Decoding joins ids with the vocabulary
+A word is rows of (position, id); positions run on over the words of a query. A step joins each row and its successor with the
+merge table, takes the leftmost pair of minimum rank of each word and contracts it; words without a pair leave the recursion. Decoding joins ids with the vocabulary
 and aggregates the bytes of a document in order. Only words that a worker has not seen yet go through the recursion.
 
 * null and empty texts: no ids, digests of nothing. Repeated rows are encoded each on its own; other columns are not read.
@@ -36,17 +36,19 @@ CONTRACT = f"""
 WITH RECURSIVE t AS (
     SELECT 0 AS step, w, pos, id FROM letters
     UNION ALL
-    SELECT step + 1, w, pos, CASE WHEN pos = best & 4294967295 THEN best >> 32 ELSE id END
-    FROM (
-        SELECT step, w, pos, id, prv, min((c << 32) + pos) OVER (PARTITION BY w) AS best
-        FROM (
-            SELECT step, w, pos, id, lead(id) OVER o AS nxt, lag(pos) OVER o AS prv
-            FROM t WHERE step < {BURST} WINDOW o AS (PARTITION BY w ORDER BY pos)
-        ) LEFT JOIN merges ON a = id AND b = nxt
+    (
+        WITH pairs AS MATERIALIZED (
+            SELECT step, w, pos, id, lead(w) OVER o AS following, lead(id) OVER o AS nxt, lag(pos) OVER o AS prv
+            FROM t WHERE step < {BURST} WINDOW o AS (ORDER BY pos)
+        ), least AS (
+            SELECT w, min((c << 32) + pos) AS best FROM pairs JOIN merges ON a = id AND b = nxt WHERE following = w GROUP BY w
+        )
+        SELECT step + 1, w, pos, CASE WHEN pos = best & 4294967295 THEN best >> 32 ELSE id END
+        FROM pairs JOIN least USING (w)
+        WHERE prv IS NULL OR prv <> best & 4294967295
     )
-    WHERE best IS NOT NULL AND (prv IS NULL OR prv <> best & 4294967295)
 )
-SELECT w, step, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, pos
+SELECT w, step, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY pos
 """
 
 DECODE = """
@@ -107,9 +109,7 @@ class DuckBpe(Pieces):
             raw = np.frombuffer(b"".join(words[at:end]), np.uint8)
             w, ids = np.repeat(np.arange(at, end), lengths), self.single[raw]
             while len(w):
-                starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                pos = np.arange(len(w)) - np.repeat(starts, np.diff(np.r_[starts, len(w)]))
-                self.put("letters", w=w, pos=pos, id=ids)
+                self.put("letters", w=w, pos=np.arange(len(w)), id=ids)
                 out = self.db.execute(CONTRACT).to_arrow_table()
                 w, step, ids = (out.column(c).to_numpy() for c in ("w", "step", "id"))
                 done = step < BURST
