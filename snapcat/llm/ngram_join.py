@@ -7,8 +7,10 @@
    nothing, so the prefix is extended until as many places are earned. Groups depend on the size class of both sets.
 3. Sets that share an index key are buckets. Each bucket is first compared with one pivot (the set with the fewest rare
    shingles, the centre of a group of near copies); links are joined to components. Then only pairs of a bucket that are
-   still in different components are compared, where sizes and shares of frequent shingles allow a link at all. A large
-   group of near copies thus costs as many comparisons as it has members, not their square.
+   still in different components are compared, where sizes, shares of frequent shingles and parities allow a link at all: a
+   set's 256 parities tell of how many of its shingles, dealt by hash, each class holds an odd number; sets differ in as many
+   shingles as in parities at least. A large group of near copies thus costs as many comparisons as it has members, and
+   members just below the similarity are told apart without their texts.
 4. Every candidate is verified on the whole texts.
 
 Rows that repeat a doc_id are documents of their own (component_id is then the smallest doc_id all the same). null and
@@ -62,6 +64,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return docs[fresh], hashes[fresh]
 
 
+def parities(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """256 bits per set, as four 64-bit numbers: whether the set holds an odd number of shingles of a class."""
+    found = []
+    for part in range(len(PARITIES)):
+        own = hashes >> np.uint64(62) == np.uint64(part)
+        bits = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        bits[1:] = np.where(own, np.uint64(1) << (hashes >> np.uint64(56) & np.uint64(63)), np.uint64(0))
+        bits = np.bitwise_xor.accumulate(bits)
+        found.append((bits[bounds[1:]] ^ bits[bounds[:-1]]).view(np.int64))
+    return found
+
+
 def needed(n, percent: int):
     """The least overlap of a set of n with any set it links to."""
     return -(-percent * n // 100)
@@ -148,11 +162,14 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(chosen.to_numpy().view(np.uint64)) if len(chosen) else np.empty(0, dtype=np.uint64)
 
 
-SETS = "rid BIGINT, n BIGINT, r BIGINT, s1 BIGINT, s2 BIGINT, rare ARRAY<BIGINT>, combined ARRAY<BIGINT>"
+PARITIES = ["p0", "p1", "p2", "p3"]
+SETS = "rid BIGINT, n BIGINT, r BIGINT, s1 BIGINT, s2 BIGINT, rare ARRAY<BIGINT>, combined ARRAY<BIGINT>, " + ", ".join(
+    f"{p} BIGINT" for p in PARITIES
+)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document its set's size n, number of rare shingles r, hashes s1, s2 of the set, and its index keys."""
+    """Per document its set's size n, number of rare shingles r, hashes s1, s2 of the set, its index keys and parities."""
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def index(batches):
@@ -193,8 +210,9 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             pa.array(np.r_[0, np.cumsum(rare)], pa.int32()), pa.array(hashes[picked].view(np.int64))
                         ),
                         pa.array(pairs, pa.list_(pa.int64())),
+                        *map(pa.array, parities(hashes, bounds)),
                     ],
-                    names=["rid", "n", "r", "s1", "s2", "rare", "combined"],
+                    names=["rid", "n", "r", "s1", "s2", "rare", "combined", *PARITIES],
                 )
 
     return docs.select("rid", "text").mapInArrow(index, SETS)
@@ -300,8 +318,17 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(check, "a BIGINT, b BIGINT")
 
 
-def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between different sets, enough of them to connect all that are connected by any."""
+def near(n, m, percent: int):
+    """Whether sets of n and m, parities ``p0`` to ``p3`` and ``q0`` to ``q3``, can link: they differ in few enough places."""
+    differing = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(p.replace("p", "q")))) for p in PARITIES), F.lit(0))
+    return (100 + percent) * differing <= (100 - percent) * (n + m)
+
+
+def links(sets: DataFrame, marks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different sets, enough of them to connect all that are connected by any.
+
+    ``marks``: the parities of sets (rid, p0 to p3), stored.
+    """
     spark = sets.sparkSession
     buckets = stored(bucketed(sets), "join-buckets")
     texts = stored(docs.select("rid", "text").join(buckets.select("rid").distinct(), "rid", "left_semi"), "join-texts", "zstd")
@@ -315,7 +342,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = buckets.drop("pivot", "pn", "pr").join(found.withColumnRenamed("doc_id", "rid"), "rid", "left")
     rows = rows.withColumn("c", F.coalesce("component_id", "rid")).drop("component_id")
     mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rows = stored(rows.join(mixed, "key", "left_semi"), "join-open")
+    rows = stored(rows.join(mixed, "key", "left_semi").join(marks, "rid"), "join-open")
     # x meets sets that are no larger than its own, by size within a few percent
     step = math.log(1.04)
     size = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
@@ -329,12 +356,14 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         col("n").alias("na"),
         col("r").alias("ra"),
         col("c").alias("ca"),
+        *[col(p).alias(p.replace("p", "q")) for p in PARITIES],
     )
-    y = rows.select("key", size(col("n")).alias("size"), col("rid").alias("b"), "n", "r", "c")
+    y = rows.select("key", size(col("n")).alias("size"), col("rid").alias("b"), "n", "r", "c", *PARITIES)
     second = x.join(y, ["key", "size"]).where(
         (col("ca") != col("c"))
         & ((col("na") > col("n")) | ((col("na") == col("n")) & (col("a") > col("b"))))
         & possible(col("na"), col("ra"), col("n"), col("r"), col("pairs"), percent)
+        & near(col("na"), col("n"), percent)
     )
     tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -365,7 +394,7 @@ def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("_count"))
     classes = stored(classes, "join-classes")
     alone = sets.join(classes.select(F.col("first").alias("rid")), "rid", "left_semi")
-    linked = components(docs.sparkSession, links(alone, docs, k, percent))
+    linked = components(docs.sparkSession, links(alone, sets.select("rid", *PARITIES), docs, k, percent))
     owners = classes.join(linked.withColumnRenamed("doc_id", "first"), "first", "left").select(
         F.concat_ws("-", "s1", "s2", "n").alias("name"), "_count", F.coalesce("component_id", "first").alias("component")
     )

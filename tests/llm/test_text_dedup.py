@@ -215,3 +215,17 @@ def test_numbered(spark):
     for g in range(3):
         rows = sorted((r["v"], r["n"]) for r in got if r["g"] == g)
         assert [n for _, n in rows] == list(range(len(rows)))
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    for size, changed in ((1, 0), (4, 1), (60, 9), (60, 40), (900, 30), (900, 800)):
+        x = rng.choice(pool, size, replace=False)
+        y = np.concatenate([x[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)])
+        both = ngram_join.parities(np.concatenate([x, y]), np.array([0, len(x), len(x), len(x) + len(y)]))
+        differing = sum(int(np.bitwise_count((p[0] ^ p[2]).view(np.uint64))) for p in both)
+        assert [int(p[1]) for p in both] == [0, 0, 0, 0]
+        assert differing <= len(np.setxor1d(x, y))
+        if not changed:
+            assert differing == 0
