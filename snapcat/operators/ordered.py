@@ -8,6 +8,7 @@ counted first; only those with more rows than a task should hold are treated apa
   sampled values of its order key; what a part hands on to the next is one row per part, broadcast back. No row is
   shuffled a second time.
 * :func:`salted_join` deals the rows of hot keys over several partitions and repeats the other side for these keys only.
+* :func:`fan_join` counts the rows a join will make, and deals it over tasks by them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ MOST_PARTS = 1 << 16
 SAMPLED = 16
 # Parts of one key in a salted join at most.
 MOST_SALTS = 256
+# Rows of a fan-out that a task makes, about, and its tasks at most.
+FAN_ROWS = 1 << 20
+FAN_TASKS = 10_000
 
 CHUNK, _SALT, _ROWS, _CUTS = "__chunk", "__salt", "__rows", "__cuts"
 
@@ -231,6 +235,45 @@ def salted_join(
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
+def fan_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    deal: Sequence[str],
+    spread: Sequence[str],
+    part: str,
+    rows: int = FAN_ROWS,
+    bits: int = CHUNK_BITS,
+) -> DataFrame:
+    """``left`` inner join ``right`` by keys of which both sides have many rows, so that the result is far larger than both.
+
+    How many rows each key makes is counted first, on both sides apart. The rows of ``left`` are dealt by ``deal`` over as many
+    parts of their key as make about ``rows`` rows each, those of ``right`` are repeated for the parts. The result has the
+    column ``part``; rows with the same key and ``deal`` have the same part and are in one task, so an aggregate by these
+    columns, ``part`` among them, needs no shuffle of the result.
+
+    A key with more than ``2**bits`` rows of ``right`` is no matter for one task: then ``right`` is dealt by ``spread`` (see
+    :func:`salted_join`) and ``part`` is 0."""
+    on = list(on)
+    made = F.col("__l") * F.col("__r")
+    n = lambda side, name: side.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    counts = n(left, "__l").join(n(right, "__r"), on).withColumn(
+        "__parts", F.least(F.ceil(made / rows), F.col("__l"), F.lit(FAN_TASKS)).cast("int")
+    )
+    counts = written(counts, "fan")
+    total, widest, parts = counts.agg(F.sum(made), F.max("__r"), F.sum("__parts")).first()
+    if (widest or 0) > 1 << bits:
+        return salted_join(right, left, on, "inner", spread, bits=bits).withColumn(part, F.lit(0))
+    if (total or 0) <= rows:
+        return left.join(right, on).withColumn(part, F.lit(0))
+    places, keys = counts.select(*on, "__parts"), [*on, part]
+    dealt = F.pmod(F.xxhash64(*deal), F.col("__parts")).cast("int")
+    ours = left.join(places, on).withColumn(part, dealt).drop("__parts")
+    theirs = right.join(places, on).withColumn(part, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    tasks = min(FAN_TASKS, parts)
+    return ours.repartition(tasks, *keys).join(theirs.repartition(tasks, *keys), keys)
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
     """First k rows of each group. Spark cuts every partition to k rows per group before the shuffle, so a hot group
     sends at most k rows per map task."""

@@ -1,6 +1,6 @@
 """Log lines over split borders, hosts on both sides, and rates that grow from batch to batch."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +59,28 @@ def test_hosts_on_both_sides(spark, bits):
     assert values(policy.policy_collisions(got), "dst_host", "dst_dataset", "sources") == [("d2", "in/x", 2)]
 
 
+def test_hosts_are_dealt_by_the_rows_they_make(spark):
+    """Source and destination hosts by the dozen: rows are dealt over tasks by what the join makes, and counted there."""
+    src = [(j, f"s{i}") for j in (1, 2) for i in range(3)]
+    held = [(f"s{i % 3}", f"tank/{i % 2}", f"tank/{i % 2}/x{i}") for i in range(60)] + [("s0", "tank/0", "tank/0/x0")]
+    src_hosts = spark.createDataFrame(src, "job INT, src_host STRING")
+    datasets = spark.createDataFrame(held, "src_host STRING, root STRING, dataset STRING")
+    pairs = spark.createDataFrame([(j, f"tank/{k}", f"in{k}") for j in (1, 2) for k in (0, 1)], "job INT, src_root STRING, dst_root STRING")
+    hosts = spark.createDataFrame([(1 + i % 2, f"d{i}", "on") for i in range(24)], "job INT, dst_host STRING, target STRING")
+    # two roots for a host, none for another
+    roots = spark.createDataFrame([(f"d{i}", "^SRC_HOST" if i % 3 else "") for i in [0, *range(23)]], "dst_host STRING, root STRING")
+    plan = spark.createDataFrame([(j, "o", "on", p, 3) for j in (1, 2) for p in ("daily", "weekly")], "job INT, org STRING, target STRING, period STRING, amount INT")
+    expand = lambda **how: policy.expand_hosts(datasets, src_hosts, hosts, roots, hosts.filter("dst_host < 'd2'"), pairs, plan, **how)
+    whole, dealt = expand(), expand(part="part", rows=50)
+    want = Counter(map(tuple, whole.collect()))
+    assert Counter(map(tuple, dealt.drop("part").collect())) == want and sum(want.values()) == 61 * 25 * 2
+    assert Counter(map(tuple, expand(bits=1, rows=50).collect())) == want
+    by = ["job", "src_host", "dst_host", "part"]
+    assert dealt.select("part").distinct().count() > 4 and dealt.select(*by).distinct().count() == 72
+    counted = dealt.groupBy(*by).agg(F.count_distinct("dst_dataset"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+
+
 def test_rates_take_late_samples_and_open_windows(spark, tmp_path):
     batches = [[(0, 10), (2, 20)], [(3, 5), (1, 7)], [(50, 1), (2, 4)], [(51, 2), (1, 1000)]]  # the last sample is too late
     schema = "seconds BIGINT, delta BIGINT"
