@@ -18,6 +18,20 @@ from snapcat.llm import rolling
 from snapcat.llm.shared import look_up, numbered, stored
 
 
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """An Arrow array of slices of data."""
+    import pyarrow as pa
+
+    lengths = ends - starts
+    bounds = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    if bounds[-1] < 1 << 31:  # slices overlap, so they are more than the data
+        raw = memoryview(np.ascontiguousarray(data))
+        joined = b"".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
+    raise ValueError("cuts of one text above 2 GB")
+
+
 class Bytes:
     """Windows of bytes."""
 
@@ -27,8 +41,10 @@ class Bytes:
     def runs(self, data: np.ndarray, offsets: np.ndarray):
         return rolling.runs(data, offsets, self.gram, self.window)
 
-    def cuts(self, text: bytes, starts: list[int], counts: list[int]) -> list[bytes]:
-        return [text[s : s + n + self.window - 1] for s, n in zip(starts, counts, strict=True)]
+    def cuts(self, data: np.ndarray, offsets: np.ndarray, text: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+        """An Arrow array of the cuts of texts that lie one behind the other; each names its text and first window."""
+        first = offsets[text] + starts
+        return slices(data, first, first + counts + self.window - 1)
 
 
 class Words:
@@ -42,9 +58,20 @@ class Words:
         bounds = np.searchsorted(doc, np.arange(len(offsets)))
         return rolling.runs(rolling.Sums(data).of(first, last), bounds, self.gram, self.window)
 
-    def cuts(self, text: bytes, starts: list[int], counts: list[int]) -> list[bytes]:
-        words = text.split()
-        return [b" ".join(words[s : s + n + self.window - 1]) for s, n in zip(starts, counts, strict=True)]
+    def cuts(self, data: np.ndarray, offsets: np.ndarray, text: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+        """As of bytes, after a copy of the texts whose words have one space behind each."""
+        first, last, doc = rolling.words(data, offsets)
+        at, end = np.zeros(len(first), dtype=np.int64), np.cumsum(last - first + 1)
+        at[1:] = end[:-1]
+        spaced = np.full(int(end[-1]) if len(end) else 0, 32, dtype=np.uint8)
+        inside = np.ones(len(spaced), dtype=bool)
+        inside[end - 1] = False
+        here = np.zeros(len(data) + 1, dtype=np.int8)
+        here[first] += 1
+        here[last] -= 1  # a word may end where the next text's first begins
+        spaced[inside] = data[np.cumsum(here[:-1]) > 0]
+        word = np.searchsorted(doc, text) + starts
+        return slices(spaced, at[word], end[word + counts + self.window - 2] - 1)
 
 
 Unit = Bytes | Words
@@ -125,21 +152,18 @@ def cuts(texts: DataFrame, unit: Unit) -> DataFrame:
 
     def cut(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                runs = batch.column(2)[row].as_py()
-                starts, counts = [r["start"] for r in runs], [r["count"] for r in runs]
-                pieces = unit.cuts(batch.column(1)[row].as_py().encode(), starts, counts)
-                rid = batch.column(0)[row].as_py()
+            rids = batch.column(0)
+            for at, data, offsets in rolling.text_blocks(batch, 1):
+                runs = batch.column(2).slice(at, len(offsets) - 1)
+                found, number = runs.flatten(), pc.list_value_length(runs).to_numpy()
+                start, count = found.field(0), found.field(1)
+                begins, counts = start.to_numpy(), count.to_numpy()
+                text = np.repeat(np.arange(len(offsets) - 1), number)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["key"] for r in runs], pa.int64()),
-                        pa.array([rid] * len(runs), pa.int64()),
-                        pa.array(starts, pa.int32()),
-                        pa.array(counts, pa.int32()),
-                        pa.array(pieces, pa.binary()),
-                    ],
+                    [found.field(2), rids.take(pa.array(at + text)), start, count, unit.cuts(data, offsets, text, begins, counts)],
                     names=["key", "rid", "start", "count", "cut"],
                 )
 

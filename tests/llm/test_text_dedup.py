@@ -229,3 +229,19 @@ def test_parities_never_exceed_the_difference():
         assert differing <= len(np.setxor1d(x, y))
         if not changed:
             assert differing == 0
+
+
+@pytest.mark.parametrize("unit", [repeats.Bytes(5, 3), repeats.Words(3, 2)])
+def test_cuts_of_many_texts_at_once(unit):
+    """All cuts of a batch are one array, equal to those of each text by itself."""
+    texts = [b"", b"one two  three\tfour five", b" a b c d\n", b"x", "né né né né".encode(), b"last words of this"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = [len(t.split()) if isinstance(unit, repeats.Words) else len(t) for t in texts]
+    places = [(d, s, n) for d, size in enumerate(sizes) for s in range(size) for n in range(1, size - s - unit.window + 2)]
+    text, starts, counts = map(np.array, zip(*places, strict=True))
+    want = []
+    for d, s, n in places:
+        end = s + n + unit.window - 1
+        want.append(b" ".join(texts[d].split()[s:end]) if isinstance(unit, repeats.Words) else texts[d][s:end])
+    assert unit.cuts(data, offsets, text, starts.astype(np.int32), counts.astype(np.int32)).to_pylist() == want
