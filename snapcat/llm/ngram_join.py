@@ -7,7 +7,7 @@
    nothing, so the prefix is extended until as many places are earned. Groups depend on the size class of both sets.
 3. Sets that share an index key are buckets. Each bucket is first compared with one pivot (the set with the fewest rare
    shingles, the centre of a group of near copies); links are joined to components. Then only pairs of a bucket that are
-   still in different components are compared, where sizes, shares of frequent shingles and parities allow a link at all: a
+   still in different components are compared (buckets of the same sets once), where sizes, shares of frequent shingles and parities allow a link at all: a
    set's 256 parities tell of how many of its shingles, dealt by hash, each class holds an odd number; sets differ in as many
    shingles as in parities at least. A large group of near copies thus costs as many comparisons as it has members, and
    members just below the similarity are told apart without their texts.
@@ -324,6 +324,19 @@ def near(n, m, percent: int):
     return (100 + percent) * differing <= (100 - percent) * (n + m)
 
 
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """(key, pairs) of buckets whose sets are in different components c. Of buckets with the same sets, told by 128 bits, one:
+    sets that have most of their shingles in common meet in most of their buckets, and would be paired in each."""
+    members = rows.groupBy("key", "pairs").agg(
+        F.min("c").alias("low"),
+        F.max("c").alias("high"),
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("rid")).alias("m1"),
+        F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("m2"),
+    )
+    return members.where("low <> high").groupBy("pairs", "size", "m1", "m2").agg(F.min("key").alias("key")).select("key", "pairs")
+
+
 def links(sets: DataFrame, marks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different sets, enough of them to connect all that are connected by any.
 
@@ -341,8 +354,7 @@ def links(sets: DataFrame, marks: DataFrame, docs: DataFrame, k: int, percent: i
     found = components(spark, first)
     rows = buckets.drop("pivot", "pn", "pr").join(found.withColumnRenamed("doc_id", "rid"), "rid", "left")
     rows = rows.withColumn("c", F.coalesce("component_id", "rid")).drop("component_id")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rows = stored(rows.join(mixed, "key", "left_semi").join(marks, "rid"), "join-open")
+    rows = stored(rows.join(open_buckets(rows), ["key", "pairs"], "left_semi").join(marks, "rid"), "join-open")
     # x meets sets that are no larger than its own, by size within a few percent
     step = math.log(1.04)
     size = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")

@@ -245,3 +245,10 @@ def test_cuts_of_many_texts_at_once(unit):
         end = s + n + unit.window - 1
         want.append(b" ".join(texts[d].split()[s:end]) if isinstance(unit, repeats.Words) else texts[d][s:end])
     assert unit.cuts(data, offsets, text, starts.astype(np.int32), counts.astype(np.int32)).to_pylist() == want
+
+
+def test_buckets_of_the_same_sets_are_compared_once(spark):
+    buckets = {1: "ab", 2: "ab", 3: "abc", 4: "cb", 5: "ab", 6: "bc", 7: "dd", 8: "de"}
+    rows = [(key, key == 5, ord(x), ord("d" if x == "e" else x)) for key, sets in buckets.items() for x in dict.fromkeys(sets)]
+    got = ngram_join.open_buckets(spark.createDataFrame(rows, "key BIGINT, pairs BOOLEAN, rid BIGINT, c BIGINT"))
+    assert sorted(map(tuple, got.collect())) == [(1, False), (3, False), (4, False), (5, True)]
