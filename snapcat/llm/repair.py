@@ -9,19 +9,17 @@ import struct
 import numpy as np
 
 MAGIC = b"RPG1"
-BINS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A round replaces pairs down to this part of the most frequent one's count.
-SPAN = 16
-
-
-def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that occur ``least`` times or more. Counts per bin of a hash rule most pairs out before any is sorted."""
-    bins = ((keys * MIX) >> np.uint64(48)).astype(np.int64)
-    heavy = np.bincount(bins, minlength=BINS) >= least
-    pairs, counts = np.unique(keys[heavy[bins]], return_counts=True)
-    often = counts >= least
-    return pairs[often], counts[often]
+SPAN = 64
+#: A round leaves a pair alone that would lose more than the rest of its occurrences to more frequent neighbours.
+SHARE = 0.7
+#: Pairs are counted exactly where less than this part of the sequence can still hold a frequent one.
+TAIL = 16
+#: Bits of a rule's expansion length; a length that needs more is 0 there and stored behind them.
+SHORT = 5
+#: Rules of at most so many ids are written out before a shard is decoded.
+FLAT = 32
 
 
 def apart(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
@@ -39,48 +37,121 @@ def apart(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
     return chosen
 
 
+def every_other(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of chosen places that follow each other (a run of one symbol) the first, the third and so on."""
+    follows = np.zeros(len(at), dtype=bool)
+    follows[1:] = chosen[1:] & chosen[:-1] & (at[1:] == at[:-1] + 1)
+    if follows.any():
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(follows, 0, place))
+        chosen &= (place - start) % 2 == 0
+    return np.flatnonzero(chosen)
+
+
+def exact_round(at: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(frequent places, places to replace, number of the rule of each, pairs of the rules), by sorted pairs."""
+    pairs, of, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    often = counts[of] >= least
+    at, of = at[often], of[often]
+    high = np.flatnonzero(counts >= max(least, int(counts.max()) // SPAN))
+    if not len(at):
+        return at, at, of, pairs[:0]
+    chosen = np.sort(np.array(apart(pairs[high], counts[high]), dtype=np.uint64))
+    rule = np.full(len(pairs), -1)
+    rule[np.searchsorted(pairs, chosen)] = np.arange(len(chosen))
+    rule = rule[of]
+    won = every_other(at, rule >= 0)
+    return at, at[won], rule[won], chosen
+
+
+def hashed_round(at: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The same by counts per bin of a hash, which are never too low: a place wins that is no less frequent than those it
+    overlaps, and of the pairs in a bin the one named last is replaced, if it wins often enough by its own count."""
+    bits = max(12, min(21, len(at).bit_length() + 1))
+    bins = keys * MIX
+    bins >>= np.uint64(64 - bits)
+    bins = bins.view(np.int64)
+    counts = np.bincount(bins, minlength=1 << bits).take(bins)
+    hot = np.flatnonzero(counts >= least)
+    if not len(hot):
+        return hot, hot, hot, keys[:0]
+    if len(hot) < len(at):
+        at, keys, bins, counts = at.take(hot), keys.take(hot), bins.take(hot), counts.take(hot)
+    weight = counts << bits
+    weight |= bins
+    near = at[1:] == at[:-1] + 1
+    win = counts >= max(least, int(counts.max()) // SPAN)
+    win[1:] &= ~(near & (weight[1:] < weight[:-1]))
+    win[:-1] &= ~(near & (weight[1:] > weight[:-1]))
+    won = every_other(at, win)
+    keys, bins, place = keys.take(won), bins.take(won), np.arange(len(won), dtype=np.int32)
+    last = np.empty(1 << bits, dtype=np.int32)
+    last[bins] = place
+    last = last.take(bins)
+    same = keys.take(last) == keys
+    used = np.bincount(last[same], minlength=len(won))
+    good = np.flatnonzero((used >= least) & (used >= SHARE * counts.take(won)))
+    rule = np.full(len(won), -1)
+    rule[good] = np.arange(len(good))
+    rule = rule.take(last)
+    use = np.flatnonzero(same & (rule >= 0))
+    return at, at.take(won.take(use)), rule.take(use), keys.take(good)
+
+
 def compress(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): rule k replaces its pair by symbol first + k. No pair of the sequence occurs ``least`` times."""
-    seq = ids.astype(np.uint64)
-    rules: list[tuple[int, int]] = []
-    while len(seq) > 1:
-        keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        pairs, counts = frequent_pairs(keys, least)
-        if not len(pairs):
-            break
-        high = counts >= max(least, int(counts.max()) // SPAN)
-        chosen = apart(pairs[high], counts[high])
-        order = np.sort(np.array(chosen, dtype=np.uint64))
-        names = np.empty(len(order), dtype=np.uint64)
-        names[np.searchsorted(order, np.array(chosen, dtype=np.uint64))] = first + len(rules) + np.arange(len(chosen))
-        rules += [(key >> 32, key & 0xFFFFFFFF) for key in chosen]
-        lefts = np.zeros(first + len(rules), dtype=bool)
-        lefts[[key >> 32 for key in chosen]] = True
-        at = np.flatnonzero(lefts[seq[:-1].astype(np.int64)])
-        found = np.searchsorted(order, keys[at])
-        hit = order[np.minimum(found, len(order) - 1)] == keys[at]
-        at, found = at[hit], found[hit]
-        same = seq[at] == seq[at + 1]
-        if same.any():  # of a run of one symbol, every other place
-            fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = at[1:] != at[:-1] + 1
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            use = (np.arange(len(at)) - start) % 2 == 0
-            at, found = at[use], found[use]
-        if not len(at):
+    """(rules, sequence): rule k replaces its pair by symbol first + k. No pair of the sequence occurs ``least`` times.
+
+    A round counts only where a pair was frequent in the round before or holds a symbol made there: the count of any other
+    pair never grows.
+    """
+    seq = np.array(ids, dtype=np.uint32)
+    rules = [np.empty(0, dtype=np.uint64)]
+    size, at = first, np.arange(max(len(seq) - 1, 0))
+    while len(at):
+        if len(at) == len(seq) - 1:
+            keys = seq[:-1].astype(np.uint64) << np.uint64(32)
+            keys |= seq[1:]
+        else:
+            keys = seq.take(at).astype(np.uint64) << np.uint64(32)
+            keys |= seq.take(at + 1)
+        step = hashed_round if len(at) * TAIL > len(seq) else exact_round
+        live, places, rule, pairs = step(at, keys, least)
+        if not len(live):
             break
+        if not len(pairs):  # all lose to each other, or bins counted too much
+            live, places, rule, pairs = exact_round(at, keys, least)
+            if not len(pairs):
+                break
+        rules.append(pairs)
+        seq[places] = size + rule
+        size += len(pairs)
         keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq[at] = names[found]
-        seq = seq[keep]
-    return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq.astype(np.uint32)
+        keep[places + 1] = False
+        open_ = np.zeros(len(seq), dtype=bool)
+        open_[live] = True
+        open_[places] = True
+        open_[places[places > 0] - 1] = True
+        seq, open_ = seq[keep], open_[keep]
+        open_[-1] = False
+        at = np.flatnonzero(open_)
+    made = np.concatenate(rules)
+    return np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32), seq
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids each rule stands for."""
+    """Ids each rule stands for; rules up to the next that needs one of them are added up together."""
     lengths = np.ones(first + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[first + k] = lengths[a] + lengths[b]
+    needs, at = rules.max(axis=1, initial=0).astype(np.int64) - first, 0
+    while at < len(rules):
+        end, step = at + 1, 64
+        while end < len(rules):
+            late = np.flatnonzero(needs[end : end + step] >= at)
+            if len(late):
+                end += int(late[0])
+                break
+            end, step = min(end + step, len(rules)), step * 2
+        lengths[first + at : first + end] = lengths[rules[at:end, 0]] + lengths[rules[at:end, 1]]
+        at = end
     return lengths[first:]
 
 
@@ -101,6 +172,12 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     return seq.astype(np.uint32)
 
 
+def runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of ``flat`` from each start on, as many as the size says, one run after the other."""
+    ends = np.cumsum(sizes)
+    return flat.take(np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes))
+
+
 def packed(values: np.ndarray, bits: int) -> bytes:
     """The lowest ``bits`` bits of each value, one after the other."""
     rows = np.ascontiguousarray(values, dtype="<u4").reshape(-1, 1).view(np.uint8)
@@ -118,17 +195,20 @@ def unpacked(data: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, i
 
 
 def to_bytes(ids: np.ndarray, lengths: np.ndarray, first: int, least: int) -> bytes:
-    """A shard: header, rules, their expansion lengths, ids per document, symbols; each part in as few bits as it needs."""
+    """A shard: header, rules, their expansion lengths (short, then large ones), ids per document, symbols; each part in as few bits as it needs."""
     rules, seq = compress(ids, first, least)
     wide = max(1, (first + len(rules) - 1).bit_length())
     reach = rule_lengths(rules, first)
     long = max(1, int(reach.max(initial=1)).bit_length())
+    large = reach >= 1 << SHORT
     head = {"first": first, "rules": len(rules), "docs": len(lengths), "symbols": len(seq), "wide": wide, "long": long}
+    head["large"] = int(large.sum())
     out = io.BytesIO()
     text = json.dumps(head).encode()
     out.write(MAGIC + struct.pack("<I", len(text)) + text)
     out.write(packed(rules, wide))
-    out.write(packed(reach, long))
+    out.write(packed(np.where(large, 0, reach), SHORT))
+    out.write(packed(reach[large], long))
     out.write(np.asarray(lengths).astype("<u8").tobytes())
     out.write(packed(seq, wide))
     return out.getvalue()
@@ -145,12 +225,15 @@ class Shard:
         self.first, at = head["first"], 8 + size
         rules, at = unpacked(data, at, 2 * head["rules"], head["wide"])
         self.rules = rules.reshape(-1, 2)
-        reach, at = unpacked(data, at, head["rules"], head["long"])
-        lengths = np.concatenate([np.ones(self.first, dtype=np.int64), reach])
+        reach, at = unpacked(data, at, head["rules"], SHORT)
+        large, at = unpacked(data, at, head["large"], head["long"])
+        reach = reach.astype(np.int64)
+        reach[reach == 0] = large
+        self.sizes = np.concatenate([np.ones(self.first, dtype=np.int64), reach])
         self.lengths = np.frombuffer(data, "<u8", head["docs"], at).astype(np.int64)
         at += 8 * head["docs"]
         self.symbols, _ = unpacked(data, at, head["symbols"], head["wide"])
-        self.ends = np.cumsum(lengths[self.symbols.astype(np.int64)]).astype(np.int64)
+        self.ends = np.cumsum(self.sizes[self.symbols])
         if int(self.lengths.sum()) != (int(self.ends[-1]) if len(self.ends) else 0):
             raise ValueError("a shard whose symbols do not expand to its documents")
 
@@ -163,13 +246,42 @@ class Shard:
         skip = start - (int(self.ends[low - 1]) if low else 0)
         return expand(self.symbols[low : high + 1], self.rules, self.first)[skip : skip + length]
 
+    def written_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, start per symbol): what each symbol of at most ``FLAT`` ids stands for, one after the other."""
+        reach = self.sizes[self.first :]
+        small = np.flatnonzero(reach <= FLAT)
+        small = small[np.argsort(reach[small], kind="stable")]
+        sizes = reach[small]
+        starts = np.zeros(len(self.sizes), dtype=np.int64)
+        starts[: self.first] = np.arange(self.first)
+        starts[self.first + small] = self.first + np.cumsum(sizes) - sizes
+        flat = np.empty(self.first + int(sizes.sum()), dtype=np.uint32)
+        flat[: self.first] = np.arange(self.first)
+        bounds = np.searchsorted(sizes, np.arange(2, FLAT + 2)).tolist()
+        for low, high in zip(bounds, bounds[1:], strict=False):  # parts are shorter than the whole
+            if low < high:
+                parts, at = self.rules[small[low:high]].ravel(), int(starts[self.first + small[low]])
+                ids = runs(flat, starts[parts], self.sizes[parts])
+                flat[at : at + len(ids)] = ids
+        return flat, starts
+
     def documents(self, block: int = 1 << 18):
         """The ids of each document in turn; symbols are expanded a block at a time."""
+        flat, places = self.written_out()
         starts = np.cumsum(self.lengths) - self.lengths
         at = 0
         while at < len(self.lengths):
             end = max(at + 1, int(np.searchsorted(starts, starts[at] + block, side="left")))
-            ids = self.read(int(starts[at]), int(self.lengths[at:end].sum()))
+            start, length = int(starts[at]), int(self.lengths[at:end].sum())
+            low = int(np.searchsorted(self.ends, start, side="right"))
+            high = int(np.searchsorted(self.ends, start + length, side="left"))
+            symbols = self.symbols[low : high + 1]
+            sizes = self.sizes[symbols]
+            skip = start - (int(self.ends[low - 1]) if low else 0)
+            froms, large = places[symbols], np.flatnonzero(sizes > FLAT)
+            froms[large] = len(flat) + np.cumsum(sizes[large]) - sizes[large]
+            everything = np.concatenate([flat, expand(symbols[large], self.rules, self.first)]) if len(large) else flat
+            ids = runs(everything, froms, sizes)[skip : skip + length]
             cuts = np.cumsum(self.lengths[at:end])
             yield from np.split(ids, cuts[:-1])
             at = end

@@ -69,7 +69,7 @@ def write_shards(
             )
 
         for batch in batches:
-            for keys, texts in slices(batch, ("doc_id", "text")):
+            for keys, texts in slices(batch, ("doc_id", "text"), 1024):
                 for key, ids in zip(keys, codec.encode(texts), strict=True):
                     doc_ids.append(key)
                     parts.append(ids + b"\0\0\0\0")

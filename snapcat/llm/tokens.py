@@ -11,6 +11,8 @@ import numpy as np
 RUN = re.compile("(?: (?=[\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff]|\\Z))")
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 MEMORY = 600_000
+#: Characters of texts that are cut at once.
+TURN = 1 << 22
 #: Characters given to the library at once.
 BLOCK = 1 << 11
 #: Marks of which one behind a word is a token of its own, whatever follows.
@@ -23,7 +25,7 @@ class Pieces:
     """Ids of texts as bytes (little-endian unsigned 32-bit), from the ids of their distinct pieces.
 
     The pattern that splits a text before merging always splits in front of a single space, so a text is cut there, and each
-    distinct piece is encoded once. Texts with runs of white space behind a space, and those with one of the strings of
+    distinct piece is encoded once (Arrow cuts the texts of a turn and numbers their pieces). Texts with runs of white space behind a space, and those with one of the strings of
     ``uncut``, are encoded whole.
     """
 
@@ -40,25 +42,53 @@ class Pieces:
         raise NotImplementedError
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """In turns of about ``TURN`` characters."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (size < TURN or end == at):
+                size += len(texts[end] or "")
+                end += 1
+            out += self.turn(texts[at:end])
+            at = end
+        return out
+
+    def turn(self, texts: list[str | None]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         heads: list[str] = []
-        rests: list[list[str]] = []
-        new: set[str] = set()
+        rests: list[str | None] = []
         if len(self.known) > MEMORY:
             self.known = {}
         for text in texts:
             if not text or RUN.search(text) or any(t in text for t in self.uncut):
                 heads.append(text or "")
-                rests.append([])
+                rests.append(None)
             else:
-                pieces = text.split(" ")
-                heads.append(pieces.pop(0))
-                rests.append(pieces)
-                new.update(pieces)
-        self.learn(new.difference(self.known))
-        get = self.known.__getitem__
+                head, space, rest = text.partition(" ")
+                heads.append(head)
+                rests.append(rest if space else None)
+        cut = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.known.get, distinct))
+        if missing := [k for k, ids in enumerate(raw) if ids is None]:
+            self.learn({distinct[k] for k in missing})
+            for k in missing:
+                raw[k] = self.known[distinct[k]]
         fronts = dict(zip(asked := [h for h in heads if h], self.wholes(asked), strict=True))
         fronts[""] = b""
-        return [fronts[head] + b"".join(map(get, pieces)) for head, pieces in zip(heads, rests, strict=True)]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        starts = np.cumsum(sizes) - sizes
+        names = pieces.indices.to_numpy()
+        sizes = sizes[names]
+        ends = np.cumsum(sizes)
+        places = np.arange(int(sizes.sum())) + np.repeat(starts[names] - (ends - sizes), sizes)
+        ids = np.frombuffer(b"".join(raw), "<u4").take(places).tobytes()
+        bounds = np.append(0, 4 * ends)[np.asarray(cut.offsets)].tolist()
+        return [fronts[h] + ids[start:end] for h, start, end in zip(heads, bounds, bounds[1:], strict=False)]
 
 
 class Encoder(Pieces):
@@ -122,8 +152,8 @@ class Encoder(Pieces):
             encoded = self.library.encode_batch_fast(texts[k : k + 16], add_special_tokens=False)
             for text, part, encoding in zip(texts[k : k + 16], parts[k : k + 16], encoded, strict=True):
                 ids = np.array(encoding.ids, dtype="<u4")
-                sizes = map(len, part) if text.isascii() else (len(p.encode()) for p in part)
-                ends = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(part)) + 1)
+                data = np.frombuffer(text.encode(), np.uint8)
+                ends = np.append(np.flatnonzero(data == 32)[1:], len(data))  # pieces hold no space
                 cuts = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1)
                 raw, start = ids.tobytes(), 0
                 for p, cut in zip(part, cuts.tolist(), strict=True):

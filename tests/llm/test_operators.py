@@ -229,6 +229,31 @@ def test_repair_goes_on_until_no_pair_pays(spark):
     assert written < manifest.agg(F.sum("n_ids")).first()[0]  # before: above two bytes an id
 
 
+def test_repair_counts_only_what_can_be_frequent(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 900, rng.integers(1, 7)) for _ in range(3000)]
+    flat = np.concatenate([words[min(int(rng.zipf(1.2)), 3000) - 1] for _ in range(20000)]).astype(np.uint32)
+    looked = []
+    for name in ("bincount", "unique"):
+        whole = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda a, *rest, f=whole, **more: (looked.append(len(a)), f(a, *rest, **more))[1])
+    rules, seq = repair.compress(flat, 900, 3)
+    monkeypatch.undo()
+    assert repair.expand(seq, rules, 900).tolist() == flat.tolist()
+    assert max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)).values()) < 3
+    assert sum(looked) < 6 * len(flat)  # before: every pair in every round
+
+
+@pytest.mark.parametrize("ids", [[7] * 5000, [1, 2] * 4000, [1, 2, 1, 1] * 3000, list(range(4)) * 20000])
+def test_repair_writes_out_long_rules(ids):
+    lengths = np.array([0, len(ids) // 3, 0, len(ids) - len(ids) // 3])
+    shard = repair.Shard(repair.to_bytes(np.array(ids, dtype=np.uint32), lengths, 10, 3))
+    assert shard.sizes.max() > repair.FLAT
+    got = [d.tolist() for d in shard.documents(1000)]
+    assert list(map(len, got)) == lengths.tolist() and sum(got, []) == ids
+    assert shard.read(11, 90).tolist() == ids[11:101]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_values_in_bits(bits):
     values = np.array([0, 1, 2**bits - 1, 5 % 2**bits, 2 ** (bits - 1)], dtype=np.uint32)
