@@ -14,8 +14,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN = 64
 #: A round leaves a pair alone that would lose more than the rest of its occurrences to more frequent neighbours.
 SHARE = 0.7
-#: Pairs are counted exactly where less than this part of the sequence can still hold a frequent one.
-TAIL = 16
+#: Pairs are counted exactly where less than this part of the sequence can still hold a frequent one, or of the places that
+#: can less than the second part were replaced in the last round.
+TAIL, STUCK = 16, 32
 #: Bits of a rule's expansion length; a length that needs more is 0 there and stored behind them.
 SHORT = 5
 #: Rules of at most so many ids are written out before a shard is decoded.
@@ -39,13 +40,14 @@ def apart(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
 
 def every_other(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Of chosen places that follow each other (a run of one symbol) the first, the third and so on."""
-    follows = np.zeros(len(at), dtype=bool)
-    follows[1:] = chosen[1:] & chosen[:-1] & (at[1:] == at[:-1] + 1)
+    won = np.flatnonzero(chosen)
+    places = at.take(won)
+    follows = np.append(False, places[1:] == places[:-1] + 1)[: len(won)]
     if follows.any():
-        place = np.arange(len(at))
-        start = np.maximum.accumulate(np.where(follows, 0, place))
-        chosen &= (place - start) % 2 == 0
-    return np.flatnonzero(chosen)
+        order = np.arange(len(won))
+        start = np.maximum.accumulate(np.where(follows, 0, order))
+        won = won[(order - start) % 2 == 0]
+    return won
 
 
 def exact_round(at: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -106,7 +108,7 @@ def compress(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.nd
     """
     seq = np.array(ids, dtype=np.uint32)
     rules = [np.empty(0, dtype=np.uint64)]
-    size, at = first, np.arange(max(len(seq) - 1, 0))
+    size, at, stuck = first, np.arange(max(len(seq) - 1, 0)), False
     while len(at):
         if len(at) == len(seq) - 1:
             keys = seq[:-1].astype(np.uint64) << np.uint64(32)
@@ -114,7 +116,7 @@ def compress(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.nd
         else:
             keys = seq.take(at).astype(np.uint64) << np.uint64(32)
             keys |= seq.take(at + 1)
-        step = hashed_round if len(at) * TAIL > len(seq) else exact_round
+        step = exact_round if stuck or len(at) * TAIL <= len(seq) else hashed_round
         live, places, rule, pairs = step(at, keys, least)
         if not len(live):
             break
@@ -122,6 +124,7 @@ def compress(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.nd
             live, places, rule, pairs = exact_round(at, keys, least)
             if not len(pairs):
                 break
+        stuck = step is hashed_round and len(places) * STUCK < len(live)
         rules.append(pairs)
         seq[places] = size + rule
         size += len(pairs)

@@ -9,7 +9,7 @@ import numpy as np
 
 #: A space before white space (or the end) belongs to a run; elsewhere a token never reaches across the front of a space.
 RUN = re.compile("(?: (?=[\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff]|\\Z))")
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
+#: Pieces whose ids a worker remembers; beyond that it starts anew, and takes over from the last as many those it meets again.
 MEMORY = 600_000
 #: Characters of texts that are cut at once.
 TURN = 1 << 22
@@ -31,6 +31,7 @@ class Pieces:
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.uncut: list[str] = []
 
     def wholes(self, texts: list[str]) -> list[bytes]:
@@ -61,7 +62,7 @@ class Pieces:
         heads: list[str] = []
         rests: list[str | None] = []
         if len(self.known) > MEMORY:
-            self.known = {}
+            self.older, self.known = self.known, {}
         for text in texts:
             if not text or RUN.search(text) or any(t in text for t in self.uncut):
                 heads.append(text or "")
@@ -75,7 +76,9 @@ class Pieces:
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         raw = list(map(self.known.get, distinct))
         if missing := [k for k, ids in enumerate(raw) if ids is None]:
-            self.learn({distinct[k] for k in missing})
+            names = {distinct[k] for k in missing}
+            self.known.update({p: ids for p in names if (ids := self.older.get(p)) is not None})
+            self.learn(names.difference(self.known))
             for k in missing:
                 raw[k] = self.known[distinct[k]]
         fronts = dict(zip(asked := [h for h in heads if h], self.wholes(asked), strict=True))

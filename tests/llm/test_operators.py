@@ -229,6 +229,23 @@ def test_repair_goes_on_until_no_pair_pays(spark):
     assert written < manifest.agg(F.sum("n_ids")).first()[0]  # before: above two bytes an id
 
 
+def test_pieces_met_again_are_kept_when_memory_is_full(monkeypatch, library):
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdegiklmnorstuäé") for _ in range(9))
+    common = [word() for _ in range(30)]
+    texts = [" ".join(["x", *common, *(word() + rng.choice([",", "", ".", "\nÄ"]) for _ in range(20))]) for _ in range(12)]
+    texts[5:5] = [None, "", "two  spaces", common[0], "tail "]
+    codec, learned = tokens.Encoder(BPE_JSON), []
+    learn = codec.learn_words
+    codec.learn_words = lambda pieces: (learned.extend(pieces), learn(pieces))[1]
+    want = [library(t).tobytes() for t in texts]
+    assert [codec.encode([t])[0] for t in texts] == want
+    assert max(Counter(learned).values()) == 1  # before: all anew
+    monkeypatch.setattr(tokens, "TURN", 100)
+    assert tokens.Encoder(BPE_JSON).encode(texts) == want
+
+
 def test_repair_counts_only_what_can_be_frequent(monkeypatch):
     rng = np.random.default_rng(3)
     words = [rng.integers(0, 900, rng.integers(1, 7)) for _ in range(3000)]
