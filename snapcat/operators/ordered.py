@@ -8,7 +8,7 @@ counted first; only those with more rows than a task should hold are treated apa
   sampled values of its order key; what a part hands on to the next is one row per part, broadcast back. No row is
   shuffled a second time.
 * :func:`salted_join` deals the rows of hot keys over several partitions and repeats the other side for these keys only.
-* :func:`fan_join` counts the rows a join will make, and deals it over tasks by them.
+* :func:`fan_join` counts the rows a join will make, deals it over tasks by them and hands them on in order.
 """
 
 from __future__ import annotations
@@ -29,9 +29,13 @@ MOST_PARTS = 1 << 16
 SAMPLED = 16
 # Parts of one key in a salted join at most.
 MOST_SALTS = 256
-# Rows of a fan-out that a task makes, about, and its tasks at most.
+# Rows of a fan-out that a task makes, about, or the FAN_PARTS-th part of all if that is more; its tasks at most.
 FAN_ROWS = 1 << 20
+FAN_PARTS = 1_000
 FAN_TASKS = 10_000
+# Rows of one key that a task of a fan-out holds, about, and what Spark's bitmaps count at most.
+FAN_HELD = 1 << 13
+BITMAP_BITS = 1 << 15
 
 CHUNK, _SALT, _ROWS, _CUTS = "__chunk", "__salt", "__rows", "__cuts"
 
@@ -235,11 +239,32 @@ def salted_join(
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
+def number_names(
+    df: DataFrame, on: Sequence[str], name: str, chunk: str, number: str, held: int = FAN_HELD
+) -> DataFrame:
+    """Cuts the rows of each key into chunks of about ``held`` rows, equal names in one, and numbers the names of a chunk.
+
+    Adds the columns ``chunk`` and ``number``: rows of one key and chunk have the same number if and only if they have the same
+    name. Numbers begin at 0, stay below ``BITMAP_BITS`` (a chunk with more names is cut again) and are null for null names."""
+    on = list(on)
+    counts = df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / held).alias("__chunks"))
+    cut = df.join(counts, on).withColumn(chunk, F.pmod(F.xxhash64(name), "__chunks"))
+    place = F.dense_rank().over(Window.partitionBy(*on, chunk).orderBy(name)) - 1
+    again = F.floor(F.col("__place") / BITMAP_BITS)
+    return cut.withColumn("__place", place).select(
+        *df.columns,
+        (F.col(chunk) + F.col("__chunks") * again).alias(chunk),
+        F.when(F.col(name).isNotNull(), F.col("__place") - again * BITMAP_BITS).cast("bigint").alias(number),
+    )
+
+
 def fan_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     deal: Sequence[str],
+    order: Sequence[str],
+    chunk: str,
     spread: Sequence[str],
     part: str,
     rows: int = FAN_ROWS,
@@ -247,31 +272,35 @@ def fan_join(
 ) -> DataFrame:
     """``left`` inner join ``right`` by keys of which both sides have many rows, so that the result is far larger than both.
 
-    How many rows each key makes is counted first, on both sides apart. The rows of ``left`` are dealt by ``deal`` over as many
-    parts of their key as make about ``rows`` rows each, those of ``right`` are repeated for the parts. The result has the
-    column ``part``; rows with the same key and ``deal`` have the same part and are in one task, so an aggregate by these
-    columns, ``part`` among them, needs no shuffle of the result.
+    ``right`` has its rows in chunks (a column from 0, see :func:`number_names`). How many rows each key and chunk makes is
+    counted first. The rows of ``left`` are repeated for the chunks of their key and dealt by ``deal`` over as many parts as make
+    about ``rows`` rows each; those of ``right`` are repeated for the parts of their chunk. The result has the column ``part``:
+    rows with the same key, ``deal`` and chunk have the same part, other keys and chunks have others, and a part is in one task.
 
-    A key with more than ``2**bits`` rows of ``right`` is no matter for one task: then ``right`` is dealt by ``spread`` (see
-    :func:`salted_join`) and ``part`` is 0."""
+    Each task sorts its rows of ``left``, which are few, by part and ``order`` (columns of ``left``), looks up those of ``right``
+    in a hash table, and hands the result on in that order. So an aggregate by part and these columns, in this order, reads the
+    result as it is made: it is neither shuffled nor sorted, and no table of groups is held.
+
+    A chunk with more than ``2**bits`` rows, most of them copies, is no matter for one task: then ``right`` is dealt by ``spread``
+    (see :func:`salted_join`), ``part`` is the chunk, and the rows come as they are."""
     on = list(on)
     made = F.col("__l") * F.col("__r")
-    n = lambda side, name: side.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
-    counts = n(left, "__l").join(n(right, "__r"), on).withColumn(
-        "__parts", F.least(F.ceil(made / rows), F.col("__l"), F.lit(FAN_TASKS)).cast("int")
-    )
-    counts = written(counts, "fan")
-    total, widest, parts = counts.agg(F.sum(made), F.max("__r"), F.sum("__parts")).first()
+    n = lambda side, name, *by: side.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    counts = n(left, "__l", *on).join(n(right, "__r", *on, chunk), on)
+    counts = written(counts.withColumn("__first", F.monotonically_increasing_id() * FAN_TASKS), "fan")
+    total, widest = counts.agg(F.sum(made), F.max("__r")).first()
     if (widest or 0) > 1 << bits:
-        return salted_join(right, left, on, "inner", spread, bits=bits).withColumn(part, F.lit(0))
-    if (total or 0) <= rows:
-        return left.join(right, on).withColumn(part, F.lit(0))
-    places, keys = counts.select(*on, "__parts"), [*on, part]
-    dealt = F.pmod(F.xxhash64(*deal), F.col("__parts")).cast("int")
-    ours = left.join(places, on).withColumn(part, dealt).drop("__parts")
-    theirs = right.join(places, on).withColumn(part, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    tasks = min(FAN_TASKS, parts)
-    return ours.repartition(tasks, *keys).join(theirs.repartition(tasks, *keys), keys)
+        return salted_join(right, left, on, "inner", spread, bits=bits).withColumnRenamed(chunk, part)
+    most = max(rows, (total or 0) // FAN_PARTS)
+    parts = F.least(F.ceil(made / most), F.col("__l"), F.lit(FAN_TASKS))
+    places, first = counts.select(*on, chunk, "__first", parts.alias("__parts")), F.col("__first")
+    tasks = min(FAN_TASKS, max(1, 2 * -(-(total or 0) // most)))
+    ours = left.join(places, on).withColumn(part, first + F.pmod(F.xxhash64(*deal), "__parts")).drop("__parts", "__first", chunk)
+    theirs = right.join(places, [*on, chunk]).withColumn(part, F.explode(F.sequence(first, first + F.col("__parts") - 1)))
+    theirs = theirs.drop("__parts", "__first", chunk, *on)
+    # Spark drops a sort below a join, unless something that is not deterministic comes between
+    ordered = ours.repartition(tasks, part).sortWithinPartitions(part, *order).filter(F.monotonically_increasing_id() >= 0)
+    return ordered.join(theirs.repartition(tasks, part).hint("shuffle_hash"), part)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:

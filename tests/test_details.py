@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleet_queries import details
 from fleet_queries.base import QUERIES
 from fleet_queries.logs import log_lines
-from snapcat.operators import filters, logs
+from snapcat.operators import filters, logs, ordered
 from snapcat.plans import policy
 from snapcat.sources import readers
 from snapcat.streaming import progress
@@ -98,6 +98,44 @@ def test_logs_of_many_users_share_files(spark, tmp_path, monkeypatch):
     assert Counter(got) == Counter(want) and None in {f for f, *_ in got}
 
 
+@pytest.mark.parametrize("held, rows, bits", [(1 << 13, 1 << 20, 18), (4, 50, 18), (4, 50, 1)])
+def test_hosts_are_grouped_in_the_order_they_are_made(spark, held, rows, bits):
+    """Places are counted without a shuffle, sort or hash table of the rows, also where roots of a host share places."""
+    held_there = [("s0", "t", n and f"t/{n}") for n in [*"abcdefgh", "in/a", "in/s0/a", "in/in/a", "s0/a", "in/b", "a", "a", None]]
+    src_hosts = spark.createDataFrame([(1, "s0"), (2, "s0"), (1, "s1")], "job INT, src_host STRING")
+    datasets = spark.createDataFrame([*held_there, ("s1", "t", "t/a")], "src_host STRING, root STRING, dataset STRING")
+    pairs = spark.createDataFrame([(1, "t", "in"), (2, "t", "")], "job INT, src_root STRING, dst_root STRING")
+    hosts = spark.createDataFrame([(j, f"d{i}", "on") for j in (1, 2) for i in range(9)], "job INT, dst_host STRING, target STRING")
+    named = [(f"d{i}", r) for i in range(8) for r in ["", "in", "in/^SRC_HOST", "in/in", "x", None][: i % 7]]
+    roots = spark.createDataFrame([*named, ("d1", ""), ("d3", "in")], "dst_host STRING, root STRING")
+    plan = spark.createDataFrame([(j, o, "on", "daily", 3) for j in (1, 2) for o in "op"], "job INT, org STRING, target STRING, period STRING, amount INT")
+    how = {"bits": bits, "part": "part", "rows": rows, "place": "place", "held": held}
+    made = policy.expand_hosts(datasets, src_hosts, hosts, roots, hosts.filter("dst_host < 'd2'"), pairs, plan, **how)
+    streamed = made.groupBy("part", "place_host").agg(
+        F.bitmap_count(F.bitmap_construct_agg("place")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min("dst_dataset").alias("least")
+    )
+    after_join = streamed._jdf.queryExecution().executedPlan().toString().split("ShuffledHashJoin")[0]
+    assert bits == 1 or "SortAggregate" in after_join and not any(x in after_join for x in ("Exchange", "HashAggregate", "Sort ["))
+    host = [F.col(f"place_host.{c}").alias(c) for c in policy.HOST]
+    got = streamed.groupBy(*host).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("least").alias("least"))
+    want = made.groupBy(*policy.HOST).agg(
+        F.count_distinct("dst_dataset").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("dst_dataset").alias("least")
+    )
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and want.count() == 27
+    # some places are shared by roots, so numbers alone are too many
+    assert made.filter("place IS NULL AND dst_dataset IS NOT NULL").count() > 0
+    assert (made.filter("job = 1 AND src_host = 's0'").select("part").distinct().count() > 1) == (held == 4)
+
+
+def test_names_are_numbered_below_the_size_of_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BITMAP_BITS", 8)
+    rows = [(k, f"n{i % 50}") for k in (1, 2) for i in range(70)] + [(1, None)]
+    got = ordered.number_names(spark.createDataFrame(rows, "k INT, name STRING"), ["k"], "name", "chunk", "number", 30).collect()
+    assert len(got) == 141 and all((r.name is None) == (r.number is None) and (r.number or 0) < 8 for r in got)
+    named = {(r.k, r.name): (r.k, r.chunk, r.number) for r in got if r.name}
+    assert len(set(named.values())) == len(named) == 100 == len({(*named[r.k, r.name], r.name) for r in got if r.name})
+
+
 def test_rates_take_late_samples_and_open_windows(spark, tmp_path):
     batches = [[(0, 10), (2, 20)], [(3, 5), (1, 7)], [(50, 1), (2, 4)], [(51, 2), (1, 1000)]]  # the last sample is too late
     schema = "seconds BIGINT, delta BIGINT"
