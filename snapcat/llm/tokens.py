@@ -156,7 +156,9 @@ class Encoder(Pieces):
             for text, part, encoding in zip(texts[k : k + 16], parts[k : k + 16], encoded, strict=True):
                 ids = np.array(encoding.ids, dtype="<u4")
                 data = np.frombuffer(text.encode(), np.uint8)
-                ends = np.append(np.flatnonzero(data == 32)[1:], len(data))  # pieces hold no space
+                ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
+                if len(ends) != len(part):  # some piece holds a space
+                    ends = np.cumsum([len(p.encode()) + 1 for p in part])
                 cuts = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1)
                 raw, start = ids.tobytes(), 0
                 for p, cut in zip(part, cuts.tolist(), strict=True):
